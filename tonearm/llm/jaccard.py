@@ -192,6 +192,14 @@ def band_links(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*links_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*links_b, np.zeros(0, np.int64)]).astype(np.int64), done
 
 
+def forest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What band_links connects, as at most one link for each row: to the first row of its component."""
+    i, j, _ = band_links(sig)
+    low = components(len(sig), i, j)
+    rows = np.flatnonzero(low != np.arange(len(sig)))
+    return rows, low[rows]
+
+
 def links_in_bands(classes: DataFrame) -> DataFrame:
     """a, b: links between classes (rep, signature, bands) that may be alike; all that are alike are connected by them."""
     keys = classes.select("rep", F.explode("bands").alias("band"))
@@ -220,7 +228,7 @@ def links_in_bands(classes: DataFrame) -> DataFrame:
                 b.append(rep[first][near])
                 kind.append(np.zeros(near.sum(), np.int64))
                 for x, y in zip(new[end - new > 2], end[end - new > 2], strict=True):
-                    i, j, _ = band_links(sig[x:y])
+                    i, j = forest(sig[x:y])
                     a.append(rep[x:y][i])
                     b.append(rep[x:y][j])
                     kind.append(np.zeros(len(i), np.int64))
@@ -265,7 +273,7 @@ def _block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES)
             new = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
             for x, y in zip(new, np.append(new[1:], len(rep)), strict=True):
-                i, j, _ = band_links(sig[x:y])
+                i, j = forest(sig[x:y])
                 yield pa.RecordBatch.from_arrays([pa.array(rep[x:y][i]), pa.array(rep[x:y][j])], names=["a", "b"])
 
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInArrow(run, "a long, b long")
