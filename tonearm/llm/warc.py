@@ -81,25 +81,37 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
 
 def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
     """Write pages (page_id, url, payload binary; null: empty) as ARC files. The page_id travels as an HTTP header."""
-    total = pages.agg(F.sum(F.octet_length("payload")).alias("b")).first()["b"] or 0
-    files = max(1, -(-total // ARCHIVE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"tonearm-{TaskContext.get().partitionId():06d}.arc"
-        started = False
+        part, made = TaskContext.get().partitionId(), 0
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            out = [] if started or not batch.num_rows else [version_block(name, version)]
-            started |= batch.num_rows > 0
             for key, url, payload in zip(*(batch.column(c) for c in ("page_id", "url", "payload")), strict=True):
+                if not held:
+                    held = [version_block(f"tonearm-{part:06d}-{made:06d}.arc", version)]
                 body = payload.as_py() or b""
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"X-Page-Id: %d\r\n" % key.as_py() if key.is_valid else b"") + b"Content-Length: %d\r\n\r\n" % len(body) + body
-                out.append(header_line(url.as_py() or "", "text/html", len(block), version) + block)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_binary()).cast(pa.binary())], names=["value"])
+                held.append(header_line(url.as_py() or "", "text/html", len(block), version) + block)
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield one(b"\n".join(held))
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield one(b"\n".join(held))
 
-    rows = pages.select("page_id", "url", "payload").repartition(files).mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    write_archives(pages.select("page_id", "url", "payload").mapInArrow(run, "value binary"), path, "\n")
+
+
+def one(archive: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["value"])
+
+
+def write_archives(rows: DataFrame, path: str, end: str) -> None:
+    """A file for each row: an archive of about ARCHIVE_BYTES, gathered where its records are, without a shuffle."""
+    rows.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", end).option("maxRecordsPerFile", 1).text(path)
 
 
 def unzipped(data: bytes) -> bytes:
@@ -171,7 +183,7 @@ def iso(date: str) -> str:
 
 
 def warc_record(kind: str, uri: str, date: str, url: str, ip: str, block: bytes, digest: str, mime: str, more: tuple[str, ...] = ()) -> bytes:
-    """Header and block; the writer's line separator adds the two line ends after it."""
+    """Header and block, without the two line ends after it."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {uri}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}", f"Content-Type: {mime}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", *more, f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
@@ -191,14 +203,14 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT
     shared = heads.groupBy("payload_digest").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started = False
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            out = []
-            if not started and batch.num_rows:
-                started = True
-                body = b"software: tonearm\r\nformat: WARC File Format 1.1\r\n"
-                out.append(warc_record("warcinfo", record_id(None, "warcinfo", DATE, hashlib.sha256(body).hexdigest()), iso(DATE), "urn:tonearm", "0.0.0.0", body, hashlib.sha256(body).hexdigest(), "application/warc-fields"))
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                if not held:
+                    body = b"software: tonearm\r\nformat: WARC File Format 1.1\r\n"
+                    held = [warc_record("warcinfo", record_id(None, "warcinfo", DATE, hashlib.sha256(body).hexdigest()), iso(DATE), "urn:tonearm", "0.0.0.0", body, hashlib.sha256(body).hexdigest(), "application/warc-fields")]
                 uri = record_id(r["page_id"], r["url"], r["date"], r["payload_digest"])
                 first = r["best"]
                 kind, block, more = "response" if r["http"] else "resource", r["block"], ()
@@ -207,11 +219,15 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT
                     to = record_id(first["page_id"], first["url"], first["date"], r["payload_digest"])
                     kind, block = "revisit", head
                     more = (f"WARC-Refers-To: {to}", f"WARC-Refers-To-Target-URI: {first['url']}", f"WARC-Refers-To-Date: {iso(first['date'])}", f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Full-Payload-Length: {r['payload_bytes']}")
-                out.append(warc_record(kind, uri, iso(r["date"]), r["url"], r["ip"], block, r["payload_digest"], "application/http; msgtype=response" if r["http"] else r["mime"], more))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_binary()).cast(pa.binary())], names=["value"])
-
-    rows = records.join(shared, "payload_digest", "left").mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc)
+                held.append(warc_record(kind, uri, iso(r["date"]), r["url"], r["ip"], block, r["payload_digest"], "application/http; msgtype=response" if r["http"] else r["mime"], more))
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield one(b"\r\n\r\n".join(held))
+                    held, size = [], 0
+        if held:
+            yield one(b"\r\n\r\n".join(held))
+
+    write_archives(records.join(shared, "payload_digest", "left").mapInArrow(run, "value binary"), warc, "\r\n\r\n")
 
 
 WARC = "warc_type string, record_id string, date string, url string, page_id long, payload_bytes long, payload_digest string, refers_to string, refers_to_page long"
