@@ -19,14 +19,13 @@ from pyspark.sql.functions import pandas_udf
 FEATURES = "samplerate int, channels int, duration double, frames long, cutoff_hz double, cutoff_std_hz double, hf_energy_ratio double, est_source_bitrate int, stereo double, error string"
 
 
-@pandas_udf("double")
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
 def ratio(a: Column, b: Column) -> Column:
     """the share of matching blocks; 0 if either is empty."""
-    return _ratio(a, b)
+    return pandas_udf(_ratio, "double")(a, b)
 
 
 @lru_cache(maxsize=8)
@@ -106,9 +105,7 @@ def aggregate_windows(cutoffs: list[float], shares: list[float]) -> tuple[float,
     return cutoffs[best], float(np.std(cutoffs)) if len(cutoffs) > 1 else 0.0, shares[best]
 
 
-@pandas_udf(FEATURES)
-def wav_features(content: pd.Series) -> pd.DataFrame:
-    """S5, D1-D4 of WAV files; a file that can't be read has only an error."""
+def _features(content: pd.Series) -> pd.DataFrame:
 
     def one(data: bytes) -> tuple:
         try:
@@ -130,6 +127,11 @@ def wav_features(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in content], columns=[x.split()[0] for x in FEATURES.split(", ")])
 
 
+def wav_features(content: Column) -> Column:
+    """S5, D1-D4 of WAV files; a file that can't be read has only an error."""
+    return pandas_udf(_features, FEATURES)(content)
+
+
 def mel_bank(bands: int = 96, rate: int = 16000, size: int = 512) -> np.ndarray:
     """Slaney's filter bank (linear to 1 kHz, logarithmic above; areas of one)."""
     step = np.log(6.4) / 27

@@ -60,7 +60,6 @@ def squeeze(c: Column) -> Column:
     return strip(sub(c, r"\s+", " "))
 
 
-@pandas_udf("string")
 def _fold(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str:
         if not x or x.isascii():
@@ -72,7 +71,7 @@ def _fold(s: pd.Series) -> pd.Series:
 
 def fold(c: Column) -> Column:
     """without accents."""
-    return _fold(c)
+    return pandas_udf(_fold, "string")(c)
 
 
 def tokens(c: Column, least: int = 3) -> Column:

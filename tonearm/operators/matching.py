@@ -65,7 +65,7 @@ def two_pass(first: DataFrame, second: DataFrame, key: str, value: str) -> DataF
 
 
 #: Score bands [low, high) and thresholds.
-BANDS = ((0.95, 1.01), (0.90, 0.95), (0.85, 0.90), (0.80, 0.85), (0.70, 0.80), (0.50, 0.70), (0.0, 0.50))
+BANDS = ((0.95, 1.01), (0.90, 0.95), (0.85, 0.90), (0.80, 0.85), (0.75, 0.80), (0.70, 0.75), (0.0, 0.70))
 THRESHOLDS = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
 
 
