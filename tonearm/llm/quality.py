@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,7 +110,7 @@ class Model:
                 np.cumsum(n, out=own[1:])
                 rows = np.repeat(first[bags] - own[:-1], n) + np.arange(own[-1])
                 step += 1
-                for k, grad in self._gradient(x[rows], own, y[bags]).items():
+                for k, grad in self._gradient(x[rows].astype(np.float32), own, y[bags]).items():
                     m[k] = 0.9 * m[k] + 0.1 * grad
                     v[k] = 0.999 * v[k] + 0.001 * grad**2
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
@@ -150,13 +151,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
                 packed = [x[first[i] : first[i + 1]].astype(np.float16).tobytes() for i in range(end - begin)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin).cast(pa.string()), batch.column(2).slice(begin, end - begin), pa.array(packed, pa.binary())], names=["k", "y", "x"])
 
-    got = bags.select(F.col("k").cast("string").alias("k"), "t", "y").mapInArrow(run, "k string, y int, x binary").limit(2 * sample).toArrow().sort_by("k")
+    got = bags.select(F.col("k").cast("string").alias("k"), "t", "y").mapInArrow(run, "k string, y int, x binary").limit(2 * sample).toArrow().combine_chunks()
     if not got.num_rows:
         return None
-    parts = [np.frombuffer(v.as_py(), np.float16).reshape(-1, BUCKETS + SHAPES) for v in got.column("x")]
-    first = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=first[1:])
-    return Model().fit(np.concatenate(parts).astype(np.float32), first, np.array(got.column("y"), np.float32))
+    # the driver holds the vectors once, as half floats in the order of the keys; batches are widened as they are used
+    order = pc.sort_indices(got, sort_keys=[("k", "ascending")])
+    sizes = pc.binary_length(got.column("x")).to_numpy() // (2 * (BUCKETS + SHAPES))
+    first = np.zeros(len(order) + 1, np.int64)
+    np.cumsum(sizes[order.to_numpy()], out=first[1:])
+    x = np.empty((first[-1], BUCKETS + SHAPES), np.float16)
+    for at, i in enumerate(order.to_pylist()):
+        x[first[at] : first[at + 1]] = np.frombuffer(got.column("x")[i].as_buffer(), np.float16).reshape(-1, BUCKETS + SHAPES)
+    y = got.column("y").take(order).to_numpy().astype(np.float32)
+    del got
+    pa.default_memory_pool().release_unused()
+    return Model().fit(x, first, y)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
