@@ -1,16 +1,15 @@
 """Names, titles and tokens as column expressions. Null counts as empty everywhere.
 
-One function, fold(), is an Arrow UDF, as Spark has no Unicode normalisation; the rest are built-in functions.
+All of them are built-in functions, so they stay inside generated code and can be used in lambdas.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 # Word lists and patterns that results depend on.
 STOP_WORDS = ("the", "and", "feat", "with", "mix", "remix", "edit", "club", "original", "extended", "vocal", "version", "live", "premiere", "featuring", "main", "dub", "long", "short", "radio", "pres", "presents", "rmx", "ver", "vol")
@@ -60,18 +59,26 @@ def squeeze(c: Column) -> Column:
     return strip(sub(c, r"\s+", " "))
 
 
-def _fold(s: pd.Series) -> pd.Series:
-    def one(x: str | None) -> str:
-        if not x or x.isascii():
-            return x or ""
-        return unicodedata.normalize("NFC", "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch) != "Mn"))
-
-    return s.map(one)
+@lru_cache
+def _accents() -> tuple[str, str]:
+    """Every character that canonical decomposition takes apart into one base character and marks, and the base characters."""
+    pairs = []
+    for code in (*range(0x80, 0xAC00), *range(0xF900, 0x30000)):
+        if 0xD800 <= code < 0xF900:
+            continue
+        char = chr(code)
+        apart = unicodedata.normalize("NFD", char)
+        if apart != char:
+            base = unicodedata.normalize("NFC", "".join(x for x in apart if unicodedata.category(x) != "Mn"))
+            if len(base) == 1 and base != char:
+                pairs.append((char, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(c: Column) -> Column:
-    """without accents."""
-    return pandas_udf(_fold, "string")(c)
+    """without accents. Spark has no Unicode normalisation, so the characters it would take apart are translated, by a table made from that rule, and marks that stand alone are dropped."""
+    old, new = _accents()
+    return F.when(text(c).rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text(c), old, new), r"\p{Mn}+", "")).otherwise(text(c))
 
 
 def tokens(c: Column, least: int = 3) -> Column:

@@ -50,7 +50,13 @@ def route(signals: DataFrame, item: str, signal: str, position: str, keywords: D
     words = F.split(X.style_norm(F.col(signal)), " ")
     lengths = [r["n"] for r in keywords.select(F.size(F.split(X.style_norm(F.col("keyword")), " ")).alias("n")).distinct().limit(64).collect()]
     rows = signals.select(item, position, words.alias("_w")).where("_w[0] <> ''")
-    runs = F.array_distinct(F.flatten(F.array(*(F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in lengths))))
+
+    def of(n: int) -> Column:
+        """The runs of n words."""
+        starts = F.sequence(F.lit(1), F.size("_w") - (n - 1))
+        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = F.array_distinct(F.flatten(F.array(*map(of, lengths))))
     table = keywords.select(X.style_norm(F.col("keyword")).alias("_run"), "folder", "priority")
     hits = rows.select(item, position, F.explode(runs).alias("_run")).join(small(table), "_run")
     best = F.max_by("folder", F.struct(F.length("_run"), -F.col("priority"), -F.col(position)))

@@ -1,4 +1,8 @@
-"""The queries over the driver's tables, by operator, and the same in DuckDB's SQL."""
+"""The queries over the driver's tables, by operator, and the same in DuckDB's SQL.
+
+The driver's tables hold no music, so names are put together from their columns where an operator needs some; what the
+operators do with real names is tested by golden cases.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +11,437 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
+from ..functions import nested
+from ..functions import text as X
+from ..operators import audit, dedup, matching
+from ..sources import sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def A1_health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by length band, with how many share their length with another document."""
-    docs = table(spark, sf_dir, "documents").select("n_chars")
-    sizes = docs.groupBy("n_chars").agg(F.count("*").alias("n"))
-    band = F.when(F.col("n_chars") >= 18000, "LOSSLESS").when(F.col("n_chars") >= 4000, "HQ").when(F.col("n_chars") >= 1000, "IFFY").otherwise("BAD")
+# ---- pieces of SQL ---------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+def _tokens(x: str, least: int = 3) -> str:
+    return rf"list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents({x})), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda t: len(t) >= {least} AND t NOT IN ({_STOP}))"
+
+
+def _coverage(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 THEN round_even(len(list_filter({a}, lambda t: list_contains({b}, t))) / len({a}), 3) END"
+
+
+def _version(x: str) -> str:
+    one = ", ".join(f"CASE WHEN regexp_matches(lower(strip_accents({x})), '\\b{w}\\b') THEN '{X.VERSION_CANON.get(w, w)}' END" for w in X.VERSION_WORDS)
+    return f"array_to_string(list_sort(list_distinct(list_filter([{one}], lambda v: v IS NOT NULL))), '+')"
+
+
+BAND = "CASE WHEN {v} >= 180 THEN 'LOSSLESS' WHEN {v} >= 120 THEN 'HQ' WHEN {v} >= 60 THEN 'DOUTEUX' ELSE 'MAUVAIS' END"
+EVENT = "SELECT event_id, user_id, event_type, value, round(value * 100, 1) AS cutoff, CAST(event_id % 500 AS INTEGER) AS kbps, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 192 END AS est, CASE WHEN event_id % 3 = 0 THEN '.mp3' WHEN event_id % 3 = 1 THEN '.flac' ELSE '.wav' END AS ext FROM events"
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as measured files."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 3
+    return e.select("event_id", "user_id", "event_type", "value", F.round(F.col("value") * 100, 1).alias("cutoff"), (F.col("event_id") % 500).cast("int").alias("kbps"), F.when(F.col("event_id") % 7 == 0, 0).otherwise(192).alias("est"), F.when(k == 0, ".mp3").when(k == 1, ".flac").otherwise(".wav").alias("ext"))
+
+
+def named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tracks: artist from the brand, title from the name, with versions and codes by key."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    title = F.concat("p_name", F.when(k % 5 == 0, " (Extended Mix)").when(k % 5 == 1, " [CAT001]").when(k % 5 == 2, " (Dub Remix)").when(k % 5 == 3, " feat. Guest").otherwise(""))
+    artist = F.concat("p_brand", F.when(k % 4 == 0, " & Friends").when(k % 4 == 1, " vs Others").otherwise(""))
+    return p.select("p_partkey", artist.alias("artist"), title.alias("title"), "p_name", "p_brand", "p_type")
+
+
+PART = """SELECT p_partkey, p_brand || CASE WHEN p_partkey % 4 = 0 THEN ' & Friends' WHEN p_partkey % 4 = 1 THEN ' vs Others' ELSE '' END AS artist,
+  p_name || CASE p_partkey % 5 WHEN 0 THEN ' (Extended Mix)' WHEN 1 THEN ' [CAT001]' WHEN 2 THEN ' (Dub Remix)' WHEN 3 THEN ' feat. Guest' ELSE '' END AS title, p_name, p_brand, p_type FROM part"""
+_FEAT = r"trim(regexp_replace(title, '(?i)\s*[\(\[]?\b(feat\.?|ft\.?|featuring)\b.*$', ''))"
+_CORE = r"regexp_replace(" + _FEAT + r", '[\(\[\{].*?[\)\]\}]', ' ', 'g')"
+
+# ---- reports and aggregates ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CASE WHEN n_chars >= 18000 THEN 'LOSSLESS' WHEN n_chars >= 4000 THEN 'HQ' WHEN n_chars >= 1000 THEN 'DOUTEUX' ELSE 'MAUVAIS' END AS verdict,
+  CAST(sum(n) AS BIGINT) AS files, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS same_size FROM (SELECT n_chars, count(*) AS n FROM documents GROUP BY n_chars) GROUP BY 1""")
+def A1_health_report(spark, sf_dir):
+    """Documents by length band, with how many share their length. Sizes are counted first, so a row is shuffled once."""
+    sizes = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("n"))
+    n = F.col("n_chars")
+    band = F.when(n >= 18000, "LOSSLESS").when(n >= 4000, "HQ").when(n >= 1000, "DOUTEUX").otherwise("MAUVAIS")
     return sizes.groupBy(band.alias("verdict")).agg(F.sum("n").alias("files"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("same_size"))
 
 
-SQL = {
-    "A1_health_report": """SELECT CASE WHEN n_chars >= 18000 THEN 'LOSSLESS' WHEN n_chars >= 4000 THEN 'HQ' WHEN n_chars >= 1000 THEN 'IFFY' ELSE 'BAD' END AS verdict,
-      CAST(sum(n) AS BIGINT) AS files, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS same_size
-      FROM (SELECT n_chars, count(*) AS n FROM documents GROUP BY n_chars) GROUP BY 1""",
-}
+@query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
+def A2_action_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars <= 0 THEN 1 ELSE count(*) OVER (PARTITION BY n_chars) END AS dup_count FROM documents")
+def A3_dup_count(spark, sf_dir):
+    return dedup.with_copies(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars").select("doc_id", "dup_count")
+
+
+@query("SELECT n_chars, count(*) AS n, min(doc_id) AS first, n_chars * (count(*) - 1) AS recoverable FROM documents WHERE n_chars > 0 GROUP BY 1 HAVING count(*) > 1")
+def A4_duplicate_groups(spark, sf_dir):
+    return dedup.size_groups(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@query("""SELECT n_chars, sha1(text) AS hash, arg_min(name, {'n': length(name), 'v': name}) AS keep, count(*) AS n, count(*) - 1 AS redundant, n_chars * (count(*) - 1) AS wasted
+  FROM (SELECT *, source || '-' || CAST(doc_id AS VARCHAR) AS name FROM documents) GROUP BY n_chars, sha1(text) HAVING count(*) > 1""")
+def A5_equal_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("n_chars", "text", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("name"))
+    return dedup.equal_files(d, "n_chars", "text", "name")
+
+
+@query("SELECT CAST(sum(w) AS BIGINT) AS wasted FROM (SELECT n_chars * (count(*) - 1) AS w FROM documents GROUP BY n_chars, sha1(text) HAVING count(*) > 1)")
+def A6_wasted_bytes(spark, sf_dir):
+    return A5_equal_files(spark, sf_dir).agg(F.sum("wasted").alias("wasted"))
+
+
+@query(f"SELECT {BAND.format(v='value')} AS legacy, {BAND.format(v='value * 1.2')} AS forensic, count(*) AS n FROM events GROUP BY 1, 2 HAVING legacy <> forensic")
+def A8_transition_matrix(spark, sf_dir):
+    """Two verdicts of each row, and the counts of those that differ."""
+    v = F.col("value")
+    band = lambda x: F.when(x >= 180, "LOSSLESS").when(x >= 120, "HQ").when(x >= 60, "DOUTEUX").otherwise("MAUVAIS")
+    return table(spark, sf_dir, "events").groupBy(band(v).alias("legacy"), band(v * 1.2).alias("forensic")).agg(F.count("*").alias("n")).where("legacy <> forensic")
+
+
+@query("""WITH h AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, [o_orderpriority, o_orderstatus] AS v FROM orders),
+  e AS (SELECT o_custkey, r, unnest(v) AS value, unnest([0, 1]) AS i FROM h WHERE r <= 8),
+  c AS (SELECT o_custkey, value, count(*) AS n, min(r * 10 + i) AS seen FROM e GROUP BY 1, 2)
+  SELECT o_custkey, array_to_string(list(value ORDER BY n DESC, seen), ',') AS styles FROM c GROUP BY 1""")
+def A9_ranked_values(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.array("o_orderpriority", "o_orderstatus").alias("v"))
+    return matching.ranked_values(o, "o_custkey", "o_orderkey", "v").select("o_custkey", F.array_join("list", ",").alias("styles"))
+
+
+SCORED = "SELECT (doc_id % 101) / 100.0::DOUBLE AS score, CASE WHEN quality = 1 THEN 'correct' WHEN toxic = 1 THEN 'diff-version' ELSE 'wrong' END AS label FROM labels"
+
+
+def scored(spark, sf_dir):
+    label = F.when(F.col("quality") == 1, "correct").when(F.col("toxic") == 1, "diff-version").otherwise("wrong")
+    return table(spark, sf_dir, "labels").select(((F.col("doc_id") % 101) / 100.0).alias("score"), label.alias("label"))
+
+
+@query(f"""WITH b(low, high) AS (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in matching.BANDS)}), s AS ({SCORED})
+  SELECT low, high, count(score) AS n, count(*) FILTER (label = 'correct') AS correct, count(*) FILTER (label = 'diff-version') AS diff, count(*) FILTER (label = 'wrong') AS wrong,
+  CASE WHEN count(score) > 0 THEN round(count(*) FILTER (label = 'correct') / count(score), 6) END AS precision FROM b LEFT JOIN s ON score >= low AND score < high GROUP BY low, high""")
+def A10_by_band(spark, sf_dir):
+    return matching.by_band(scored(spark, sf_dir)).withColumn("precision", F.round("precision", 6))
+
+
+@query(f"""WITH t(threshold) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in matching.THRESHOLDS)}), s AS ({SCORED}),
+  c AS (SELECT threshold, count(score) AS n, count(*) FILTER (label = 'correct') AS correct, count(*) FILTER (label = 'diff-version') AS diff, count(*) FILTER (label = 'wrong') AS wrong FROM t LEFT JOIN s ON score >= threshold GROUP BY 1)
+  SELECT threshold, n, correct, diff, wrong, round(correct / nullif(n, 0), 6) AS precision, round(n / (SELECT count(*) FROM s), 6) AS recall,
+  coalesce(threshold = (SELECT min(threshold) FROM c WHERE n >= 20 AND correct / n >= 0.8), false) AS recommended FROM c""")
+def A10_by_threshold(spark, sf_dir):
+    return matching.by_threshold(scored(spark, sf_dir), least_precision=0.8).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
+@query("SELECT user_id, max(value) AS cutoff, round(CASE WHEN count(*) > 1 THEN stddev_pop(value) ELSE 0 END, 6) AS spread, arg_max(event_type, {'v': value, 'i': -event_id}) AS companion FROM events GROUP BY 1")
+def A11_aggregate_windows(spark, sf_dir):
+    g = table(spark, sf_dir, "events").groupBy("user_id")
+    return g.agg(F.max("value").alias("cutoff"), F.round(F.when(F.count("*") > 1, F.stddev_pop("value")).otherwise(0.0), 6).alias("spread"), F.max_by("event_type", F.struct("value", -F.col("event_id"))).alias("companion"))
+
+
+@query("SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') >= 2 AND count(*) FILTER (l_returnflag = 'N') >= 0.6 * count(*) AS prefixed FROM lineitem GROUP BY 1")
+def A17_majority(spark, sf_dir):
+    n = F.count_if(F.col("l_returnflag") == "N")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(((n >= 2) & (n >= 0.6 * F.count("*"))).alias("prefixed"))
+
+
+# ---- text ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
+def F1_fold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
+
+
+@query(f"SELECT doc_id, CAST(len({_tokens('text')}) AS INTEGER) AS n, CAST(len({_tokens('text', 1)}) AS INTEGER) AS loose FROM documents")
+def F2_F3_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(X.tokens(F.col("text"))).alias("n"), F.size(X.loose_tokens(F.col("text"))).alias("loose"))
+
+
+@query(f"SELECT p_partkey, array_to_string({_tokens(_CORE)}, ' ') AS core FROM ({PART})")
+def F4_core_title(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", F.array_join(X.core_title_tokens(F.col("title")), " ").alias("core"))
+
+
+@query(rf"SELECT p_partkey, trim(regexp_replace(artist, '(?i)\s*(?:,|&|/|\+|\bfeat\.?\b|\bft\.?\b|\bfeaturing\b|\bvs\.?\b|\bx\b|\bwith\b|\bpres\.?\b)\s*.*$', '')) AS first FROM ({PART})")
+def F5_primary_artist(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.primary_artist(F.col("artist")).alias("first"))
+
+
+@query(f"WITH t AS (SELECT p_partkey, {_tokens('p_name')} AS a, {_tokens('title || p_type')} AS b, {_tokens('p_type')} AS c FROM ({PART})) SELECT p_partkey, {_coverage('a', 'b')} AS title, {_coverage('c', 'b')} AS kind FROM t")
+def F6_coverage(spark, sf_dir):
+    p = named_parts(spark, sf_dir).withColumns({"a": X.tokens(F.col("p_name")), "b": X.tokens(F.concat("title", "p_type")), "c": X.tokens(F.col("p_type"))})
+    return p.select("p_partkey", X.coverage(F.col("a"), F.col("b")).alias("title"), X.coverage(F.col("c"), F.col("b")).alias("kind"))
+
+
+@query(f"SELECT p_partkey, {_FEAT} AS title FROM ({PART})")
+def F7_without_feat(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.without_feat(F.col("title")).alias("title"))
+
+
+@query(f"WITH t AS (SELECT p_partkey, {_tokens('title')} AS a, {_tokens('p_type')} AS b FROM ({PART})) SELECT p_partkey, array_to_string(list_filter(a, lambda t: NOT list_contains(b, t) AND NOT regexp_full_match(t, '\\d+') AND len(t) > 2 AND t NOT IN ({', '.join(repr(w) for w in X.NOISE_WORDS)})), ',') AS extra FROM t")
+def F8_extra_words(spark, sf_dir):
+    p = named_parts(spark, sf_dir)
+    return p.select("p_partkey", F.array_join(X.extra_words(X.tokens(F.col("title")), X.tokens(F.col("p_type"))), ",").alias("extra"))
+
+
+@query(f"SELECT p_partkey, {_version('title')} AS version FROM ({PART})")
+def F9_version_key(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.version_key(F.col("title")).alias("version"))
+
+
+@query(rf"SELECT p_partkey, trim(trim(regexp_replace(regexp_replace(title, '\[[A-Za-z0-9]+\]', '', 'g'), '\s+', ' ', 'g')), ' -_') AS title FROM ({PART})")
+def F11_clean(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.clean(F.col("title")).alias("title"))
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, regexp_replace(artist || ' - ' || title, '\[[A-Za-z0-9]+\]', '', 'g') AS s FROM ({PART}))
+  SELECT p_partkey, trim(trim(split_part(s, ' - ', 1)), ' -_') AS artist, trim(trim(regexp_replace(substr(s, instr(s, ' - ') + 3), '\s+', ' ', 'g')), ' -_') AS title, true AS parseable FROM t""")
+def F12_parse_name(spark, sf_dir):
+    p = named_parts(spark, sf_dir)
+    return p.select("p_partkey", X.parse_name(F.concat(F.lit("/music/01. "), "artist", F.lit(" - "), "title", F.lit(".flac"))).alias("n")).select("p_partkey", "n.artist", "n.title", "n.parseable")
+
+
+@query(f"SELECT p_partkey, trim(lower(artist || ' - ' || title)) AS key FROM ({PART})")
+def F13_match_key(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.match_key(F.col("artist"), F.col("title")).alias("key"))
+
+
+@query(f"SELECT p_partkey, artist, trim(title) AS title FROM ({PART})")
+def F14_normalize(spark, sf_dir):
+    """The artist is in the title, as of compilations, or again before it; with a side prefix."""
+    p = named_parts(spark, sf_dir)
+    k = F.col("p_partkey") % 2 == 0
+    n = X.normalize(F.when(k, "Various Artists").otherwise(F.col("artist")), F.concat(F.lit("A1 "), "artist", F.lit(" – "), "title"))
+    return p.select("p_partkey", n.alias("n")).select("p_partkey", "n.artist", "n.title")
+
+
+@query(f"SELECT p_partkey, trim(regexp_replace(regexp_replace(title, '\\[[^\\]]*\\]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM ({PART})")
+def F20_search_title(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.search_title(F.concat("title", F.lit(" (1997) *"))).alias("title"))
+
+
+@query()
+def F23_resolve(spark, sf_dir):
+    p = named_parts(spark, sf_dir)
+    path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-a-b-c.mp3"))).otherwise(F.concat_ws(" - ", "artist", F.concat("title", F.lit(".mp3"))))
+    return p.select("p_partkey", X.resolve(path, F.col("artist"), F.col("title")).alias("r")).select("p_partkey", "r.*")
+
+
+@query(r"SELECT page_id, regexp_extract(url, '[?&]page=(\d+)', 1) AS page, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages")
+def F35_url_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"[?&]page=(\d+)", 1).alias("page"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
+
+
+@query("SELECT doc_id, substr(sha1(text), 1, 16) AS key, md5(source) AS source FROM documents")
+def F37_cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.cache_key(F.col("text")).alias("key"), F.md5("source").alias("source"))
+
+
+@query(r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(trim(l)) > 0 GROUP BY 1")
+def N6_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    return lines.where(F.length(F.trim("l")) > 0).groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def N2_json_property(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("SELECT event_id, 1 AS n, json_extract_string(props, '$.k') AS first FROM events")
+def N1_find_all(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", nested.find_all(F.col("props"), "k").alias("v"))
+    return e.select("event_id", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"))
+
+
+# ---- classification --------------------------------------------------------------------------------------------------
+
+_CLASS = "CASE WHEN ext = '.flac' AND kbps > 0 AND kbps < 160 THEN 'MAUVAIS' WHEN est = 0 THEN 'LOSSLESS' WHEN cutoff >= 18000 THEN 'HQ' WHEN cutoff >= 16000 THEN 'DOUTEUX' ELSE 'MAUVAIS' END"
+_OK = "NOT (ext = '.mp3' AND kbps > 0 AND kbps < 310) AND (verdict = 'LOSSLESS' OR cutoff >= 18000)"
+
+
+@query("SELECT ext, CASE WHEN ext = '.mp3' THEN 'lossy' ELSE 'lossless_container' END AS format_class, count(*) AS n FROM (" + EVENT + ") GROUP BY 1, 2")
+def C1_format_class(spark, sf_dir):
+    e = measured(spark, sf_dir)
+    return e.groupBy("ext", C.format_class(F.col("ext"), F.lit(None).cast("string")).alias("format_class")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, {_CLASS} AS verdict FROM ({EVENT})")
+def C2_C3_verdict(spark, sf_dir):
+    e = measured(spark, sf_dir)
+    return e.select("event_id", C.classify_lossless(F.col("cutoff"), F.col("est"), F.col("kbps"), F.col("ext"))["verdict"].alias("verdict"))
+
+
+@query()
+def C5_forensic(spark, sf_dir):
+    c = F.col
+    v = C.forensic(c("cutoff"), c("est"), c("kbps"), c("ext"), F.lit(44100), F.when(c("event_id") % 2 == 0, 320), c("ext") != ".mp3", c("value") / 200, c("event_id") % 11 == 0, c("value") / 10, c("value") / 250)
+    return measured(spark, sf_dir).select("event_id", v.alias("v")).select("event_id", "v.*")
+
+
+def judged(spark, sf_dir):
+    c = F.col
+    e = measured(spark, sf_dir).withColumn("verdict", C.classify_lossless(c("cutoff"), c("est"), c("kbps"), c("ext"))["verdict"])
+    return e.withColumn("ok", C.accepted(c("verdict"), C.format_class(c("ext"), F.lit("")), c("kbps"), F.lit(""), c("cutoff")))
+
+
+@query(f"SELECT event_id, {_OK} AS ok FROM (SELECT *, {_CLASS} AS verdict FROM ({EVENT}))")
+def P2_accepted(spark, sf_dir):
+    return judged(spark, sf_dir).select("event_id", "ok")
+
+
+@query(f"SELECT event_id, verdict, cutoff FROM (SELECT *, {_CLASS} AS verdict FROM ({EVENT})) WHERE NOT ({_OK}) ORDER BY verdict, cutoff")
+def P5_O1_flagged(spark, sf_dir):
+    return judged(spark, sf_dir).where("not ok").select("event_id", "verdict", "cutoff").orderBy("verdict", "cutoff")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_tokens('p_name')} AS n, {_tokens("title || ' ' || artist")} AS g, {_version('title')} AS v, {_version('p_name')} AS w FROM ({PART}))
+  SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'NAME_ONLY' WHEN v <> w THEN 'VERSION_MISMATCH' WHEN coalesce({_coverage('n', 'g')}, 1) >= 0.5 THEN 'OK' ELSE 'TAG_MISMATCH' END AS status FROM t""")
+def C6_name_status(spark, sf_dir):
+    p = named_parts(spark, sf_dir)
+    tagged = F.col("p_partkey") % 6 != 0
+    cov = X.coverage(X.tokens(F.col("p_name")), X.tokens(F.concat_ws(" ", "title", "artist")))
+    return p.select("p_partkey", C.name_status(F.lit(True), F.when(tagged, F.col("artist")), F.when(tagged, F.col("title")), X.version_key(F.col("p_name")), X.version_key(F.col("title")), F.lit(None).cast("double"), cov).alias("status"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'NO_MATCH' WHEN (doc_id % 101) / 100.0 >= 0.85 THEN 'MATCH' ELSE 'LOW_CONFIDENCE' END AS status FROM labels")
+def C8_identify_status(spark, sf_dir):
+    score = F.when(F.col("doc_id") % 10 != 0, (F.col("doc_id") % 101) / 100.0)
+    return table(spark, sf_dir, "labels").select("doc_id", C.identify_status(score).alias("status"))
+
+
+@query()
+def C7_staging_audit(spark, sf_dir):
+    p = named_parts(spark, sf_dir)
+    k = F.col("p_partkey")
+    rows = p.select("p_partkey", F.concat_ws(" - ", "artist", "title").alias("base"), "artist", F.col("p_name").alias("title"), F.when(k % 9 != 0, (k % 700 + 60).cast("double")).alias("duration"), F.when(k % 2 == 0, (k % 650 + 80).cast("double")).alias("expected"), F.when(k % 3 == 0, F.col("artist")).alias("tag_artist"), F.when(k % 3 == 0, F.col("title")).alias("tag_title"), (k % 13 != 0).alias("indexed"))
+    return audit.staging_audit(rows).select("p_partkey", "title_score", "artist_score", "title_precision", "extra_words", "status")
+
+
+# ---- joins, sets, windows --------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def J1_latest_index(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    j = matching.with_latest(table(spark, sf_dir, "customer").select("c_custkey"), o, F.col("c_custkey"), F.col("o_custkey"), ["o_orderdate", "o_orderkey"])
+    return j.select("c_custkey", F.col("index_o_orderkey").alias("latest"))
+
+
+@query("SELECT action, count(*) AS n FROM (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'DUPLICATE' ELSE 'WORK' END AS action FROM documents) GROUP BY 1")
+def J2_semi_anti(spark, sf_dir):
+    d = matching.split_known(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l")), F.col("doc_id"), F.col("l"))
+    return d.groupBy("action").agg(F.count("*").alias("n"))
+
+
+KEYWORDS = [("AAA", "steel", 0), ("BBB", "polished", 1), ("CCC", "widget", 2), ("DDD", "blue widget", 3), ("EEE", "green", 4)]
+
+
+@query("""WITH k(folder, keyword, p) AS (VALUES """ + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in KEYWORDS) + """),
+  s AS (SELECT p_partkey, unnest([p_name, p_type]) AS sig, unnest([0, 1]) AS i FROM part),
+  h AS (SELECT p_partkey, folder, {'n': length(keyword), 'p': -p, 'i': -i} AS r FROM s JOIN k ON contains(' ' || trim(regexp_replace(lower(sig), '[\\s\\-_/]+', ' ', 'g')) || ' ', ' ' || keyword || ' '))
+  SELECT p.p_partkey, b.folder FROM part p LEFT JOIN (SELECT p_partkey, arg_max(folder, r) AS folder FROM h GROUP BY 1) b USING (p_partkey)""")
+def J10_route(spark, sf_dir):
+    s = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.array("p_name", "p_type")).alias("i", "sig"))
+    return matching.route(s, "p_partkey", "sig", "i", spark.createDataFrame(KEYWORDS, "folder string, keyword string, priority int"))
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END, p) AS status FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def J15_two_pass(spark, sf_dir):
+    first = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"))
+    second = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("status"))
+    return matching.two_pass(first, second, "o_orderkey", "status")
+
+
+@query("""SELECT conv_id, turn FROM (SELECT *, max(CAST(role = 'assistant' AND length(text) > 40 AS INTEGER)) OVER (PARTITION BY conv_id) AS any_ok FROM conversations) WHERE (role = 'assistant' AND length(text) > 40) OR any_ok = 0""")
+def P12_keep_if_any(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return matching.keep_if_any(c, (F.col("role") == "assistant") & (F.length("text") > 40), "conv_id").select("conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1")
+def W1_first_wins(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dedup.first_wins(c, [F.lower(F.trim("text"))], ["conv_id", "turn"]).select("conv_id", "turn", "role")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def W2_last_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return dedup.last_wins(e, [F.col("user_id"), F.col("event_type")], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT p_partkey, CASE WHEN n = 0 THEN name ELSE p_name || ' (' || CAST(n AS VARCHAR) || ').flac' END AS target FROM (SELECT p_partkey, p_name, p_name || '.flac' AS name, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) - 1 AS n FROM part)")
+def W4_unique_targets(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat("p_name", F.lit(".flac")).alias("name"))
+    return dedup.unique_targets(p, "p_brand", "name", "p_partkey").select("p_partkey", "target")
+
+
+@query("SELECT chunk, count(*) AS n, min(o_orderkey) AS first FROM (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 25 + 1 AS BIGINT) AS chunk FROM orders) GROUP BY 1")
+def W6_chunks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey")
+    return dedup.chunks(o, ["o_orderdate", "o_orderkey"]).groupBy("chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query(f"""WITH t AS (SELECT artist, title, p_partkey FROM ({PART})), k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(artist)), lower(trim(title)) ORDER BY p_partkey) AS r FROM t)
+  SELECT artist, title FROM k WHERE r = 1""")
+def K6_buy_links(spark, sf_dir):
+    return sinks.buy_links(named_parts(spark, sf_dir).select("p_partkey", "artist", "title"), ["p_partkey"]).select("artist", "title")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, '' AS missing FROM documents")
+def K1_csv_fields(spark, sf_dir):
+    return sinks.as_text(table(spark, sf_dir, "documents").select("doc_id", "lang"), ("doc_id", "lang", "missing"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 40")
+def O6_top(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(40)
+
+
+@query("SELECT 'events' AS t, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
+def U5_union(spark, sf_dir):
+    n = lambda t: table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n")
+    return n("events").unionByName(n("orders"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def U6_minus(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"A1_health_report": A1_health_report}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(SQL)
+
+
