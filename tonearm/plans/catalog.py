@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import classify as C
 from ..functions import nested
 from ..functions import text as X
 from ..operators import audit, dedup, matching
 from ..sources import sinks
+from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -437,6 +439,309 @@ def U6_minus(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").agg(F.count("*").alias("n"))
 
 
+# ---- more reports ----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT folder, count(*) AS n FROM ({SQL['J10_route']}) WHERE folder IS NOT NULL GROUP BY 1")
+def A7_folder_counts(spark, sf_dir):
+    return J10_route(spark, sf_dir).where("folder is not null").groupBy("folder").agg(F.count("*").alias("n"))
+
+
+_NAME = rf"trim(trim(regexp_replace(regexp_replace(title, '\[[A-Za-z0-9]+\]', '', 'g'), '\s+', ' ', 'g')), ' -_')"
+
+
+@query(f"""WITH f AS (SELECT p_partkey, lower(artist || ' - ' || {_NAME}) AS key FROM ({PART})), l AS (SELECT DISTINCT key FROM f WHERE p_partkey % 10 = 0),
+  s AS (SELECT p_partkey, l.key IS NOT NULL OR row_number() OVER (PARTITION BY f.key ORDER BY p_partkey) > 1 AS dup FROM f LEFT JOIN l ON f.key = l.key)
+  SELECT count(*) AS total, count(*) FILTER (NOT dup) AS kept, count(*) FILTER (dup) AS duplicates FROM s""")
+def A12_import_stats(spark, sf_dir):
+    p = named_parts(spark, sf_dir).select("p_partkey", F.concat(F.lit("/in/"), "artist", F.lit(" - "), "title", F.lit(".flac")).alias("path"), F.lit("").alias("tag_artist"), F.lit("").alias("tag_title"))
+    n = X.parse_name(F.col("path"))
+    library = p.where("p_partkey % 10 = 0").select(X.match_key(n["artist"], n["title"]).alias("key"))
+    out = flows.plan_import(p, library, "p_partkey")
+    return out.agg(F.count("*").alias("total"), F.count_if(F.col("action") == "KEEP").alias("kept"), F.count_if(F.col("action") == "DUPLICATE").alias("duplicates"))
+
+
+@query(f"SELECT status, count(*) AS n FROM ({SQL['C6_name_status']}) GROUP BY 1")
+def A13_status_counts(spark, sf_dir):
+    return C6_name_status(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(sum(strlen(html)) / 1048576.0::DOUBLE, 6) AS mb FROM pages")
+def A14_total_size(spark, sf_dir):
+    return table(spark, sf_dir, "pages").agg(F.round(F.sum(F.octet_length("html")) / 1048576.0, 6).alias("mb"))
+
+
+@query("""WITH x AS (SELECT unnest(embedding) AS p, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT CAST(i AS INTEGER) AS label, round(avg(CAST(p AS DOUBLE)), 6) AS p FROM x GROUP BY 1)
+  SELECT label, p FROM m WHERE p >= -1 ORDER BY p DESC, label LIMIT 6""")
+def A15_mean_activation(spark, sf_dir):
+    """Means by class over all patches, then the six highest; the floor is low, as embeddings aren't probabilities."""
+    x = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("label", "p"))
+    return x.groupBy("label").agg(F.round(F.avg(F.col("p").cast("double")), 6).alias("p")).where("p >= -1").orderBy(F.desc("p"), "label").limit(6)
+
+
+@query(f"SELECT ext, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM ({SQL['P2_accepted']}) JOIN ({EVENT}) USING (event_id) GROUP BY 1")
+def A16_totals(spark, sf_dir):
+    return judged(spark, sf_dir).groupBy("ext").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role = 'assistant' AS pinned, CAST(len(string_split(text, '. ')) AS INTEGER) AS lines FROM conversations)
+  SELECT conv_id, arg_max(turn, {'p': CASE WHEN pinned THEN 1 ELSE 0 END, 'n': CASE WHEN pinned THEN 0 ELSE lines END, 't': -turn}) AS best FROM c WHERE lines >= 4 GROUP BY 1""")
+def A18_best_comment(spark, sf_dir):
+    """Of each conversation's texts of four lines or more: the first pinned one, else the longest, the first of equals."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("pinned"), F.size(F.split("text", r"\. ")).alias("lines"))
+    order = F.struct(F.col("pinned").cast("int"), F.when(F.col("pinned"), 0).otherwise(F.col("lines")), -F.col("turn"))
+    return c.where("lines >= 4").groupBy("conv_id").agg(F.max_by("turn", order).alias("best"))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(trunc(value * 60) AS BIGINT) AS s FROM events), m AS (SELECT *, (s + 30) // 60 AS m FROM e)
+  SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN m < 60 THEN m || 'm' ELSE (m // 60) || 'h' || lpad(CAST(m % 60 AS VARCHAR), 2, '0') END AS eta FROM m""")
+def A19_eta(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.eta(F.col("value") * 60).alias("eta"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'purchase') * 100 / greatest(1, count(*)) AS rate FROM events GROUP BY 1")
+def A20_hit_rate(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "purchase") * 100 / F.greatest(F.lit(1), F.count("*"))).alias("rate"))
+
+
+# ---- more text -------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(megamix|mega mix|continuous|dj ?mix|mixtape|non ?stop|sampler|compilation|full album|b2b|back to back|live set|essential mix|versus|podcast)\b') AS mix FROM documents WHERE text IS NOT NULL")
+def F10_mix_marker(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.has_mix_marker(F.col("text")).alias("mix"))
+
+
+@query("SELECT p_partkey, p_brand || ' - ' || p_name AS title FROM part")
+def F15_F16_norm_dashes(spark, sf_dir):
+    """Dashes of all kinds become hyphens, marks without width go, edges are cleared."""
+    return named_parts(spark, sf_dir).select("p_partkey", X.light(X.norm_dashes(F.concat(F.lit("_ ​"), "p_brand", F.lit("  – "), "p_name", F.lit(" -")))).alias("title"))
+
+
+@query("SELECT p_partkey, p_name AS title, length(replace(p_type || '-a-b-c', ' ', '')) = length(p_type || '-a-b-c') AS slug FROM part")
+def F17_F18_sides_and_slugs(spark, sf_dir):
+    p = named_parts(spark, sf_dir)
+    return p.select("p_partkey", X.strip_side(F.concat(F.lit("B2. "), "p_name")).alias("title"), X.looks_slug(F.concat("p_type", F.lit("-a-b-c"))).alias("slug"))
+
+
+@query("SELECT p_partkey, p_name || ' (Dub)' AS title FROM part")
+def F19_clean_title(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.clean_title(F.concat("p_name", F.lit(" (Dub) (dub) (2004)"))).alias("title"))
+
+
+@query("SELECT p_partkey, p_brand AS artist, p_name AS title FROM part")
+def F21_display(spark, sf_dir):
+    """Every other name has a promotion word as its artist, with the artist in the title."""
+    k = F.col("p_partkey") % 2 == 0
+    d = X.display(F.when(k, "PREMIERE").otherwise(F.concat(F.lit("Premiere: "), "p_brand")), F.when(k, F.concat("p_brand", F.lit(" - "), "p_name")).otherwise(F.concat("p_name", F.lit(" [Free Download]"))))
+    return named_parts(spark, sf_dir).select("p_partkey", d.alias("d")).select("p_partkey", "d.*")
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM part")
+def F22_deslug(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.deslug(F.concat(F.lit("dl-"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-2011"))).alias("name"))
+
+
+@query("SELECT p_partkey, p_brand AS artist, p_name AS title FROM part")
+def F24_F25_track_line(spark, sf_dir):
+    """Lines with a number, a clock time or a side before the pair."""
+    k = F.col("p_partkey") % 3
+    lead = F.when(k == 0, "12. ").when(k == 1, "[1:02:33] ").otherwise("")
+    pair = X.track_pair(X.track_line(F.concat(lead, "p_brand", F.lit(" - "), "p_name")))
+    return named_parts(spark, sf_dir).select("p_partkey", pair.alias("t")).select("p_partkey", "t.artist", "t.title")
+
+
+@query("SELECT p_partkey, p_name || ' (Dub Mix)' AS title FROM part")
+def F26_strip_catalog(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.strip_catalog(F.concat("p_name", F.lit(" (Dub Mix) [ABC012] (1999) **"))).alias("title"))
+
+
+@query("SELECT p_partkey, p_name AS title FROM part")
+def F28_query_title(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.query_title(F.concat("p_name", F.lit(" ((Deep) Dub (Long)) #tag"))).alias("title"))
+
+
+@query("""SELECT p_partkey, p_brand || '_' || p_name AS safe, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size
+  FROM (SELECT *, CAST(p_partkey AS BIGINT) * p_partkey * 8 AS b FROM part)""")
+def F29_sanitize_and_size(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", X.sanitize(F.concat("p_brand", F.lit("?"), "p_name", F.lit(" . "))).alias("safe"), X.human_size(F.col("p_partkey").cast("long") * F.col("p_partkey") * 8).alias("size"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(source), '[\s\-_/]+', ' ', 'g'))) AS style, length(trim(regexp_replace(lower(strip_accents(source)), '\s+', ' ', 'g'))) AS n FROM documents WHERE source IS NOT NULL")
+def F31_norms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.md5(X.style_norm(F.col("source"))).alias("style"), F.length(X.name_norm(F.col("source"))).cast("long").alias("n"))
+
+
+_QUOTED = r"replace(replace(replace(replace(replace(replace(p_brand || ' ' || p_name, '%', '%25'), '#', '%23'), '&', '%26'), '(', '%28'), ')', '%29'), ' ', '+')"
+
+
+@query(f"SELECT p_partkey, 'https://www.discogs.com/search/?q=' || {_QUOTED} || '&type=release' AS discogs, 'https://bandcamp.com/search?q=' || {_QUOTED} AS bandcamp FROM part")
+def F32_store_links(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", X.store_links(F.col("p_brand"), F.col("p_name")).alias("l")).select("p_partkey", "l.*")
+
+
+@query("SELECT p_partkey, CAST(p_partkey * 37 % 36000 AS INTEGER) AS length FROM part")
+def F33_seconds(spark, sf_dir):
+    """Clock texts, with hours where there are some, read back."""
+    s = (F.col("p_partkey") * 37 % 36000).cast("int")
+    clock = F.when(s < 3600, F.format_string("%d:%02d", F.floor(s / 60), s % 60)).otherwise(F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60))
+    return table(spark, sf_dir, "part").select("p_partkey", X.seconds(clock).alias("length"))
+
+
+@query("SELECT p_partkey, p_brand || ' & ' || p_type || ', ' || p_name AS artists FROM part")
+def F34_join_artists(spark, sf_dir):
+    one = lambda name, join: F.struct(name.alias("name"), F.lit(join).alias("join"))
+    a = F.array(one(F.concat("p_brand", F.lit(" (3)")), "&"), one(F.col("p_type"), ","), one(F.col("p_name"), ","))
+    return table(spark, sf_dir, "part").select("p_partkey", X.join_artists(a).alias("artists"))
+
+
+@query("SELECT p_partkey, p_size > 25 OR (p_size = 25 AND p_partkey % 7 > 3) AS newer FROM part")
+def F36_is_newer(spark, sf_dir):
+    v = F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit("rc"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.is_newer(v, F.lit("1.25.3")).alias("newer"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'port' WHEN 1 THEN 'login refused' WHEN 2 THEN 'login failed' ELSE 'other' END AS kind FROM events")
+def F38_failure_kind(spark, sf_dir):
+    k = F.col("event_id") % 4
+    line = F.when(k == 0, "ListenException: Port may be in use").when(k == 1, "LoginRejected").when(k == 2, "cannot login").otherwise("timeout")
+    return table(spark, sf_dir, "events").select("event_id", X.failure_kind(F.array(F.lit("start"), line)).alias("kind"))
+
+
+@query(r"""WITH t AS (SELECT p_partkey, p_brand AS a, p_name || ' (Extended Mix)' AS t, p_name AS s FROM part)
+  SELECT p_partkey, unnest([a || ' ' || t || ' flac', a || ' ' || s || ' flac', t || ' ' || a || ' flac']) AS ask FROM t""")
+def F39_retry_variants(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.explode(X.retry_variants(F.col("p_brand"), F.concat("p_name", F.lit(" (Extended Mix)")))).alias("ask"))
+
+
+# ---- more nested rows ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS position, l_discount AS score, CAST(l_linenumber AS VARCHAR) AS title FROM lineitem""")
+def N2_O3_candidates(spark, sf_dir):
+    """A response of each order, its lines as results of one recording, taken apart again."""
+    x = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_discount")
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(x)).alias("x"))  # an order's lines: few
+    no_artist = F.array(F.struct(F.lit("A").alias("name")))
+    result = lambda y: F.struct(y["l_discount"].alias("score"), F.array(F.struct(F.lit("id").alias("id"), y["l_linenumber"].cast("string").alias("title"), no_artist.alias("artists"))).alias("recordings"))
+    doc = one.select("l_orderkey", F.to_json(F.struct(F.transform("x", result).alias("results"))).alias("response"))
+    return nested.candidates(doc, "l_orderkey", "response").select("l_orderkey", "position", "score", "title")
+
+
+@query("""SELECT p_brand AS "Artist", p_name AS "Title", CAST(p_partkey AS VARCHAR) AS "SourceUrl", CAST(60 + p_size AS INTEGER) AS "Length" FROM part""")
+def N3_S17_release_tracks(spark, sf_dir):
+    """A release of each part: a heading, its track and an untitled one."""
+    none = F.array().cast("array<struct<name:string,join:string>>")
+    track = lambda kind, title: F.struct(F.lit(kind).alias("type_"), title.alias("title"), F.format_string("1:%02d", F.col("p_size")).alias("duration"), none.alias("artists"))
+    release = F.struct(F.lit("R").alias("title"), F.lit(1999).alias("year"), F.array(F.struct(F.concat("p_brand", F.lit(" (2)")).alias("name"), F.lit("").alias("join"))).alias("artists"), F.array(track("heading", F.lit("Side A")), track("track", F.col("p_name")), track("track", F.lit(" "))).alias("tracklist"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("url"), F.to_json(release).alias("release"))
+    return nested.release_tracks(p, "release").select("Artist", "Title", "SourceUrl", "Length")
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part")
+def N9_tag_values(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(nested.tag_values(F.replace("p_name", F.lit(" "), F.lit("; ,")))).alias("tag"))
+
+
+# ---- more joins and choices ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'NOT_DOWNLOADED' WHEN o_orderkey % 7 = 0 THEN 'FILE_MISSING' WHEN o_orderstatus <> 'F' THEN 'SKIP_NOT_OK' WHEN o_orderkey % 5 = 0 THEN 'SKIP_FAKE'
+  WHEN o_custkey % 2 = 1 THEN 'UNMAPPED' WHEN o_orderkey % 3 = 0 THEN 'ALREADY_EXISTS' ELSE 'DRY_COPY' END AS action FROM orders""")
+def C11_deploy(spark, sf_dir):
+    """An index of files against audit, fakes, routing map and what is there already."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.when(k % 11 != 0, F.concat(F.lit("/In/"), k.cast("string"), F.lit(".flac"))).alias("filepath"), F.lit("Artist").alias("artist"), F.col("o_custkey").cast("string").alias("title"), (k % 7 != 0).alias("on_disk"))
+    checked = o.where("filepath is not null").select(F.lower("filepath").alias("filepath"), F.when(F.col("o_orderstatus") == "F", "OK").otherwise("PARTIAL").alias("status"))
+    routes = o.where("o_custkey % 2 = 0").select(F.concat(F.lit("ARTIST - "), "title").alias("key"), F.lit("/out").alias("dossier"))
+    there = o.where("o_orderkey % 3 = 0").select(F.concat(F.lit("/out/"), F.col("o_orderkey").cast("string"), F.lit(".flac")).alias("dest"))
+    fakes = o.where("filepath is not null and o_orderkey % 5 = 0").select("filepath")
+    return audit.deploy(o.select("o_orderkey", "filepath", "artist", "title", "on_disk"), checked, fakes, routes, there).select("o_orderkey", "action")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def J6_missed(spark, sf_dir):
+    missed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(missed, "c_custkey", "left_semi")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
+def J8_selected(spark, sf_dir):
+    chosen = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(chosen, "l_orderkey")
+
+
+@query(f"SELECT p_partkey, list_has_any({_tokens('title')}, {_tokens('p_type')}) AS any_shared FROM ({PART})")
+def J9_U3_overlap(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", F.arrays_overlap(X.tokens(F.col("title")), X.tokens(F.col("p_type"))).alias("any_shared"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS cached, c_custkey % 3 <> 2 AS hit FROM customer")
+def J12_cached(spark, sf_dir):
+    """Requests by name against a cache that knows two of three, half of these as misses."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    cache = c.where("c_custkey % 3 <> 2").select(X.cache_key(F.col("c_name")).alias("cache_key"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("value"))
+    return sinks.cached(c.select("c_custkey", "c_name"), cache, "c_name").select("c_custkey", "cached", "hit")
+
+
+@query("SELECT event_id, primary_profile, fallback FROM events JOIN (VALUES " + ", ".join(f"('{k}', '{a}', {repr(b) if b else 'NULL'}, {i})" for i, (k, (a, b)) in enumerate(C.PROFILES.items())) + ") v(preset, primary_profile, fallback, i) ON event_id % " + str(len(C.PROFILES)) + " = i")
+def P3_profiles(spark, sf_dir):
+    """Search profiles by preset, a table of a fixed number of rows."""
+    rows = [(i, a, b) for i, (a, b) in enumerate(C.PROFILES.values())]
+    t = spark.createDataFrame(rows, "i long, primary_profile string, fallback string")
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(rows)).alias("i")).join(F.broadcast(t), "i").drop("i")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_tokens(_CORE)} AS w, {_tokens('p_name || p_type')} AS f, {_version('title')} AS v, {_version('p_name || p_type')} AS g FROM ({PART}))
+  SELECT p_partkey, CASE WHEN p_partkey % 400 < 90 AND p_partkey % 400 > 0 THEN 'TOO_SHORT' WHEN NOT coalesce({_coverage('w', 'f')} >= 0.6, false) OR v <> g THEN 'WRONG_MATCH' WHEN p_partkey % 2 = 0 THEN 'REJECTED_FAKE' END AS reason FROM t""")
+def P8_reject_reason(spark, sf_dir):
+    """Downloads named after the part's type, of 0 to 399 seconds."""
+    k = F.col("p_partkey")
+    file = F.concat(F.lit("/in/"), "p_brand", F.lit(" - "), "p_name", "p_type", F.lit(".flac"))
+    return named_parts(spark, sf_dir).select("p_partkey", C.reject_reason(F.col("artist"), F.col("title"), file, k % 400, k % 2 != 0).alias("reason"))
+
+
+@query(f"""WITH r AS ({SQL['J10_route']}) SELECT p_partkey, folder, CASE WHEN folder IS NOT NULL THEN 'MOVE' WHEN p_partkey % 4 = 0 THEN 'SKIP' ELSE 'INBOX' END AS action FROM r""")
+def C10_sort(spark, sf_dir):
+    folders = J10_route(spark, sf_dir).select(F.col("p_partkey").alias("k"), "folder")
+    readable = F.col("p_partkey") % 4 != 0
+    return folders.withColumnRenamed("k", "p_partkey").withColumn("action", C.sort_action(F.col("folder"), readable, True))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN status = 'NAME_ONLY' THEN 'QUARANTINE' WHEN p_partkey % 2 = 0 AND status = 'OK' THEN 'RENAME' ELSE 'LEAVE' END AS action FROM ({SQL['C6_name_status']})""")
+def C12_clean(spark, sf_dir):
+    s = C6_name_status(spark, sf_dir).withColumn("status", F.when(F.col("status") == "NAME_ONLY", "SUSPECT").otherwise(F.col("status")))
+    return s.select("p_partkey", C.clean_action(F.col("status"), F.col("p_partkey") % 2 == 0, F.lit("asked")).alias("action"))
+
+
+@query()
+def C9_label_matches(spark, sf_dir):
+    p = named_parts(spark, sf_dir)
+    return flows.label_matches(p.select("p_partkey", F.col("artist").alias("known_artist"), F.col("p_name").alias("known_title"), F.col("p_brand").alias("cand_artist"), F.when(F.col("p_partkey") % 5 != 4, F.col("title")).alias("cand_title"))).select("p_partkey", "label")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3""")
+def W5_newest(spark, sf_dir):
+    """The three newest of each customer's orders: the limit is the feature."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("r", F.row_number().over(w)).where("r <= 3").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT lower(s_name) AS key, min(s_suppkey) AS first FROM (SELECT s_name, s_suppkey FROM supplier UNION ALL SELECT replace(c_name, 'Customer', 'SUPPLIER'), 1000000000 + c_custkey FROM customer) GROUP BY 1")
+def U1_union_first(spark, sf_dir):
+    """Two sources one after the other, then the first of each name; case doesn't matter."""
+    s = table(spark, sf_dir, "supplier").select("s_name", F.col("s_suppkey").cast("long").alias("first"))
+    c = table(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("SUPPLIER")).alias("s_name"), (F.lit(1000000000) + F.col("c_custkey")).cast("long").alias("first"))
+    return dedup.first_wins(s.unionByName(c), [F.lower("s_name")], ["first"]).select(F.lower("s_name").alias("key"), "first")
+
+
+@query(f"SELECT p_partkey, CAST(len(list_distinct(list_concat({_tokens('title')}, {_tokens('p_type')}))) AS INTEGER) AS n FROM ({PART})")
+def U2_token_union(spark, sf_dir):
+    return named_parts(spark, sf_dir).select("p_partkey", F.size(F.array_union(X.tokens(F.col("title")), X.tokens(F.col("p_type")))).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
