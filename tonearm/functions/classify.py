@@ -75,11 +75,15 @@ def title_coverage(wanted: Column, found: Column) -> Column:
 
 def reject_reason(want_artist: Column, want_title: Column, file: Column, duration: Column, ok: Column) -> Column:
     """Why a download is refused, or null."""
-    p = X.parse_name(file)
-    title = title_coverage(want_title, F.when(p["parseable"], p["title"]).otherwise(p["stem"]))
     mine = X.core_artist_tokens(want_artist)
-    theirs = X.tokens(F.when(p["parseable"], p["artist"]).otherwise(p["stem"]))
-    same = F.coalesce(title >= 0.6, F.lit(False)) & ((F.size(mine) == 0) | F.arrays_overlap(mine, theirs)) & (X.version_key(want_title) == X.version_key(F.when(p["parseable"], p["title"]).otherwise(p["stem"])))
+
+    def matches(p: Column) -> Column:
+        title = F.when(p["parseable"], p["title"]).otherwise(p["stem"])
+        theirs = X.tokens(F.when(p["parseable"], p["artist"]).otherwise(p["stem"]))
+        covered = F.coalesce(title_coverage(want_title, title) >= 0.6, F.lit(False))
+        return covered & ((F.size(mine) == 0) | F.arrays_overlap(mine, theirs)) & (X.version_key(want_title) == X.version_key(title))
+
+    same = X.bound(X.parse_name(file), matches)
     return F.when((duration > 0) & (duration < 90), "TOO_SHORT").when(~same, "WRONG_MATCH").when(~ok, "REJECTED_FAKE")
 
 

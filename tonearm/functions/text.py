@@ -55,6 +55,11 @@ def trim_edges(c: Column) -> Column:
     return sub(c, r"^[ \-_]+|[ \-_]+$")
 
 
+def bound(c: Column, f) -> Column:
+    """f(c), with c evaluated once for a row however often f uses it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return strip(sub(c, r"\s+", " "))
 
@@ -141,7 +146,7 @@ def version_key_of_folded(low: Column, words: tuple[str, ...] = VERSION_WORDS, c
 
 
 def version_key(c: Column) -> Column:
-    return version_key_of_folded(F.lower(fold(c)))
+    return bound(F.lower(fold(c)), version_key_of_folded)
 
 
 def has_mix_marker(c: Column) -> Column:
