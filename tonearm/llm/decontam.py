@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-The documents of a scan partition are cut into shards of a few MB. Each shard gets a suffix array over its words; every
+The documents of a scan partition are cut into shards of about a MB. Each shard gets a suffix array over its words; every
 suffix of every benchmark item is binary-searched in it by its window (13 words; an item of fewer words is one window),
 and hits are extended along the item to the longest verbatim matches.
 
@@ -23,7 +23,7 @@ from .words import Scan, raw, shards
 
 WINDOW = 13
 #: Text bytes of a shard, and of a block of the benchmark. Each block is one more pass over the documents.
-SHARD_BYTES, BLOCK_BYTES = 3 << 20, 8 << 20
+SHARD_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.IntegerType()), T.StructField("doc_start", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
 _MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())])
