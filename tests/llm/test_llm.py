@@ -215,6 +215,19 @@ def test_mixing(spark, odd):
     assert mixing.sample(odd.limit(0)).count() == 0
 
 
+def test_mixed_documents_are_the_sample(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for table, size in ((docs, "size"), (odd, "_size"), (odd.limit(0), "_size"), (odd.where("doc_id is null"), "_size")):
+        made = mixing.mixed_documents(table)
+        assert made.columns == [*table.columns, size, "source_size", "target", "taken", "copies"]
+        most = {}  # of the rows of a source and key
+        for r in mixing.sample(table).collect():
+            most[r.source, r.doc_id] = max(most.get((r.source, r.doc_id), 0), r.copies)
+        rows = made.collect()
+        assert len(rows) == table.count()
+        assert all(r.copies == most[r.source, r.doc_id] and r.taken == r.copies * r[size] for r in rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

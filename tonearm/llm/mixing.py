@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 from .common import fresh, saved
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix"
-BINS = 4096
+#: Sources of which rows are broadcast, one row each.
+MOST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -48,13 +49,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """key, source, size, source_size, target, taken (words that the mix takes, repeats counted), copies.
-
-    Documents are taken whole, up to the one with which a source's words come nearest to its target. A null text has
-    size 0 and takes nothing; a null source is a source, the last in order; a source of size 0 has target 0. Rows that
-    repeat a key are ranked alike, then by size. An empty table gives an empty result. The same table gives the same mix.
-    """
+def _ranked(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], share: float, most: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Rows sure of their extra copy or of none, rows of the bins in which samples end, one row a source, and if those are few."""
     sized = saved(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")).withColumn("draw", draw(F.col("key"), seed)), "sizes")
     goal = targets(sized, weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = saved(goal.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
@@ -62,24 +58,39 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     u = (F.col("draw") + 0.5) / float(1 << 48)
     part = F.col("missing") / F.col("source_size")
     odds = F.when(part > 0, (u / (1 - u)) / (part / (1 - part)))
-    small = goal.count() <= 10_000  # sources; only so many rows are broadcast, more meet in a join that can be split
-    meet = lambda a, b, how="inner": a.join(F.broadcast(b) if small else b, a["source"].eqNullSafe(b["at"]), how).drop("at")
-    rows = meet(sized, goal.withColumnRenamed("source", "at")).withColumn("q", odds)
+    small = goal.count() <= MOST_SOURCES
+    rows = _meet(sized, goal.withColumnRenamed("source", "at"), small).withColumn("q", odds)
     # q grows with the draw within a source, so cutting the draw's bits cuts the order of q
     bin1, bin2 = F.shiftright("draw", 36), F.shiftright("draw", 24)
     end1 = _where_it_ends(rows.where("q is not null"), bin1)
-    one = meet(rows, end1.select(F.col("source").alias("at"), F.col("bin").alias("e1"), F.col("before").alias("b1")), "left")
+    one = _meet(rows, end1.select(F.col("source").alias("at"), F.col("bin").alias("e1"), F.col("before").alias("b1")), small, "left")
     inside = one.where(F.col("q").isNotNull() & (bin1 == F.col("e1"))).withColumn("missing", F.col("missing") - F.col("b1"))
     end2 = _where_it_ends(inside, bin2).select(F.col("source").alias("at"), F.col("bin").alias("e2"), F.col("before").alias("b2"))
-    two = meet(one, end2, "left")
+    two = _meet(one, end2, small, "left")
     last = F.coalesce(F.col("q").isNotNull() & (bin2 == F.col("e2")), F.lit(False))
     early = F.coalesce(F.col("q").isNotNull() & (bin2 < F.col("e2")), F.lit(False))
     sure = two.where(~last).withColumn("extra", early.cast("long"))
-    order = Window.partitionBy("source", "e2").orderBy("q", "key", "size")
+    order = Window.partitionBy("source", "e2").orderBy("draw", "key", "size")
     run = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     need = F.col("missing") - F.col("b1") - F.col("b2")
     # a document is taken if that brings the sum nearer to what is missing than stopping before it
     some = two.where(last).withColumn("extra", ((run - need) * 2 <= F.col("size")).cast("long"))
+    return sure, some, goal, small
+
+
+def _meet(a: DataFrame, b: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """a with b's columns of its source (b's `at`); sources up to MOST_SOURCES are broadcast, more meet in a join that can be split."""
+    return a.join(F.broadcast(b) if small else b, a["source"].eqNullSafe(b["at"]), how).drop("at")
+
+
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """key, source, size, source_size, target, taken (words that the mix takes, repeats counted), copies.
+
+    Documents are taken whole, up to the one with which a source's words come nearest to its target. A null text has
+    size 0 and takes nothing; a null source is a source, the last in order; a source of size 0 has target 0. Rows that
+    repeat a key are ranked alike, then by size. An empty table gives an empty result. The same table gives the same mix.
+    """
+    sure, some, _, _ = _ranked(docs, key, text, source, weights, share, most, seed)
     out = sure.unionByName(some).withColumn("copies", F.col("whole") + F.col("extra"))
     return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
@@ -92,10 +103,27 @@ def _where_it_ends(rows: DataFrame, part: Column) -> DataFrame:
     return bins.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("size")).alias("before"))).alias("e")).select("source", "e.bin", "e.before")
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs with size, source_size, target, taken and copies beside their own columns; rows not taken stay with 0 copies."""
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """docs with size, source_size, target, taken and copies beside their own columns; rows not taken stay with 0 copies.
+
+    The same mix as sample(), but the rows of a source that repeat a key are taken alike. Each source's sample is known
+    by the place where it ends, one row a source, so texts meet that row where they are read and aren't shuffled. If
+    names clash, the new columns get underscores before them.
+    """
     names = fresh(docs, "size", "source_size", "target", "taken", "copies")
-    mine = sample(docs, key, **options)
-    (k,) = fresh(docs, "_k")
-    mine = mine.groupBy(F.col(key).alias(k)).agg(*(F.max(c).alias(n) for c, n in zip(("size", "source_size", "target", "taken", "copies"), names, strict=True)))
-    return docs.join(mine, F.col(f"`{key}`").eqNullSafe(F.col(k)), "left").drop(k)
+    _, some, goal, small = _ranked(docs, key, text, source, weights, share, most, seed)
+    # the bin in which a source's sample ends, and the last place in it that is taken, if any
+    ends = some.groupBy("source").agg(F.first("e2").alias("bin"), F.max(F.when(F.col("extra") > 0, F.struct("draw", "key"))).alias("upto"))
+    ends = ends.withColumnRenamed("source", "at")
+    cuts = saved(_meet(goal, ends, small, "left").select(F.struct("source", "source_size", "target", "whole", "bin", "upto").alias("cut")), "cuts")
+    held = fresh(docs, *names, "_cut", "_size", "_draw")[5:]
+    cut, size, drawn = (F.col(f"`{c}`") for c in held)
+    own = F.col(f"`{key}`")
+    cuts = cuts.withColumnRenamed("cut", held[0])
+    out = docs.join(F.broadcast(cuts) if small else cuts, F.col(f"`{source}`").cast("string").eqNullSafe(cut["source"]), "left")
+    out = out.withColumns({held[1]: word_count(F.col(f"`{text}`")), held[2]: draw(own, seed)})
+    bin2 = F.shiftright(drawn, 24)
+    inside = (bin2 == cut["bin"]) & (F.struct(drawn.alias("draw"), own.alias("key")) <= cut["upto"])
+    copies = cut["whole"] + F.coalesce((bin2 < cut["bin"]) | inside, F.lit(False)).cast("long")
+    made = (size, cut["source_size"], cut["target"], copies * size, copies)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(c.alias(n) for c, n in zip(made, names, strict=True)))
