@@ -254,15 +254,26 @@ def deslug(c: Column) -> Column:
 
 def resolve(path: Column, tag_artist: Column, tag_title: Column) -> Column:
     """struct artist, title, source, confident, by the first of: name, title tag, tags, name's title, slug."""
-    p = parse_name(path)
-    by_name = normalize(p["artist"], p["title"])
-    name_ok = p["parseable"] & ~looks_slug(p["artist"]) & ~looks_slug(p["title"]) & (by_name["artist"] != "") & (by_name["title"] != "")
     ta, tt = norm_dashes(tag_artist), norm_dashes(tag_title)
-    has, left, right = _halves(tt)
+    read = F.struct(parse_name(path).alias("name"), ta.alias("ta"), tt.alias("tt"))
+    return bound(read, lambda x: bound(_readings(x), lambda y: _first_sure(x, y)))
+
+
+def _readings(x: Column) -> Column:
+    """The artist and title by name, by title tag and by both tags, and whether the title tag has both."""
+    has, left, right = _halves(x["tt"])
+    by_name = normalize(x["name"]["artist"], x["name"]["title"])
     by_title = normalize(light(left), clean_title(light(right)))
-    title_ok = has & (by_title["artist"] != "") & (by_title["title"] != "")
-    by_tags = normalize(ta, clean_title(tt))
-    tags_ok = (ta != "") & (tt != "") & ~F.lower(ta).isin(*VARIOUS) & (by_tags["artist"] != "") & (by_tags["title"] != "")
+    by_tags = normalize(x["ta"], clean_title(x["tt"]))
+    return F.struct(by_name.alias("by_name"), by_title.alias("by_title"), by_tags.alias("by_tags"), has.alias("has"))
+
+
+def _first_sure(x: Column, y: Column) -> Column:
+    """The first reading that holds: the cases of resolve()."""
+    p, by_name, by_title, by_tags = x["name"], y["by_name"], y["by_title"], y["by_tags"]
+    name_ok = p["parseable"] & ~looks_slug(p["artist"]) & ~looks_slug(p["title"]) & (by_name["artist"] != "") & (by_name["title"] != "")
+    title_ok = y["has"] & (by_title["artist"] != "") & (by_title["title"] != "")
+    tags_ok = (x["ta"] != "") & (x["tt"] != "") & ~F.lower(x["ta"]).isin(*VARIOUS) & (by_tags["artist"] != "") & (by_tags["title"] != "")
     own = tokens(p["stem"])
     title_cov, artist_cov = coverage(tokens(without_feat(by_tags["title"])), own), coverage(core_artist_tokens(by_tags["artist"]), own)
     sure = F.coalesce(title_cov >= 0.5, F.lit(True)) & F.coalesce(artist_cov != 0, F.lit(True))
