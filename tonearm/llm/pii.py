@@ -35,8 +35,8 @@ KINDS = {
     "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_ANY})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ORDER = ("email", "ip", "phone", "ssn", "secret", "iban", "card", "name")
-#: A text without any of these has no entity.
-CUE = rf"\d{{2}}|@|(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_ANY})\.? \p{{Lu}}"
+#: A text without any of these has no entity: every kind holds two adjacent digits, or its own part of these.
+CUE = rf"\d{{2}}|@|\d\.\d{{1,3}}\.\d|[0-9a-f]{{32}}|[0-9A-F]{{32}}|AKIA[0-9A-Z]{{16}}|(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_ANY})\.? \p{{Lu}}"
 ANY = "|".join(KINDS[k] for k in ORDER)
 
 _GIVEN = {("m", "l"): ("Alan", "Boris", "Carl", "David", "Emil", "Felix", "Georg", "Hugo"), ("f", "l"): ("Anna", "Berta", "Clara", "Dora", "Emma", "Frida", "Greta", "Helen"), ("m", "c"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Лев"), ("f", "c"): ("Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Инна", "Лидия")}
