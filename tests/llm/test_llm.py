@@ -69,6 +69,19 @@ def test_jaccard_odd_rows(odd):
     assert jaccard.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_jaccard_of_texts_under_one_id(spark):
+    """Two unrelated texts of one doc_id, each with a near copy, and a text of a doc_id that another one keeps."""
+    r = random.Random(7)
+    made = [[f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(3)]
+    near = lambda i: " ".join([*made[i][:-1], "other"])
+    a, b, c = map(" ".join, made)
+    rows = [(1, a), (1, b), (2, near(0)), (3, near(1)), (4, a), (5, b), (4, c), (6, near(2)), (7, c), (7, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.near_duplicates(docs).collect()))
+    assert got == sorted([(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 1, 2), (5, 1, 2), (4, 4, 3), (6, 4, 3), (7, 4, 3), (7, 4, 3)])
+    assert sorted(map(tuple, jaccard.keep_one(docs).collect())) == sorted([(1, a), (1, b), (4, c)])
+
+
 def test_tokens_equal_the_library(odd):
     from tokenizers import Tokenizer
 

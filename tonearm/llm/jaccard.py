@@ -2,7 +2,8 @@
 
 Texts are sets of shingles (runs of five words; a text of fewer words, but not none, is one shingle).
 
-1. Texts with the same words in the same order are one class; its smallest doc_id stands for it from here on.
+1. Texts with the same words in the same order are one class. Classes are numbered, and the number is what is linked from
+   here on: a doc_id may have several texts, so it can't stand for one of them.
 2. Each class has 96 MinHash values, dealt into 24 bands of 4. Two texts of Jaccard 0.8 share no band with a
    probability of 3e-6. Bands shared by the same classes are looked at once.
 3. In a band, values are compared block by block of the signature, and a pair is dropped as soon as the posterior
@@ -22,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,12 +118,17 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---- 1: sketches -----------------------------------------------------------------------------------------------------
 
 
+def digest(text: str) -> Column:
+    """Tells the texts of one doc_id apart; it is compared only between rows of the same doc_id."""
+    return F.xxhash64(F.col(text))
+
+
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, words (a 128-bit hash of the word sequence; null without words), signature, bands."""
+    """doc_id, digest (of the text, to tell a doc_id's texts apart), words (a 128-bit hash of the word sequence; null without words), signature, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, buf, off in shards(batch.column(1), SHARD_BYTES):
+            for begin, end, buf, off in shards(batch.column(2), SHARD_BYTES):
                 s = Scan(buf, off)
                 values, at = shingles(s, WORDS)
                 sig = minhash(values, at)
@@ -136,9 +142,9 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                         whole[full, j] = mixed(whole[full, j] + n[full].astype(np.uint64))
                 words = [whole[i].tobytes() if n[i] else None for i in range(len(n))]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BANDS + 1, BANDS), pa.int32()), pa.array(band_keys(sig).ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), bands], names=["doc_id", "words", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in range(2)), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), bands], names=["doc_id", "digest", "words", "signature", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, words binary, signature binary, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("digest"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, digest long, words binary, signature binary, bands array<long>")
 
 
 # ---- 3: links within bands -------------------------------------------------------------------------------------------
@@ -361,9 +367,9 @@ def verified(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple
 def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
     """rep, other, links, m: other links rep into a forest of the verified pairs; links are counts of verified partners, weighted by the partners' copies."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "label").join(classes.select(F.col("rep").alias("node"), "signature", "copies"), "node")
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    rows = texts.join(members, "node").select("node", "label", "n", "copies", "signature", "text")
+    members = groups.join(sizes, "label").join(classes.select(F.col("rep").alias("node"), F.col("first.doc_id").alias("id"), F.col("first.digest").alias("digest"), "signature", "copies"), "node")
+    texts = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("digest"), F.col(text).alias("text"))
+    rows = texts.join(members, ["id", "digest"]).select("node", "label", "n", "copies", "signature", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +388,7 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, tex
         for t in runs_of(batches, ["label", "i", "j"]):
             name, label, low = (t.column(c).to_numpy() for c in ("node", "label", "i"))
             first = np.append(True, (name[1:] != name[:-1]) | (label[1:] != label[:-1]) | (low[1:] != low[:-1]) | (t.column("j").to_numpy()[1:] != t.column("j").to_numpy()[:-1]))
-            if not first.all():  # rows that repeat a doc_id
+            if not first.all():  # rows that repeat a doc_id and its text
                 t = t.filter(pa.array(first))
             node, copies, block = (t.column(c).to_numpy() for c in ("node", "copies", "block"))
             keys = np.stack([t.column(c).to_numpy() for c in ("label", "i", "j")])
@@ -409,34 +415,48 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, tex
 # ---- the whole -------------------------------------------------------------------------------------------------------
 
 
+def classed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, digest, kept (doc_id and digest of the first text of the row's component), n_links: one row for each row of docs."""
+    sketches = saved(sketch(docs, key, text), "sketches")
+    known = sketches.where("doc_id is not null and words is not null")
+    groups = known.groupBy("words").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("copies"))
+    first = groups.select("words", "first.doc_id", "first.digest", "copies")
+    reps = known.join(first, ["words", "doc_id", "digest"]).dropDuplicates(["words"])
+    reps = reps.select("words", F.struct("doc_id", "digest").alias("first"), "copies", "signature", "bands")
+    # numbered in the order of their first texts: copies of one text then have the same leader, it, in every band
+    classes = saved(reps.orderBy("first").withColumn("rep", F.monotonically_increasing_id()), "classes")
+    candidates = connected(links_in_bands(classes))
+    pairs = saved(verify(docs, classes, candidates, key, text), "verified")
+    links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
+    final = connected(pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    linked = classes.select("rep", "words", "first", "copies").join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").join(links, "rep", "left")
+    kept = linked.where("label is not null").groupBy("label").agg(F.min("first").alias("kept"))
+    by_words = linked.join(kept, "label", "left")
+    by_words = by_words.select("words", F.coalesce("kept", "first").alias("kept"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = sketches.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words")).join(by_words, "words", "left")
+    return out.select("doc_id", "digest", F.coalesce("kept", F.struct("doc_id", "digest")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links: one row for each row of docs.
 
     class_id: the smallest doc_id of the connected component of texts with a Jaccard of 0.8 or more over five-word
     shingles. n_links: how many other documents (copies too) have that similarity with this one. Texts without words
     (null, empty, punctuation) are alike to nothing: their own class, no links; so are rows without a doc_id, whose
-    class_id is null. Rows that repeat a doc_id with one text count as copies; a doc_id with several texts is linked by
-    each, and its class is the smallest among them. An empty table gives an empty result. Extra columns are not read.
+    class_id is null. Rows that repeat a doc_id with one text count as copies; of a doc_id with several texts, each row
+    has the class and links of its own text. An empty table gives an empty result. Extra columns are not read.
     """
-    sketches = saved(sketch(docs, key, text), "sketches")
-    known = sketches.where("doc_id is not null and words is not null")
-    groups = known.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = known.join(groups.select("words", F.col("rep").alias("doc_id"), "copies"), ["words", "doc_id"])
-    classes = saved(reps.select(F.col("doc_id").alias("rep"), "copies", "signature", "bands").dropDuplicates(["rep"]), "classes")
-    # a doc_id with several texts stands for the first of them only as a node; its other texts have nodes of their own ids
-    candidates = connected(links_in_bands(classes))
-    pairs = saved(verify(docs, classes, candidates, key, text), "verified")
-    links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
-    final = connected(pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    by_words = groups.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").join(links, "rep", "left")
-    by_words = by_words.select("words", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words")).join(by_words, "words", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return classed(docs, key, text).select("doc_id", F.col("kept.doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the class_id. Rows without a doc_id stay."""
-    keep, at = fresh(docs, "_keep", "_at")
-    first = near_duplicates(docs, key, text).where("doc_id = class_id").select(F.col("doc_id").alias(keep)).distinct()
-    some = docs.join(first, F.col(f"`{key}`").cast("long") == F.col(keep), "left_semi")
-    return some.dropDuplicates([key]).unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    """docs with one document of each group: one whose doc_id is the class_id. Rows without a doc_id stay.
+
+    Of rows that repeat a doc_id and its text one stays; a doc_id's other texts stay unless they are copies themselves.
+    """
+    keep, same, own = fresh(docs, "_keep", "_same", "_own")
+    first = classed(docs, key, text).where((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest")))
+    first = first.select(F.col("doc_id").alias(keep), F.col("digest").alias(same)).distinct()
+    marked = docs.where(F.col(f"`{key}`").isNotNull()).withColumn(own, digest(text))
+    some = marked.join(first, (F.col(f"`{key}`").cast("long") == F.col(keep)) & (F.col(own) == F.col(same)), "left_semi")
+    return some.dropDuplicates([key, own]).drop(own).unionByName(docs.where(F.col(f"`{key}`").isNull()))
