@@ -31,7 +31,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars follows the text."""
     (count,) = fresh(docs, "n_entities")
-    out = pii.pseudonymise(docs).drop(count)
+    out = pii.pseudonymise(docs, pii.session_key(spark)).drop(count)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
