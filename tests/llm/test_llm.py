@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import decontam, jaccard, license, mixing, quality, queries, tokens, topk, urls, warc
+from tonearm.llm import decontam, jaccard, license, mixing, quality, queries, tokens, urls, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -183,21 +183,6 @@ def test_urls(spark):
     assert all((bias + sum(w[g] for g in set(urls.grams(*urls.split_url(u)))) > 0) == bool(y) for u, y in urls.labelled())
 
 
-def test_top_k_against_brute_force(spark):
-    r = np.random.default_rng(1)
-    v = r.standard_normal((300, 8)).astype(np.float32)
-    v[50:90] = v[0]
-    rows = [(i, [float(x) for x in v[i]], "e") for i in range(300)] + [(400, None, "e"), (420, [float("nan")] * 8, "e"), (440, [1.0, 2.0], "e")]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")).collect()
-    q = np.floor(64 * v.astype(np.float64)).astype(int)
-    want = []
-    for i in range(0, 300, 20):
-        s = q @ q[i]
-        best = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:20]
-        want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate(best)]
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
 def test_mixing(spark, odd):
     got = mixing.sample(odd).collect()
     assert len(got) == odd.count() and all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)

@@ -1,9 +1,14 @@
 """Exact top-k search by vector-approximation files.
 
-Vectors of integers are packed into blocks. A block's approximation holds for every component the quantised cell that it
-lies in. For a query, the cells bound the inner product from below and above; the k-th best lower bound rules out most
-vectors, and the rest are read exactly, in the order of their upper bounds, until the k-th result is certain.
-Query blocks meet candidate blocks in a grid, each cell of it one row, so no task holds more than one block of each.
+1. Vectors of integers get one byte for each component: the number of the quantised cell that it lies in. Blocks of these
+   are the approximation file, a table of its own; exact vectors stay in theirs.
+2. Every block of queries scans the file once, block after block. Cells bound each inner product from below and above; the
+   k-th best lower bound so far is carried along, and what can't reach it is dropped at once. Long files are scanned in
+   spans at a time, whose bounds are put together afterwards.
+3. The exact vectors of what is left are read in the order of the bounds: first 2k for each query; of the rest only those
+   whose upper bound still reaches the k-th exact score. Then the result is certain.
+
+Of equal vectors only the k + 1 smallest ids are candidates: others can't be among the k best of any query.
 """
 
 from __future__ import annotations
@@ -16,13 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import drop_saved, saved
 
-QUERY_BLOCK, CANDIDATE_BLOCK, SUB = 1024, 16384, 2048
-#: A cell is as wide as the range of the block's components over 2 ** CELL_BITS, rounded up to a power of two.
+#: Queries of a block: a 64th of them, between these. Vectors of a block of the file, blocks of a span, vectors compared at a time.
+QUERY_BLOCK, CELL_BLOCK, SPAN, SUB = (512, 4096), 16384, 64, 2048
+#: A cell is as wide as the range of all components over 2 ** CELL_BITS, rounded up to a power of two. At most 8.
 CELL_BITS = 6
+#: Parts of a group of equal vectors that are thinned out by themselves first.
+SALTS = 8
 
-PACKED = "dim int, block int, n int, ids binary, vectors binary"
+LEAST = np.iinfo(np.int64).min // 2
+FILE = "dim int, block int, rows binary, ids binary, data binary"
 
 
 def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -32,17 +41,25 @@ def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     return rows.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def packed(vectors: DataFrame, blocks: int) -> DataFrame:
-    """One row for each block (by a hash of the key) and dimension: the keys and the vectors, as bytes."""
+def thinned(vectors: DataFrame, most: int) -> DataFrame:
+    """The `most` rows of smallest ids of each group of equal vectors; large groups are cut down in parts before they meet."""
+    out = vectors.withColumn("_s", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    for by in (("v", "_s"), ("v",)):
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id", "row"))).where(F.col("_r") <= most)
+    return out.drop("_s", "_r")
+
+
+def blocks(vectors: DataFrame, n: int, low: int | None = None, width: int = 1) -> DataFrame:
+    """One row for each block (by a hash of the row) and dimension: row numbers, ids, and cells (with low) or exact vectors as bytes."""
 
     def pack(group: pa.Table) -> pa.Table:
-        v = group.column("v").combine_chunks()
-        flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = group.column("vec_id").to_numpy().astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        return pa.table({"dim": pa.array([len(flat) // len(ids)], pa.int32()), "block": group.column("block")[:1].cast(pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([flat.reshape(len(ids), -1)[order].tobytes()], pa.binary())})
+        flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        data = flat if low is None else ((flat - low) // width).astype(np.uint8)
+        rows, ids = (group.column(c).to_numpy().astype(np.int64) for c in ("row", "vec_id"))
+        one = {"rows": rows.tobytes(), "ids": ids.tobytes(), "data": data.tobytes()}
+        return pa.table({"dim": pa.array([len(flat) // len(ids)], pa.int32()), "block": group.column("block")[:1].cast(pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in one.items()}})
 
-    return vectors.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")}).groupBy("dim", "block").applyInArrow(pack, PACKED)
+    return vectors.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")}).groupBy("dim", "block").applyInArrow(pack, FILE)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,52 +69,70 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
 
 
-class File:
-    """The approximation file of one block of vectors: bounds by cells, exact vectors beside them."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.exact = vectors
-        low, high = int(vectors.min()), int(vectors.max())
-        self.width = 1 << max(0, (-(-(high - low + 1) // (1 << CELL_BITS)) - 1).bit_length())
-        self.low = low
-        self.cells = ((vectors - low) // self.width).astype(np.uint8)
-
-    def bounds(self, queries: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of queries x vectors[first:end]: cells span [floor, floor + width - 1]."""
-        floor = self.cells[first:end].astype(np.int64) * self.width + self.low
-        base = product(queries, floor)
-        slack = self.width - 1
-        return base + slack * np.minimum(queries, 0).sum(1)[:, None], base + slack * np.maximum(queries, 0).sum(1)[:, None]
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, file: File, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best of the block: query row, id, score (all that there are, if fewer; ties to smaller ids)."""
-    kept_id = [np.zeros(0, np.int64)] * len(q)
-    kept_score = [np.zeros(0, np.int64)] * len(q)
-    for first in range(0, len(ids), SUB):
-        end = min(first + SUB, len(ids))
-        lower, upper = file.bounds(q, first, end)
-        own = q_ids[:, None] == ids[None, first:end]
-        least = np.iinfo(np.int64).min
-        lower[own], upper[own] = least, least
-        if end - first > k:
-            at_least = np.partition(lower, end - first - k, axis=1)[:, end - first - k]
-        else:
-            at_least = np.full(len(q), least)
-        for i in range(len(q)):
-            bar = max(at_least[i], kept_score[i][-1] if len(kept_score[i]) == k else least)
-            able = np.flatnonzero((upper[i] >= bar) & (upper[i] > least))
-            able = able[np.argsort(-upper[i][able], kind="stable")]
-            at, step = 0, 2 * k
-            while at < len(able) and not (len(kept_score[i]) == k and upper[i][able[at]] < kept_score[i][-1]):
-                some = able[at : at + step]
-                score = product(q[i : i + 1], file.exact[first + some])[0]
-                score, near = np.concatenate([kept_score[i], score]), np.concatenate([kept_id[i], ids[first + some]])
-                best = np.lexsort((near, -score))[:k]
-                kept_score[i], kept_id[i] = score[best], near[best]
-                at, step = at + step, 2 * step
-    n = [len(x) for x in kept_id]
-    return np.repeat(np.arange(len(q)), n), np.concatenate(kept_id), np.concatenate(kept_score)
+class Scan:
+    """One block of queries on its way through the file."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, low: int, width: int):
+        self.rows, self.ids, self.q, self.k, self.low, self.width = rows, ids, q, k, low, width
+        self.base = (width - 1) * np.minimum(q, 0).sum(1)
+        self.slack = (width - 1) * np.abs(q).sum(1)
+        self.best = np.full((len(q), k), LEAST)  # the k best lower bounds of each query
+        self.bar = np.full(len(q), LEAST)
+        self.held: list[tuple[np.ndarray, ...]] = []  # query, row, id, lower bound
+        self.n = 0
+
+    def look(self, rows: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> None:
+        for at in range(0, len(ids), SUB):
+            some = slice(at, at + SUB)
+            lower = product(self.q, cells[some].astype(np.int64) * self.width + self.low) + self.base[:, None]
+            own = self.ids[:, None] == ids[None, some]
+            lower[own] = LEAST
+            both = np.concatenate([self.best, lower], axis=1)
+            self.best = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+            self.bar = self.best.min(1)
+            i, j = np.nonzero((lower + self.slack[:, None] >= self.bar[:, None]) & ~own)
+            self.held.append((i, rows[some][j], ids[some][j], lower[i, j]))
+            self.n += len(i)
+            if self.n > 8 * self.k * len(self.q):
+                self._thin()
+
+    def _thin(self) -> None:
+        i, row, near, lower = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        able = lower + self.slack[i] >= self.bar[i]
+        self.held, self.n = [(i[able], row[able], near[able], lower[able])], int(able.sum())
+
+    def left(self) -> pa.RecordBatch:
+        """What may still be among the k best: q_row, row, vec_id, lower, upper."""
+        if self.held:
+            self._thin()
+        i, row, near, lower = self.held[0] if self.held else (np.zeros(0, np.int64),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (self.rows[i], row, near, lower, lower + self.slack[i])], names=["q_row", "row", "vec_id", "lower", "upper"])
+
+
+def scanned(queries: DataFrame, cells: DataFrame, q_blocks: int, c_blocks: int, k: int, low: int, width: int) -> DataFrame:
+    """What the scan of the file leaves: q_row, row, vec_id, lower, upper. A task holds one block of queries and one of cells at a time."""
+    spans, span = -(-c_blocks // SPAN), SPAN
+    asked = queries.select("dim", F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"), F.lit(-1).alias("c_block"), "rows", "ids", "data")
+    file = cells.select("dim", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.floor(F.col("block") / span).cast("int").alias("span"), F.col("block").alias("c_block"), "rows", "ids", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, scan = None, None
+        for batch in batches:
+            for r in batch.to_pylist() if batch.num_rows < 2 else (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                rows, ids = (np.frombuffer(r[c], np.int64) for c in ("rows", "ids"))
+                if r["c_block"] < 0:
+                    if scan:
+                        yield scan.left()
+                    now = (r["dim"], r["q_block"], r["span"])
+                    scan = Scan(rows, ids, np.frombuffer(r["data"], np.int64).reshape(-1, r["dim"]), k, low, width)
+                elif now == (r["dim"], r["q_block"], r["span"]):  # else: no queries of this dimension in the block
+                    scan.look(rows, ids, np.frombuffer(r["data"], np.uint8).reshape(-1, r["dim"]))
+        if scan:
+            yield scan.left()
+
+    by = ("dim", "q_block", "span")
+    dealt = asked.unionByName(file).repartition(min(4096, q_blocks * spans), *by).sortWithinPartitions(*by, "c_block")
+    return dealt.mapInArrow(run, "q_row long, row long, vec_id long, lower long, upper long")
 
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -105,24 +140,41 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
 
     Queries: the rows whose key is divisible by `every`; candidates: every row but those with the query's own key, of
     the same dimension. Ties go to the smaller vec_id; with fewer than k candidates, all are returned. Rows that repeat a
-    key and its vector count once. An empty table gives an empty result. Extra columns are not read.
+    key and its vector are one query, but each is a candidate; a key with several vectors is several queries. Vectors that
+    are null, empty or hold null or non-finite components take no part. An empty table gives an empty result. Extra
+    columns are not read.
     """
-    vectors = saved(integer_vectors(df, key, vector, scale).distinct(), "vectors")
-    sizes = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    q_blocks, c_blocks = max(1, -(-sizes["q"] // QUERY_BLOCK)), max(1, -(-sizes["n"] // CANDIDATE_BLOCK))
-    queries = packed(vectors.where(F.col("vec_id") % every == 0), q_blocks).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    candidates = packed(vectors, c_blocks).select("dim", F.col("block").alias("c_block"), "ids", "vectors")
-    grid = queries.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))).join(candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))), ["dim", "q_block", "c_block"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                dim = batch.column("dim")[row].as_py()
-                read = lambda name: np.frombuffer(batch.column(name)[row].as_py(), np.int64)  # noqa: B023, E731
-                q_ids, ids = read("q_ids"), read("ids")
-                i, near, score = search(q_ids, read("q_vectors").reshape(-1, dim), ids, File(read("vectors").reshape(-1, dim)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = grid.mapInArrow(run, "query_id long, vec_id long, score long")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vectors = saved(integer_vectors(df, key, vector, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = saved(vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.min("row").alias("row")), "queries")
+    one = vectors.agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
+    n_queries = asked.count()
+    if not n_queries:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    size = max(QUERY_BLOCK[0], min(QUERY_BLOCK[1], n_queries // 64))
+    q_blocks, c_blocks = -(-n_queries // size), -(-one["n"] // CELL_BLOCK)
+    low, width = int(one["low"]), 1 << max(0, (-(-(one["high"] - one["low"] + 1) // (1 << CELL_BITS)) - 1).bit_length())
+    cells = saved(blocks(thinned(vectors, k + 1), c_blocks, low, width), "cells")
+    left = saved(scanned(blocks(asked, q_blocks), cells, q_blocks, c_blocks, k, low, width), "able")
+    drop_saved(cells)
+    order = Window.partitionBy("q_row").orderBy(F.desc("lower"), "vec_id", "row")
+    if c_blocks > SPAN:  # the spans' bounds together
+        bars = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("q_row").agg(F.when(F.count("*") == k, F.min("lower")).alias("bar"))
+        left = left.join(bars, "q_row").where(F.col("bar").isNull() | (F.col("upper") >= F.col("bar"))).drop("bar")
+
+    def exactly(pairs: DataFrame) -> DataFrame:
+        """Pairs with the inner products of their exact vectors."""
+        met = pairs.join(vectors.select("row", "v"), "row").join(asked.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "q_row")
+        score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+        return met.select("q_row", "query_id", "vec_id", score.alias("score"))
+
+    if width == 1:  # the cells hold the vectors whole: nothing but the k best and their ties is left
+        read = exactly(left)
+    else:
+        ranked = left.withColumn("r", F.row_number().over(order))
+        first = saved(exactly(ranked.where(F.col("r") <= 2 * k)), "read")
+        best = Window.partitionBy("q_row").orderBy(F.desc("score"))
+        bars = first.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("q_row").agg(F.when(F.count("*") == k, F.min("score")).alias("bar"))
+        rest = ranked.where(F.col("r") > 2 * k).join(bars, "q_row").where(F.col("bar").isNull() | (F.col("upper") >= F.col("bar"))).select(*left.columns)
+        read = first.unionByName(exactly(rest))
+    rank = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
+    return read.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
