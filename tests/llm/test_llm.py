@@ -8,27 +8,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import decontam, jaccard, license, mixing, quality, queries, tokens, urls, warc
+from tonearm.llm import decontam, jaccard, license, quality, queries, tokens, urls, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int, size int"
 
 
 def words(t):
     return WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls, empty and very long texts, ties, repeated rows, clashing names."""
-    r = random.Random(3)
-    long = " ".join(r.choice(["alpha", "beta", "gamma", "delta", "épsilon"]) + str(r.randrange(99)) for _ in range(30000))
-    texts = [None, "", "...", "one two", long, long + " more", "a b c d e f g h i j k l m n", "a b c d e f g h i j k l m n", "x" * 200000]
-    rows = [(i, t, "en", None if i % 3 == 0 else f"s{i % 2}", len(t or ""), 1, 2) for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[6], (None, "a b c d e f g h i j k l m n", None, None, None, None, None)], DOCS)
-
-
 def brute_links(rows):
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := words(t))}
     near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
@@ -183,29 +172,6 @@ def test_urls(spark):
     assert all((bias + sum(w[g] for g in set(urls.grams(*urls.split_url(u)))) > 0) == bool(y) for u, y in urls.labelled())
 
 
-def test_mixing(spark, odd):
-    got = mixing.sample(odd).collect()
-    assert len(got) == odd.count() and all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)
-    assert [tuple(r) for r in sorted(got, key=repr)] == [tuple(r) for r in sorted(mixing.sample(odd).collect(), key=repr)]
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    by = mixing.sample(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.max("size").alias("m")).collect()
-    assert all(abs(r.t - r.g) <= r.m / 2 for r in by)
-    assert mixing.sample(odd.limit(0)).count() == 0
-
-
-def test_mixed_documents_are_the_sample(spark, odd):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for table, size in ((docs, "size"), (odd, "_size"), (odd.limit(0), "_size"), (odd.where("doc_id is null"), "_size")):
-        made = mixing.mixed_documents(table)
-        assert made.columns == [*table.columns, size, "source_size", "target", "taken", "copies"]
-        most = {}  # of the rows of a source and key
-        for r in mixing.sample(table).collect():
-            most[r.source, r.doc_id] = max(most.get((r.source, r.doc_id), 0), r.copies)
-        rows = made.collect()
-        assert len(rows) == table.count()
-        assert all(r.copies == most[r.source, r.doc_id] and r.taken == r.copies * r[size] for r in rows)
-
-
 def test_pipeline(spark):
     import corpus_pipeline as P
 

@@ -103,11 +103,16 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) %
 l AS (SELECT *, cap / weight AS r, ((SELECT sum(source_size) FROM w) * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, coalesce(least((SELECT arg_min(level, r) FROM l WHERE level <= r) * weight, cap), cap) AS target FROM l),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-x AS (SELECT d.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS missing,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS run
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, source, size, source_size, target, (whole + CASE WHEN missing > 0 AND (run - missing) * 2 <= size THEN 1 ELSE 0 END) * size AS taken FROM x"""
+g AS (SELECT *, target - whole * source_size AS missing FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t)),
+z AS (SELECT d.source, d.size, g.missing, count(*) AS n FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WHERE d.size > 0 GROUP BY 1, 2, 3),
+f AS (SELECT a.source, a.size, (a.missing - coalesce((SELECT sum(b.size * b.n) FROM z b WHERE b.source IS NOT DISTINCT FROM a.source AND b.size > a.size), 0))
+    / CAST((SELECT sum(CAST(b.size AS HUGEINT) * b.size * b.n) FROM z b WHERE b.source IS NOT DISTINCT FROM a.source AND b.size <= a.size) AS DOUBLE) AS factor FROM z a),
+h AS (SELECT source, arg_max(factor, size) AS factor FROM f WHERE factor * size < 1 GROUP BY 1),
+o AS (SELECT d.*, g.source_size, g.target, g.whole, g.missing, d.size * h.factor AS p, (draw + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+q AS (SELECT *, CASE WHEN size = 0 OR missing <= 0 THEN NULL WHEN p >= 1 THEN 0::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS q FROM o),
+x AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY CAST(floor(q / (1 + q) * 281474976710656.0::DOUBLE) AS BIGINT), doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM q)
+SELECT doc_id, source, size, source_size, target, (whole + CASE WHEN q IS NOT NULL AND (run - missing) * 2 <= size THEN 1 ELSE 0 END) * size AS taken FROM x"""
 
 
 def oracle_sql() -> dict[str, str]:
