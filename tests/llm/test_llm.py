@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import decontam, jaccard, license, quality, queries, tokens, urls, warc
+from tonearm.llm import decontam, jaccard, license, quality, queries, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -162,16 +162,6 @@ def test_licenses(spark, odd):
     assert license.scan(odd).count() == odd.count()
 
 
-def test_urls(spark):
-    rows = [(1, "http://A.Example.NET/en/x?y"), (2, "http://example.net.org/fr/"), (3, None), (4, "no scheme"), (5, "http://spam-farm.example.org/en/1"), (6, "http://x.example.com/de/1#z"), (7, "http://example.net?x")]
-    got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(*r, "h") for r in rows], "page_id int, url string, host string")).collect()}
-    assert (got[1]["_host"], got[1].rule, got[1].verdict) == ("a.example.net", "example.net/en/", "allow")
-    assert got[2].rule == "org/fr/" and got[3]["_host"] == got[4].path == "" and got[5].verdict == "block" and got[6].rule == "example.com/de/"
-    assert got[7].rule is None and got[7].path == ""
-    bias, w = urls.train()
-    assert all((bias + sum(w[g] for g in set(urls.grams(*urls.split_url(u)))) > 0) == bool(y) for u, y in urls.labelled())
-
-
 def test_pipeline(spark):
     import corpus_pipeline as P
 
