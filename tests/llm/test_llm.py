@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import decontam, jaccard, license, quality, queries, tokens, warc
+from tonearm.llm import decontam, jaccard, quality, queries, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -154,14 +154,6 @@ def test_arc_version_2_and_broken_archives():
         list(warc.arc_records(data[:-4]))
 
 
-def test_licenses(spark, odd):
-    lines = ["Nothing here.\nReleased under the MIT License.\nThe end.", "LICENSED!! UNDER!! CC!! BY-NC!! 4.0.!!", "The license to drive a car", None, ""]
-    got = license.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [[(x.family, x.paragraph) for x in r.licenses] for r in got] == [[("mit", 1)], [("cc", 0)], [], [], []]
-    assert [r.n_paragraphs for r in got] == [3, 1, 1, 0, 1]
-    assert license.scan(odd).count() == odd.count()
-
-
 def test_pipeline(spark):
     import corpus_pipeline as P
 
