@@ -131,18 +131,22 @@ def test_decontamination_against_brute_force(spark, odd, block_bytes):
     assert [(m.item_start, m.doc_start, m.n_words) for m in best] == [(0, 0, 14)]
 
 
-def test_warc_round_trip(spark):
-    long = "<p>é" + "x" * 200
-    rows = [(5, "http://a b/\n?q=1", long), (3, None, long), (9, "http://c", "short"), (10, "http://c", "short"), (7, "http://d", None), (3, "http://e", long), (-4, "dns:x", "WARC/1.1\r\n\r\n" * 20)]
-    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, archive string")
-    got = warc.archived(pages).collect()
-    assert len(got) == 7
-    for r in got:
-        htmls = {(h or "").encode() for i, _, h in rows if i == r.page_id}
-        assert (r.payload_bytes, r.payload_digest) in {(len(h), hashlib.sha256(h).hexdigest()) for h in htmls}
-    revisits = [r for r in got if r.warc_type == "revisit"]
-    assert len(revisits) == 2 and {r.refers_to_page for r in revisits} == {3}
-    assert warc.archived(pages.limit(0)).count() == 0
+def test_warc_round_trip(spark, monkeypatch):
+    """Also with archives of a few records each, so that revisits and their responses lie apart, and a very long payload."""
+    long, very = "<p>é" + "x" * 200, "<b>" * 700_000
+    rows = [(5, "http://a b/\n?q=1", long), (3, None, long), (9, "http://c", "short"), (10, "http://c", "short"), (7, "http://d", None), (3, "http://e", long), (-4, "dns:x", "WARC/1.1\r\n\r\n" * 20), (11, "http://v", very), (12, "http://w", very), (None, "http://n", long), (None, None, None)]
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, archive string").coalesce(2)
+    for size in (16 << 20, 300):
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
+        got = warc.archived(pages).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            htmls = {(h or "").encode() for i, _, h in rows if i == r.page_id}
+            assert (r.payload_bytes, r.payload_digest) in {(len(h), hashlib.sha256(h).hexdigest()) for h in htmls}
+        revisits = sorted((r.page_id is None, r.page_id, r.refers_to_page) for r in got if r.warc_type == "revisit")
+        assert revisits == [(False, 3, 3), (False, 5, 3), (False, 12, 11), (True, None, 3)]
+        assert all(r.refers_to in {x.record_id for x in got} for r in got if r.warc_type == "revisit")
+    assert warc.archived(pages.limit(0)).collect() == []
 
 
 def test_arc_version_2_and_broken_archives():

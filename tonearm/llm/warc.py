@@ -126,8 +126,13 @@ def unzipped(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files at path, without their version blocks."""
+def page_id(head: bytes) -> int | None:
+    key = re.search(rb"(?im)^X-Page-Id: (-?\d+)\r?$", head)
+    return int(key[1]) if key else None
+
+
+def read_arc(spark: SparkSession, path: str, heads: bool = False) -> DataFrame:
+    """The records of all ARC files at path, without their version blocks. heads: blocks are empty."""
     names = RECORD.replace(",", "").split()[::2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +143,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                     if f["url"].startswith("filedesc://"):
                         continue
                     head, payload = split_http(block)
-                    key = re.search(rb"(?im)^X-Page-Id: (-?\d+)\r?$", head)
-                    rows.append((file.as_py(), at, version, f["url"], f["ip"], f["date"], f["type"], int(key[1]) if key else None, bool(head), block, len(payload), hashlib.sha256(payload).hexdigest()))
-                    held += len(block)
+                    rows.append((file.as_py(), at, version, f["url"], f["ip"], f["date"], f["type"], page_id(head), bool(head), b"" if heads else block, len(payload), hashlib.sha256(payload).hexdigest()))
+                    held += 200 if heads else len(block)
                     if held > 4 << 20:
                         yield batch_of(rows)
                         rows, held = [], 0
@@ -188,46 +192,62 @@ def warc_record(kind: str, uri: str, date: str, url: str, ip: str, block: bytes,
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
+def converted(data: bytes, revisits: dict[int, dict]) -> Iterator[bytes]:
+    """The WARC archives (about ARCHIVE_BYTES each) of one ARC archive; revisits: the records, by offset, whose payload another one keeps."""
+    held: list[bytes] = []
+    size = 0
+    for at, _, f, block in arc_records(data):
+        if f["url"].startswith("filedesc://"):
+            continue
+        if not held:
+            body = b"software: tonearm\r\nformat: WARC File Format 1.1\r\n"
+            of = hashlib.sha256(body).hexdigest()
+            held = [warc_record("warcinfo", record_id(None, "warcinfo", DATE, of), iso(DATE), "urn:tonearm", "0.0.0.0", body, of, "application/warc-fields")]
+        head, payload = split_http(block)
+        digest = hashlib.sha256(payload).hexdigest()
+        kind, mime, more = ("response", "application/http; msgtype=response", ()) if head else ("resource", f["type"], ())
+        first = revisits.get(at)
+        if first is not None:
+            to = record_id(first["page_id"], first["url"], first["date"], digest)
+            kind, block = "revisit", head
+            more = (f"WARC-Refers-To: {to}", f"WARC-Refers-To-Target-URI: {first['url']}", f"WARC-Refers-To-Date: {iso(first['date'])}", f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Full-Payload-Length: {len(payload)}")
+        held.append(warc_record(kind, record_id(page_id(head), f["url"], f["date"], digest), iso(f["date"]), f["url"], f["ip"], block, digest, mime, more))
+        size += len(held[-1])
+        if size >= ARCHIVE_BYTES:
+            yield b"\r\n\r\n".join(held)
+            held, size = [], 0
+    if held:
+        yield b"\r\n\r\n".join(held)
+
+
 def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT) -> None:
-    """ARC files at arc to WARC files at warc.
+    """ARC files at arc to WARC files at warc, archive by archive.
 
     Of records with equal payloads of at least `least` bytes, the one with the smallest page_id (then archive and
-    offset; null page_ids last) is the response, others revisit it. The digests meet without the payloads, so a payload
-    that a third of all records share costs partial counts only, and the join that follows can be split where it is hot.
+    offset; null page_ids last) is the response, others revisit it. Only heads (digest, key, place) are shuffled for
+    that. The records that revisit are sent back as one list for each archive that has some, which meets its archive,
+    compressed as it is; payloads aren't shuffled.
     """
-    from .common import saved
+    from .common import drop_saved, saved
 
-    records = read_arc(spark, arc)
     place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "archive", "at", "url", "date")
-    heads = saved(records.where(F.col("payload_bytes") >= least).select("payload_digest", place.alias("place")), "arc-heads")
+    heads = saved(read_arc(spark, arc, heads=True).where(F.col("payload_bytes") >= least).select("payload_digest", place.alias("place")), "arc-heads")
     shared = heads.groupBy("payload_digest").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+    other = (F.col("place.archive") != F.col("best.archive")) | (F.col("place.at") != F.col("best.at"))
+    again = heads.join(shared, "payload_digest").where(other).select(F.col("place.archive").alias("archive"), F.struct("place.at", "best.page_id", "best.url", "best.date").alias("r"))
+    lists = saved(again.groupBy("archive").agg(F.collect_list("r").alias("revisits")), "revisits")  # an archive's records: bounded by its size
+    drop_saved(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        size = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-                if not held:
-                    body = b"software: tonearm\r\nformat: WARC File Format 1.1\r\n"
-                    held = [warc_record("warcinfo", record_id(None, "warcinfo", DATE, hashlib.sha256(body).hexdigest()), iso(DATE), "urn:tonearm", "0.0.0.0", body, hashlib.sha256(body).hexdigest(), "application/warc-fields")]
-                uri = record_id(r["page_id"], r["url"], r["date"], r["payload_digest"])
-                first = r["best"]
-                kind, block, more = "response" if r["http"] else "resource", r["block"], ()
-                if first is not None and (first["archive"], first["at"]) != (r["archive"], r["at"]):
-                    head, _ = split_http(block)
-                    to = record_id(first["page_id"], first["url"], first["date"], r["payload_digest"])
-                    kind, block = "revisit", head
-                    more = (f"WARC-Refers-To: {to}", f"WARC-Refers-To-Target-URI: {first['url']}", f"WARC-Refers-To-Date: {iso(first['date'])}", f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Full-Payload-Length: {r['payload_bytes']}")
-                held.append(warc_record(kind, uri, iso(r["date"]), r["url"], r["ip"], block, r["payload_digest"], "application/http; msgtype=response" if r["http"] else r["mime"], more))
-                size += len(held[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield one(b"\r\n\r\n".join(held))
-                    held, size = [], 0
-        if held:
-            yield one(b"\r\n\r\n".join(held))
+                data, own = (batch.column(c)[i].as_py() for c in ("content", "revisits"))
+                for archive in converted(unzipped(data), {r["at"]: r for r in own or ()}):
+                    yield one(archive)
 
-    write_archives(records.join(shared, "payload_digest", "left").mapInArrow(run, "value binary"), warc, "\r\n\r\n")
+    files = spark.read.format("binaryFile").load(arc).select("path", "content")
+    met = files.join(lists, files["path"] == lists["archive"], "left").select("content", "revisits")
+    write_archives(met.mapInArrow(run, "value binary"), warc, "\r\n\r\n")
 
 
 WARC = "warc_type string, record_id string, date string, url string, page_id long, payload_bytes long, payload_digest string, refers_to string, refers_to_page long"
@@ -278,8 +298,9 @@ def archived(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Write pages (page_id, url, html) as ARC files, convert these to WARC files and read the WARC records back.
 
     A null html is an empty payload; a null url becomes ``urn:none``. Records without a page_id have none afterwards.
-    Rows that repeat a page_id are records of their own: of those with equal payloads one is the response. An empty
-    table gives no archives and an empty result. Extra columns are not read.
+    Rows that repeat a page_id are records of their own: of those with equal payloads one is the response. A very long
+    payload is written whole, in an archive that is as much longer; a task holds one archive. An empty table gives no
+    archives and an empty result. Extra columns are not read.
     """
     from .common import new_path
 
