@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import decontam, jaccard, quality, queries, tokens, warc
+from tonearm.llm import decontam, jaccard, queries, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -83,34 +83,6 @@ def test_tokens_equal_the_library(odd):
     assert tokens.Counter(queries.vocabulary()).count([special]) == [len(t.encode(special, add_special_tokens=False).ids)]
 
 
-def test_quality_held_out(spark, odd):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    model = quality.train(docs, labels)
-    got = quality.score(docs, model).join(labels, "doc_id").where(quality.remainder(F.col("doc_id")) == 1)
-    assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("a")).first()["a"] > 0.95
-    assert all(0 <= r["_score"] <= 1 for r in quality.score(odd, model).collect())
-    assert {r["_score"] for r in quality.score(odd, quality.train(odd, labels.limit(0))).collect()} == {0.5}
-    assert quality.keep_good(odd, model).columns == odd.columns
-
-
-def test_attention_gradient():
-    r = np.random.default_rng(0)
-    m = quality.Model()
-    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    x, first, y = r.standard_normal((7, quality.BUCKETS + quality.SHAPES)), np.array([0, 3, 7]), np.array([1.0, 0.0])
-    loss = lambda: -np.mean(y * np.log(m.score(x, first)) + (1 - y) * np.log(1 - m.score(x, first)))
-    grad = m._gradient(x, first, y)
-    for k, at in (("V", (1, 2)), ("U", (3, 4)), ("w", (5,)), ("c", (6,)), ("b", (7,))):
-        kept, e = m.p[k][at], 1e-5
-        m.p[k][at] = kept + e
-        up = loss()
-        m.p[k][at] = kept - e
-        down = loss()
-        m.p[k][at] = kept
-        assert abs((up - down) / (2 * e) - grad[k][at]) < 1e-4
-
-
 @pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 60])
 def test_decontamination_against_brute_force(spark, odd, block_bytes):
     items = [("1", "a b c d e f g h i j k l m n o"), ("10", "one TWO"), ("2", "k l m"), ("3", None), ("4", "..."), ("5", "zz zz")]
