@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import decontam, jaccard, queries, tokens, warc
+from tonearm.llm import jaccard, queries, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -83,26 +83,6 @@ def test_tokens_equal_the_library(odd):
     assert tokens.Counter(queries.vocabulary()).count([special]) == [len(t.encode(special, add_special_tokens=False).ids)]
 
 
-@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 60])
-def test_decontamination_against_brute_force(spark, odd, block_bytes):
-    items = [("1", "a b c d e f g h i j k l m n o"), ("10", "one TWO"), ("2", "k l m"), ("3", None), ("4", "..."), ("5", "zz zz")]
-    got = {(r.doc_id, r.text): r for r in decontam.annotate(odd, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block_bytes).collect()}
-    for (_, text), r in got.items():
-        w, hit, ids = words(text), set(), set()
-        for i, t in items:
-            v = words(t)
-            n = min(13, len(v))
-            for k in range(len(v) - n + 1 if n else 0):
-                for p in range(len(w) - n + 1):
-                    if w[p : p + n] == v[k : k + n]:
-                        hit |= set(range(p, p + n))
-                        ids.add(i)
-        assert (r.n_words, r.n_hit, {m.item_id for m in r.matches}) == (len(w), len(hit), ids)
-        assert r.contaminated == (bool(hit) and 20 * len(hit) >= len(w))
-    best = [m for m in got[(6, "a b c d e f g h i j k l m n")].matches if m.item_id == "1"]
-    assert [(m.item_start, m.doc_start, m.n_words) for m in best] == [(0, 0, 14)]
-
-
 def test_warc_round_trip(spark, monkeypatch):
     """Also with archives of a few records each, so that revisits and their responses lie apart, and a very long payload."""
     long, very = "<p>é" + "x" * 200, "<b>" * 700_000

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, saved
 from .words import Scan, raw, shards
 
 WINDOW = 13
-#: Text bytes of a shard, and of a block of the benchmark. Each block is one more pass over the documents.
+#: Text bytes of a shard, and of a block of the benchmark.
 SHARD_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.IntegerType()), T.StructField("doc_start", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
@@ -150,35 +150,67 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, matches (for each item the longest verbatim match and where it lies) and contaminated.
+    """docs with n_words, n_hit, matches (for each item id the longest verbatim match and where it lies) and contaminated.
 
-    contaminated: n_hit > 0 and 20 * n_hit >= n_words. A null text has no words and is clean. Items with equal ids count
-    as one id; items without words match nothing; an empty benchmark leaves all documents clean. If names clash, the new
-    columns get underscores before them. The benchmark is read in blocks of at most about block_bytes, each a pass over
-    the documents, so that no task holds more than a block of it, whatever its size. Nothing is shuffled.
+    contaminated: n_hit > 0 and 20 * n_hit >= n_words. A null text has no words and is clean; so is every text if the
+    benchmark is empty. Very long texts are searched to their end, one at a time. Repeated rows get the same columns each.
+    Items with equal ids count as one id, repeated items once; items without words, id or text match nothing; of equally
+    long matches the first in the text is given. An empty table gives an empty result. If names clash, the new columns get
+    underscores before them.
+
+    A benchmark of one block (about block_bytes) is searched for in one pass, without a shuffle. A larger one is cut into
+    blocks by a hash of its items; each block is a pass of its own over the stored texts that writes what it finds, so no
+    task and no driver step holds more than one block.
     """
-    names = fresh(docs, "n_words", "n_hit", "matches", "contaminated")
-    held = fresh(docs, "_words", "_spans", "_matches")
-    total = benchmark.agg(F.sum(F.octet_length(item_text)).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-total // block_bytes))
-    spread = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
-    out = docs
-    for b in range(blocks):
-        part = spread.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        items = Items([r["i"] for r in part], [r["t"] for r in part], window)
-        out = _pass(out, items, docs.columns.index(text), held, first=b == 0)
-    words, spans, matches = (F.col(f"`{c}`") for c in held)
+    own = fresh(docs, "n_words", "n_hit", "matches", "contaminated", "_words", "_spans", "_matches", "_row")
+    names, held = own[:4], own[4:]
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null").distinct()
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0) // block_bytes))
+
+    def block(b: int) -> Items:
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
+        return Items([r["i"] for r in part], [r["t"] for r in part], window)
+
+    if blocks == 1:
+        out = _pass(docs, block(0), text, held)
+    else:
+        row = held[3]
+        base = saved(_pass(docs, Items([], [], window), text, held).drop(*held[1:3]).withColumn(row, F.monotonically_increasing_id()), "counted")
+        found = None
+        for b in range(blocks):
+            one = _pass(base.select(row, text), block(b), text, held).where(F.size(held[1]) > 0).select(row, *held[1:3])
+            one = saved(one, "hits")
+            found = one if found is None else found.unionByName(one)
+        # at most one row a block for each text
+        merged = found.groupBy(row).agg(F.collect_list(held[1]).alias("s"), F.flatten(F.collect_list(held[2])).alias("m"))
+        out = base.join(merged.mapInArrow(_merge, T.StructType([base.schema[row], *_held(held)[1:]])), row, "left").drop(row)
+        none = [F.array().cast(kind.dataType) for kind in _held(held)[1:]]
+        out = out.withColumns({c: F.coalesce(c, n) for c, n in zip(held[1:3], none, strict=True)})
+    words, spans, matches = (F.col(f"`{c}`") for c in held[:3])
     hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumns({names[0]: words, names[1]: hit, names[2]: matches}).drop(*held)
+    out = out.withColumns({names[0]: words, names[1]: hit, names[2]: matches}).drop(*held[:3])
     n, h = F.col(f"`{names[0]}`"), F.col(f"`{names[1]}`")
     return out.withColumn(names[3], (h > 0) & (20 * h >= n))
 
 
-def _pass(df: DataFrame, items: Items, at: int, held: list[str], first: bool) -> DataFrame:
+def _held(names: list[str]) -> list[T.StructField]:
     kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(MATCH))
-    base = df if first else df.drop(*held)
-    schema = T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(held, kinds, strict=True))])
-    width = len(base.columns)
+    return [T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]
+
+
+def _longest(found: list[dict]) -> list[dict]:
+    """One match for each item id: the longest, of equal ones the first in the text, then in the item."""
+    best: dict[str, dict] = {}
+    for m in found:
+        old = best.get(m["item_id"])
+        if old is None or (-m["n_words"], m["doc_start"], m["item_start"]) < (-old["n_words"], old["doc_start"], old["item_start"]):
+            best[m["item_id"]] = m
+    return [best[k] for k in sorted(best)]
+
+
+def _pass(df: DataFrame, items: Items, text: str, held: list[str]) -> DataFrame:
+    """df with each text's word count, hit spans and longest matches."""
+    at, schema = df.columns.index(text), T.StructType([*df.schema.fields, *_held(held)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,16 +219,26 @@ def _pass(df: DataFrame, items: Items, at: int, held: list[str], first: bool) ->
                 w, s, f = search(buf, off, items)
                 words += w.tolist()
                 spans += s
-                found += f
-            if not first:
-                spans = [joined(np.array(a.as_py(), np.int32), b) for a, b in zip(batch.column(width + 1), spans, strict=True)]
-                found = [list({m["item_id"]: m for m in sorted(a.as_py() + b, key=lambda m: m["n_words"])}.values()) for a, b in zip(batch.column(width + 2), found, strict=True)]
+                found += map(_longest, f)
             new = [pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(_MATCH))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *held])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *held[:3]])
 
     return df.mapInArrow(run, schema)
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (row, spans of each block, matches of all blocks) with the spans' union and the longest matches."""
+    for batch in batches:
+        spans = []
+        for many in batch.column(1).to_pylist():
+            one = np.zeros(0, np.int32)
+            for s in many:
+                one = joined(one, np.array(s, np.int32))
+            spans.append(one)
+        found = [_longest(f) for f in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(_MATCH))], names=batch.schema.names)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their own columns only."""
     flag = fresh(docs, "n_words", "n_hit", "matches", "contaminated")[3]
