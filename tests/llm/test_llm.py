@@ -49,13 +49,49 @@ def test_jaccard_large_band_is_split(spark, monkeypatch):
     assert {x.class_id for x in got} == {0}
 
 
+def drifting(n, size, seed):
+    """Texts of which each is the one before with a word changed: a chain of links, its ends unlike."""
+    r = random.Random(seed)
+    t, rows = [f"w{r.randrange(10**6)}" for _ in range(size)], []
+    for i in range(n):
+        t[r.randrange(size)] = f"n{seed}x{i}"
+        rows.append((seed * 10**6 + i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("tight", [jaccard.TIGHT, 2.0])
+def test_jaccard_recall_in_split_bands(spark, monkeypatch, tight):
+    """Bands and groups of many blocks, near copies as well as chains; with nothing TIGHT, blocks meet in pairs. All links are found."""
+    monkeypatch.setattr(jaccard, "BAND_BLOCK", 16)
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 32)
+    monkeypatch.setattr(jaccard, "TIGHT", tight)
+    r = random.Random(11)
+    base = [f"b{r.randrange(10**6)}" for _ in range(150)]
+    near = []
+    for i in range(200):
+        t = list(base)
+        for _ in range(r.randrange(4)):
+            t[r.randrange(150)] = f"n{r.randrange(10**6)}"
+        near.append((i, " ".join(t)))
+    rows = near + drifting(120, 150, 1) + drifting(120, 90, 2)
+    got = {x.doc_id: x for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = brute_links(rows)
+    found = {i: x.n_links for i, x in got.items()}
+    assert found == {i: sum(a == i for a, _ in links) for i, _ in rows}
+    assert all(got[a].class_id == got[b].class_id for a, b in links)
+
+
 def test_jaccard_odd_rows(odd):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == 11
     by = {r.doc_id: r for r in got}
     assert by[0].n_links == by[1].n_links == by[2].n_links == 0 and by[5].class_id == 4 and by[7].class_id == 6 and by[7].n_links == 2
     assert by[None].class_id is None
-    assert jaccard.near_duplicates(odd.limit(0)).count() == 0
+    assert jaccard.near_duplicates(odd.limit(0)).collect() == []
+    kept = jaccard.keep_one(odd.withColumnRenamed("score", "_own").withColumnRenamed("size", "_same"))
+    assert kept.columns == [*odd.columns[:-2], "_own", "_same"]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 8] and kept.count() == 8
+    assert jaccard.keep_one(odd.limit(0)).collect() == []
 
 
 def test_jaccard_of_texts_under_one_id(spark):

@@ -44,6 +44,15 @@ def drop_saved(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: A side of a join is broadcast only up to so many rows of a few numbers, counted first; beyond that the planner chooses.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most BROADCAST_ROWS rows. Counting stops there; the rows must be narrow."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Each wanted name, with underscores put before it until it clashes with no column of df (case is ignored)."""
     taken, out = {c.lower() for c in df.columns}, []

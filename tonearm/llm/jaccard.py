@@ -11,7 +11,8 @@ Texts are sets of shingles (runs of five words; a text of fewer words, but not n
    joined to a few leaders, not to each other, so a band of n texts gives n links, not n squared.
 4. Connected components of these links are the groups in which pairs are verified. Every pair of a group goes through
    the pruning again, and what is left is verified exactly on the shingle sets, in blocks of GROUP_BLOCK texts by
-   matrix products. A block gives counts and a spanning forest, so no task holds or writes all pairs of a group.
+   matrix products. In groups of several blocks signatures go first, and shingles only where they left a partner. A
+   block gives counts and a spanning forest, so no task holds or writes all pairs of a group.
 5. Components of the verified links are the classes of the result.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_saved, fresh, saved
+from .common import drop_saved, fresh, saved, small
 from .words import Scan, mixed, shards, shingles
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -337,11 +338,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j that reach the threshold. side: 0 or 1; where both occur, only pairs across are asked for.
-
-    Signatures first, STEP values at a time, by the posterior; then the exact sets of the rows that still have a partner.
-    """
+def survivors(sig: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which pairs i < j are left, STEP values at a time, by the posterior. side: 0 or 1; where both occur, only pairs across are asked for."""
     n = len(sig)
     alive = np.triu(np.ones((n, n), bool), 1)
     if side.any() and not side.all():
@@ -352,8 +350,16 @@ def verified(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple
             equal += sig[:, c][:, None] == sig[:, c][None, :]
         alive &= equal >= least_equal(k + STEP, THRESHOLD, TOLERANCE)
         if not alive.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            break
+    return alive
+
+
+def verified(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j that reach the threshold: the survivors by their signatures, then the exact sets of the rows that still have a partner."""
+    alive = survivors(sig, side)
     rows = np.flatnonzero(alive.any(0) | alive.any(1))
+    if not len(rows):
+        return rows, rows
     both = overlaps([sets[i] for i in rows])
     size = np.array([len(sets[i]) for i in rows])
     # |a & b| / |a | b| >= threshold, in whole numbers where the threshold is a hundredth
@@ -364,25 +370,65 @@ def verified(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple
     return rows[i], rows[j]
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows of groups of n, once for each pair of blocks (i, j) of GROUP_BLOCK texts that its block is part of."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / GROUP_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _in_blocks(rows: DataFrame, run, schema: str) -> DataFrame:
+    return rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node").mapInArrow(run, schema)
+
+
+def _paired(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """label, i, j, node, block: where members of groups of several blocks have a partner left, by their signatures alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, ["label", "i", "j"]):
+            keys = np.stack([t.column(c).to_numpy() for c in ("label", "i", "j")])
+            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES)
+            new = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+            block, keep = t.column("block").to_numpy(), np.zeros(t.num_rows, bool)
+            for x, y in zip(new, np.append(new[1:], t.num_rows), strict=True):
+                alive = survivors(sig[x:y], block[x:y] != keys[1, x])
+                keep[x:y] = alive.any(0) | alive.any(1)
+            for batch in t.select(["label", "i", "j", "node", "block"]).filter(pa.array(keep)).combine_chunks().to_batches():
+                yield batch
+
+    rows = members.select("label", "n", "node").join(classes.select(F.col("rep").alias("node"), "signature"), "node")
+    return _in_blocks(_blocks(rows), run, "label long, i int, j int, node long, block int")
+
+
 def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
-    """rep, other, links, m: other links rep into a forest of the verified pairs; links are counts of verified partners, weighted by the partners' copies."""
+    """rep, other, links: other links rep into a forest of the verified pairs; links are counts of verified partners, weighted by the partners' copies.
+
+    Texts meet their members by keys alone; signatures are made again for these few. In a group of several blocks only
+    texts that have a partner left by their signatures send their shingles, and only where that partner is.
+    """
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "label").join(classes.select(F.col("rep").alias("node"), F.col("first.doc_id").alias("id"), F.col("first.digest").alias("digest"), "signature", "copies"), "node")
+    members = groups.join(sizes, "label").join(classes.select(F.col("rep").alias("node"), F.col("first.doc_id").alias("id"), F.col("first.digest").alias("digest"), "copies"), "node")
+    members = saved(members.select("id", "digest", "node", "label", "n", "copies"), "members")
     texts = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("digest"), F.col(text).alias("text"))
-    rows = texts.join(members, ["id", "digest"]).select("node", "label", "n", "copies", "signature", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, buf, off in shards(batch.column(5), SHARD_BYTES):
+            for begin, end, buf, off in shards(batch.column(4), SHARD_BYTES):
                 values, at = shingles(Scan(buf, off), WORDS)
+                sig = pa.array([x.tobytes() for x in minhash(values, at)], pa.binary())
                 own = [np.unique(values[at[i] : at[i + 1]]).tobytes() for i in range(end - begin)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in range(5)), pa.array(own, pa.binary())], names=["node", "label", "n", "copies", "signature", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in range(4)), sig, pa.array(own, pa.binary())], names=["node", "label", "n", "copies", "signature", "shingles"])
 
-    rows = rows.mapInArrow(sets, "node long, label long, n long, copies long, signature binary, shingles binary")
-    blocks = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    def shingled(some: DataFrame) -> DataFrame:
+        rows = texts.join(small(some), ["id", "digest"]).select("node", "label", "n", "copies", "text")
+        return rows.mapInArrow(sets, "node long, label long, n long, copies long, signature binary, shingles binary")
+
+    rows = shingled(members.where(F.col("n") <= GROUP_BLOCK)).withColumns({c: F.lit(0) for c in ("block", "i", "j")})
+    large = members.where(F.col("n") > GROUP_BLOCK)
+    if not large.isEmpty():
+        met = saved(_paired(large, classes), "paired")
+        some = large.join(met.select("node").distinct(), "node", "left_semi").select(*members.columns)
+        rows = rows.unionByName(shingled(some).join(met.drop("label"), "node").select(*rows.columns))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, ["label", "i", "j"]):
@@ -409,7 +455,7 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, tex
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rep", "other", "links"])
 
-    return rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node").mapInArrow(check, "rep long, other long, links long")
+    return _in_blocks(rows, check, "rep long, other long, links long")
 
 
 # ---- the whole -------------------------------------------------------------------------------------------------------
@@ -419,10 +465,10 @@ def classed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, digest, kept (doc_id and digest of the first text of the row's component), n_links: one row for each row of docs."""
     sketches = saved(sketch(docs, key, text), "sketches")
     known = sketches.where("doc_id is not null and words is not null")
-    groups = known.groupBy("words").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("copies"))
-    first = groups.select("words", "first.doc_id", "first.digest", "copies")
-    reps = known.join(first, ["words", "doc_id", "digest"]).dropDuplicates(["words"])
-    reps = reps.select("words", F.struct("doc_id", "digest").alias("first"), "copies", "signature", "bands")
+    place = F.struct("doc_id", "digest")
+    # one signature for each partition and class is shuffled, however many copies there are
+    reps = known.groupBy("words").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min_by(F.struct("signature", "bands"), place).alias("s"))
+    reps = reps.select("words", "first", "copies", "s.signature", "s.bands")
     # numbered in the order of their first texts: copies of one text then have the same leader, it, in every band
     classes = saved(reps.orderBy("first").withColumn("rep", F.monotonically_increasing_id()), "classes")
     candidates = connected(links_in_bands(classes))
@@ -431,7 +477,8 @@ def classed(docs: DataFrame, key: str, text: str) -> DataFrame:
     final = connected(pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     linked = classes.select("rep", "words", "first", "copies").join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").join(links, "rep", "left")
     kept = linked.where("label is not null").groupBy("label").agg(F.min("first").alias("kept"))
-    by_words = linked.join(kept, "label", "left")
+    # a class of one row without links needs no row here
+    by_words = linked.where("label is not null or copies > 1").join(kept, "label", "left")
     by_words = by_words.select("words", F.coalesce("kept", "first").alias("kept"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = sketches.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words")).join(by_words, "words", "left")
     return out.select("doc_id", "digest", F.coalesce("kept", F.struct("doc_id", "digest")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -443,7 +490,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     class_id: the smallest doc_id of the connected component of texts with a Jaccard of 0.8 or more over five-word
     shingles. n_links: how many other documents (copies too) have that similarity with this one. Texts without words
     (null, empty, punctuation) are alike to nothing: their own class, no links; so are rows without a doc_id, whose
-    class_id is null. Rows that repeat a doc_id with one text count as copies; of a doc_id with several texts, each row
+    class_id is null. Very long texts are taken whole, one at a time (some 30 bytes of memory for each of theirs). Rows that repeat a doc_id with one text count as copies; of a doc_id with several texts, each row
     has the class and links of its own text. An empty table gives an empty result. Extra columns are not read.
     """
     return classed(docs, key, text).select("doc_id", F.col("kept.doc_id").alias("class_id"), "n_links")
@@ -453,10 +500,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """docs with one document of each group: one whose doc_id is the class_id. Rows without a doc_id stay.
 
     Of rows that repeat a doc_id and its text one stays; a doc_id's other texts stay unless they are copies themselves.
+    Texts without words (null, empty) are copies of nothing and stay; an empty table stays empty; other columns of any
+    name stay as they are.
     """
-    keep, same, own = fresh(docs, "_keep", "_same", "_own")
-    first = classed(docs, key, text).where((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest")))
-    first = first.select(F.col("doc_id").alias(keep), F.col("digest").alias(same)).distinct()
+    name, same, own = fresh(docs, "_name", "_same", "_own")
+    rows = saved(classed(docs, key, text).where("doc_id is not null").select(F.col("doc_id").alias(name), F.col("digest").alias(same), ((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest"))).alias("stays")), "rows")
     marked = docs.where(F.col(f"`{key}`").isNotNull()).withColumn(own, digest(text))
-    some = marked.join(first, (F.col(f"`{key}`").cast("long") == F.col(keep)) & (F.col(own) == F.col(same)), "left_semi")
-    return some.dropDuplicates([key, own]).drop(own).unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    met = (F.col(f"`{key}`").cast("long") == F.col(name)) & (F.col(own) == F.col(same))
+    # texts meet keys: those of what goes, and of the rows that repeat one another; other texts stay where they are
+    out = marked.join(small(rows.where("not stays").select(name, same).distinct()), met, "left_anti")
+    again = saved(rows.where("stays").groupBy(name, same).agg(F.count("*").alias("n")).where("n > 1").select(name, same), "again")
+    if not again.isEmpty():
+        once = out.join(small(again), met, "left_semi").dropDuplicates([key, own])
+        out = out.join(small(again), met, "left_anti").unionByName(once)
+    return out.drop(own).unionByName(docs.where(F.col(f"`{key}`").isNull()))

@@ -223,7 +223,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     rows with what was found in them are written to the shared folder, and only rows with entities are taken apart again.
     """
     (count,) = fresh(docs, "n_entities")
-    found, tries, digest = fresh(docs, "_entities", "_tries", "_digest")
+    found, tries, digest, other = fresh(docs, count, "_entities", "_tries", "_digest", "_other")[1:]
     column = F.col(f"`{text}`")
     out = saved(docs.withColumn(found, entities(column)), "searched")
     odd = assignments(out.select(F.explode(f"`{found}`").alias("s")), key).where("attempt > 0")
@@ -236,9 +236,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         # by the document's text: rows of one text change alike, whatever their ids
         own = out.where(F.size(found) > 0).select(F.sha2(column, 256).alias("_t"), F.explode(F.array_distinct(found)).alias("s")).distinct()
         own = own.withColumn("kind", kind_of(F.col("s"))).withColumn("k", F.concat_ws("|", "kind", canonical(F.col("kind"), F.col("s"))))
-        own = own.join(odd, "k").groupBy("_t").agg(F.collect_set(F.struct("k", "attempt")).alias("x")).select(F.col("_t").alias(digest + "t"), F.map_from_entries("x").alias(tries))
+        own = own.join(odd, "k").groupBy("_t").agg(F.collect_set(F.struct("k", "attempt")).alias("x")).select(F.col("_t").alias(other), F.map_from_entries("x").alias(tries))
         out = out.withColumn(digest, F.when(F.size(found) > 0, F.sha2(column, 256)))
-        out = out.join(own, F.col(digest) == F.col(digest + "t"), "left").drop(digest + "t", digest)
+        out = out.join(own, F.col(digest) == F.col(other), "left").drop(other, digest)
         out = out.withColumn(tries, F.coalesce(tries, F.create_map().cast("map<string,int>")))
 
     # what stands between the entities, and the new entities
