@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import jaccard, queries, tokens, warc
+from tonearm.llm import jaccard, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -107,18 +107,6 @@ def test_jaccard_of_texts_under_one_id(spark):
     assert sorted(map(tuple, jaccard.keep_one(docs).collect())) == sorted([(1, a), (1, b), (4, c)])
 
 
-def test_tokens_equal_the_library(odd):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(queries.vocabulary())
-    got = tokens.token_counts(odd, queries.vocabulary())
-    assert got.columns[-3:] == ["n_bytes", "n_tokens", "over_limit"]
-    for r in got.collect():
-        assert r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False).ids) and r.n_bytes == len((r.text or "").encode())
-    special = "a<|endoftext|> b's  c\n\n d 12 é <|endoftext|>"
-    assert tokens.Counter(queries.vocabulary()).count([special]) == [len(t.encode(special, add_special_tokens=False).ids)]
-
-
 def test_warc_round_trip(spark, monkeypatch):
     """Also with archives of a few records each, so that revisits and their responses lie apart, and a very long payload."""
     long, very = "<p>é" + "x" * 200, "<b>" * 700_000
@@ -144,15 +132,3 @@ def test_arc_version_2_and_broken_archives():
     assert (v, f["url"], f["status"], warc.split_http(block)[1]) == (2, "http://a", "200", b"hi")
     with pytest.raises(ValueError):
         list(warc.arc_records(data[:-4]))
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as P
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in P.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert P.run(spark, SF).count() > 0
-
-

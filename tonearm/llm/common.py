@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset is one chosen here, and only in local mode, where all threads share one disk.
+    Only where that is unset is one chosen here, and only in local mode, where all threads share one disk; it goes when
+    Python ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
@@ -20,13 +23,40 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tonearm-")
+        own = tempfile.mkdtemp(prefix="tonearm-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tonearm/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tonearm/{name}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+#: Folders that new_path() has named in this process, in order.
+_named: list[str] = []
+
+
+def mark() -> int:
+    """For release(): what was written until now."""
+    return len(_named)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the folders named since mark(), but the table behind keep. Results that still read the others must be written before."""
+    kept = {f.rsplit("/", 1)[0].split(":")[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    for path in _named[since:]:
+        if path.split(":")[-1].lstrip("/") not in kept:
+            _delete(spark, path)
+    _named[since:] = [p for p in _named[since:] if p.split(":")[-1].lstrip("/") in kept]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -40,8 +70,7 @@ def drop_saved(df: DataFrame) -> None:
     """Delete the table behind a DataFrame made by saved(), once nothing reads it any more."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, file.rsplit("/", 1)[0])
 
 
 #: A side of a join is broadcast only up to so many rows of a few numbers, counted first; beyond that the planner chooses.

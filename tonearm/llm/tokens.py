@@ -117,7 +117,8 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024
     """df with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows each keep their count; an empty table stays empty. If
-    df has columns of these names already, the new ones get underscores before them. No shuffle: the scan's partitions
+    df has columns of these names already, the new ones get underscores before them. Very long texts are split where no
+    token can span (.model files and texts without such a place are encoded whole). No shuffle: the scan's partitions
     are encoded in place, in batches of about BATCH_BYTES whatever the texts' lengths.
     """
     names = fresh(df, "n_bytes", "n_tokens", "over_limit")
