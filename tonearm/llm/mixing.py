@@ -164,13 +164,14 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     ends = some.groupBy("source").agg(F.first("e2").alias("bin"), F.max(F.when(F.col("extra") > 0, F.struct("q", "key", "size"))).alias("upto"))
     ends = ends.withColumnRenamed("source", "at")
     cuts = saved(_meet(goal, ends, small, "left").select(F.struct("source", "source_size", "target", "whole", "missing", "factor", "bin", "upto").alias("cut")), "cuts")
-    held = fresh(docs, *names, "_cut", "_size", "_place")[5:]
-    cut, size, q = (F.col(f"`{c}`") for c in held)
+    held = fresh(docs, *names, "_cut", "_size", "_draw")[5:]
+    cut, size, drawn = (F.col(f"`{c}`") for c in held)
     own = F.col(f"`{key}`")
     cuts = cuts.withColumnRenamed("cut", held[0])
-    out = docs.join(F.broadcast(cuts) if small else cuts, F.col(f"`{source}`").cast("string").eqNullSafe(cut["source"]), "left")
-    out = out.withColumn(held[1], word_count(F.col(f"`{text}`")))
-    out = out.withColumn(held[2], F.when((size > 0) & (cut["missing"] > 0), place(draw(own, seed), size, cut["factor"])))
+    # words are counted below the join: a filter on copies can't move there, so it doesn't count them again
+    out = docs.withColumns({held[1]: word_count(F.col(f"`{text}`")), held[2]: draw(own, seed)})
+    out = out.join(F.broadcast(cuts) if small else cuts, F.col(f"`{source}`").cast("string").eqNullSafe(cut["source"]), "left")
+    q = F.when((size > 0) & (cut["missing"] > 0), place(drawn, size, cut["factor"]))
     bin2 = F.shiftright(q, 24)
     inside = (bin2 == cut["bin"]) & (F.struct(q.alias("q"), own.alias("key"), size.alias("size")) <= cut["upto"])
     copies = cut["whole"] + F.coalesce((bin2 < cut["bin"]) | inside, F.lit(False)).cast("long")
