@@ -14,27 +14,27 @@ from . import text as X
 
 
 def find_all(c: Column, key: str) -> Column:
-    """The JSON texts of all values under a key, at any depth, outer before inner. A broken document has none."""
+    """The JSON texts of all values under a key, at any depth, as a walk in the order of the document meets them. A broken or too deep document has none."""
 
     @pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
         def walk(x, out: list[str]) -> None:
-            stack = [x]
+            stack = [(None, x)]
             while stack:
-                y = stack.pop()
+                name, y = stack.pop()
+                if name == key and name is not None:
+                    out.append(json.dumps(y, ensure_ascii=False))
                 if isinstance(y, dict):
-                    if key in y:
-                        out.append(json.dumps(y[key], ensure_ascii=False))
-                    stack += reversed(list(y.values()))
+                    stack += reversed(list(y.items()))
                 elif isinstance(y, list):
-                    stack += reversed(y)
+                    stack += ((None, z) for z in reversed(y))
 
         def one(doc: str | None) -> list[str]:
             out: list[str] = []
             try:
                 walk(json.loads(doc or ""), out)
-            except ValueError:
-                pass
+            except (ValueError, RecursionError):
+                return []
             return out
 
         return s.map(one)

@@ -34,7 +34,7 @@ PROMO = r"premi[eè]re|free\s*(?:download|dl)|out\s*now|teaser|preview|snippet|e
 PROMO_BARE = ("premiere", "première", "free download", "free dl", "out now")
 JUNK_SLUG = ("am", "dl")
 DOMAIN = r"\b[\w-]+\.(?:com|net|org|pro|io|co|me|info)\b"
-ILLEGAL = r'[\\/:*?"<>|\x00-\x1f]'
+ILLEGAL = r'[\\/:*?"<>|]'
 
 U, I = "(?U)", "(?iU)"  # white space and letters as Unicode has them; the same without case
 
@@ -86,10 +86,19 @@ def fold(c: Column) -> Column:
     return F.when(text(c).rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text(c), old, new), r"\p{Mn}+", "")).otherwise(text(c))
 
 
+def words(c: Column) -> Column:
+    """Folded, lower-case words of a-z and 0-9, in order; what both kinds of tokens are chosen from."""
+    return F.split(sub(F.lower(fold(c)), r"[^a-z0-9\s]", " "), U + r"\s+")
+
+
+def chosen(words_: Column, least: int = 3) -> Column:
+    """Of words, those of at least so many letters that aren't stop words."""
+    return F.filter(words_, lambda t: (F.length(t) >= least) & ~t.isin(*STOP_WORDS))
+
+
 def tokens(c: Column, least: int = 3) -> Column:
     """folded, lower-case words of a-z and 0-9 of at least so many letters, without stop words."""
-    words = F.split(sub(F.lower(fold(c)), r"[^a-z0-9\s]", " "), U + r"\s+")
-    return F.filter(words, lambda t: (F.length(t) >= least) & ~t.isin(*STOP_WORDS))
+    return chosen(words(c), least)
 
 
 def loose_tokens(c: Column) -> Column:
@@ -249,7 +258,7 @@ def deslug(c: Column) -> Column:
     junk = F.transform(parts, lambda p: F.lower(p).isin(*JUNK_SLUG))
     first = F.array_position(junk, False)
     kept = F.when(first > 0, F.slice(parts, F.greatest(first, F.lit(1)).cast("int"), F.size(parts))).otherwise(F.array().cast("array<string>"))
-    return strip(F.array_join(F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " "))
+    return strip(F.array_join(F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " "))
 
 
 def resolve(path: Column, tag_artist: Column, tag_title: Column) -> Column:
@@ -290,11 +299,15 @@ def _first_sure(x: Column, y: Column) -> Column:
     )
 
 
-def query_title(c: Column, depth: int = 4) -> Column:
-    """the base title. Groups in brackets go from the inside out, depth levels of them."""
-    t = sub(sub(text(c), DOMAIN, " ", I), "#.*$", " ")
-    for _ in range(depth):
-        t = sub(t, r"[\(\[\{][^\(\)\[\]\{\}]*[\)\]\}]", " ")
+def query_title(c: Column) -> Column:
+    """the base title. Groups in brackets go from the inside out, until none is left: each round closes one bracket at least."""
+    group = r"[\(\[\{][^\(\)\[\]\{\}]*[\)\]\}]"
+
+    def without_groups(t: Column) -> Column:
+        rounds = F.filter(F.sequence(F.lit(0), F.regexp_count(t, F.lit(r"[\)\]\}]"))), lambda i: i > 0)
+        return F.aggregate(rounds, t, lambda left, _: F.when(left.rlike(group), sub(left, group, " ")).otherwise(left))
+
+    t = bound(sub(sub(text(c), DOMAIN, " ", I), "#.*$", " "), without_groups)
     return trim_edges(squeeze(sub(t, r"\s*-?\s*(?:original|extended)\s+mix\s*$", flags=I)))
 
 
@@ -343,10 +356,10 @@ def store_links(artist: Column, title: Column) -> Column:
 
 
 def seconds(c: Column) -> Column:
-    """m:ss or h:mm:ss; anything else is null."""
-    p = F.transform(F.split(text(c), ":"), lambda x: F.try_to_number(x, F.lit("9999999999")).cast("int"))
-    part = lambda i: F.get(p, F.lit(i))
-    return F.when(F.size(p) == 2, part(0) * 60 + part(1)).when(F.size(p) == 3, part(0) * 3600 + part(1) * 60 + part(2))
+    """m:ss or h:mm:ss as whole seconds; anything else, and what a long can't hold, is null."""
+    p = F.transform(F.split(text(c), ":"), lambda x: F.when(strip(x).rlike(r"^[+-]?[0-9]+$"), strip(x)).try_cast("long"))
+    times = lambda i, n: F.try_multiply(F.get(p, F.lit(i)), F.lit(n).cast("long"))
+    return F.when(F.size(p) == 2, F.try_add(times(0, 60), times(1, 1))).when(F.size(p) == 3, F.try_add(F.try_add(times(0, 3600), times(1, 60)), times(2, 1)))
 
 
 def join_artists(artists: Column) -> Column:
@@ -358,15 +371,24 @@ def join_artists(artists: Column) -> Column:
 
 def playlist_id(url: Column) -> Column:
     """the list of a playlist link; null for videos and for mixes, likes and watch-later lists."""
-    found = F.nullif(F.regexp_extract(text(url), r"[?&]list=([\w-]+)", 1), F.lit(""))
-    return F.when(~text(url).rlike(r"[?&]v=") & ~found.rlike("^(?:RD|LL|WL)"), found)
+    found = F.nullif(strip(F.regexp_extract(text(url), r"[?&]list=([^&#]*)", 1)), F.lit(""))
+    return F.when(~text(url).rlike(r"[?&]v=[^&#]") & ~found.rlike("(?i)^(?:RD.*|LL|WL)$"), found)
+
+
+def uploads_id(url: Column, page: Column) -> Column:
+    """the list of a channel's uploads, by the channel in its link or, for handles and names, in its page; null for other links."""
+    channel = "(UC[0-9A-Za-z_-]{20,})"
+    in_link = lambda c: F.nullif(F.regexp_extract(text(c), rf"(?i)/channel/{channel}", 1), F.lit(""))
+    in_page = F.nullif(F.regexp_extract(text(page), rf'"(?:externalId|channelId|browseId)":"{channel}"', 1), F.lit(""))
+    found = F.coalesce(in_link(url), in_page, in_link(page))
+    return F.when(text(url).rlike(r"(?i)youtube\.com/(?:@[^/?#]+|c/[^/?#]+|user/[^/?#]+|channel/UC[\w-]+)"), F.concat(F.lit("UU"), F.substring(found, F.lit(3), F.length(found))))
 
 
 def version_numbers(c: Column) -> Column:
-    """the leading numbers of a version."""
+    """the leading numbers of a version, of up to 38 digits each."""
     parts = F.transform(F.split(sub(strip(text(c)), "^[vV]+"), r"\."), lambda p: F.regexp_extract(p, r"^(\d+)", 1))
     stop = F.array_position(parts, "")
-    return F.transform(F.when(stop > 0, F.slice(parts, F.lit(1), (stop - 1).cast("int"))).otherwise(parts), lambda p: p.cast("int"))
+    return F.transform(F.when(stop > 0, F.slice(parts, F.lit(1), (stop - 1).cast("int"))).otherwise(parts), lambda p: p.try_cast("decimal(38,0)"))
 
 
 def is_newer(latest: Column, current: Column) -> Column:
@@ -428,6 +450,17 @@ def track_pair(c: Column) -> Column:
     return F.when(good, F.struct(a.alias("artist"), t.alias("title")))
 
 
+#: Fixed value: what video titles hold in brackets.
+VIDEO_NOISE = r"\s*[\(\[]\s*(?:official\s*(?:music\s*)?video|official\s*audio|official\s*visualizer|official|lyric\s*video|lyrics?|visuali[sz]er|audio|video|hd|4k|hq|m/?v|premiere|out\s*now|free\s*(?:download|dl)|teaser|preview)\s*[\)\]]"
+
+
+def video_title(c: Column) -> Column:
+    """a video's title without noise in brackets, and without what follows a bar if a pair stands before it."""
+    s = norm_dashes(sub(text(c), VIDEO_NOISE, flags=I))
+    head = F.substring_index(s, "|", 1)
+    return strip(sub(F.when(F.instr(head, " - ") > 0, head).otherwise(s), r"\s{2,}", " "))
+
+
 def strip_trailing_label(c: Column) -> Column:
     """a single word in brackets at the end goes unless it names a version or a number."""
     inner = strip(F.regexp_extract(c, U + r"\s*\(([^()]+)\)\s*$", 1))
@@ -438,7 +471,7 @@ def strip_trailing_label(c: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Capitals at the starts of words, if the text has none at all."""
-    words = F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")
+    words = F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
     return F.when(c.rlike(r"\p{L}") & (c == F.lower(c)), words).otherwise(c)
 
 

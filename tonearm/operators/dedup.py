@@ -37,61 +37,107 @@ def size_groups(df: DataFrame, size: str, path: str) -> DataFrame:
     return g.where("n > 1").withColumn("recoverable", F.col(size) * (F.col("n") - 1))
 
 
-def equal_files(df: DataFrame, size: str, content: str, name: str) -> DataFrame:
-    """Groups of equal content, hashed only where sizes are equal; keeper by fewest copy marks, shortest name, name."""
+def hashed(df: DataFrame, size: str, content: str, name: str = "hash") -> DataFrame:
+    """df without its contents, with their SHA-1 where another row has the same size, else null.
+
+    As long as the shared sizes are few enough for a broadcast, only those rows are hashed; beyond that all are, before
+    anything is shuffled: contents never travel.
+    """
+    from .matching import BROADCAST_ROWS
+
     shared = df.groupBy(F.col(size).alias("_size")).agg(F.count("*").alias("_n")).where("_n > 1").select("_size")
-    some = df.join(shared, F.col(size) == F.col("_size"), "left_semi")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met, own = df.join(F.broadcast(shared), F.col(size) == F.col("_size"), "left"), F.sha1(F.col(content))
+    else:
+        met, own = df.withColumn("_sha", F.sha1(F.col(content))).drop(content).join(shared, F.col(size) == F.col("_size"), "left"), F.col("_sha")
+    return met.withColumn(name, F.when(F.col("_size").isNotNull(), own)).drop("_size", "_sha", content)
+
+
+def keepers(rows: DataFrame, size: str, name: str, hash_: str = "hash") -> DataFrame:
+    """W3 of hashed() rows: size, hash, keep, n, redundant, wasted; keeper by fewest copy marks, shortest name, name."""
     low = F.lower(F.col(name))
     marks = lambda w: (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)
     best = F.min(F.struct((marks("copie") + marks("copy")).alias("marks"), F.length(name).alias("n"), F.col(name).alias("name")))
-    g = some.groupBy(F.col(size), F.sha1(F.col(content)).alias("hash")).agg(best["name"].alias("keep"), F.count("*").alias("n")).where("n > 1")
+    g = rows.where(F.col(hash_).isNotNull()).groupBy(F.col(size), F.col(hash_).alias("hash")).agg(best["name"].alias("keep"), F.count("*").alias("n")).where("n > 1")
     return g.withColumn("redundant", F.col("n") - 1).withColumn("wasted", F.col(size) * (F.col("n") - 1))
 
 
-def numbered(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """W4, as far as names don't hold numbers already: target, with (n) from the second of equal names on."""
-    w = Window.partitionBy(folder, F.lower(name)).orderBy(order)
-    n = F.row_number().over(w) - 1
-    stem, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    return df.withColumn("_n", n).withColumn("target", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))).drop("_n")
+def equal_files(df: DataFrame, size: str, content: str, name: str) -> DataFrame:
+    """Groups of equal content."""
+    return keepers(hashed(df.select(size, content, name), size, content), size, name)
+
+
+NUMBERED = r" \(\d+\)$"
+
+
+def _parts(name: Column) -> tuple[Column, Column]:
+    """Stem and extension; a name that begins with its only dot has no extension."""
+    return F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 2)
 
 
 def unique_targets(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """W4, exactly: rows of a folder take the first free name in order, also where names hold numbers already.
+    """Rows of a folder take the first free name in order: a name, then with (1), (2), ...; case is ignored.
 
-    Names only meet in a folder, so folders are worked on by themselves; a folder's rows fit one task (file systems
-    bound them), and only names travel.
+    Repeats are numbered by a window over equal names. That is exact unless a name holds such a number already; names only
+    meet names that are the same without their numbers (a family), so families that hold one are worked through one by one,
+    each name from the number that it took last. Other families never leave the window.
     """
+    low = F.lower(F.col(name))
+    stem, ext = _parts(low)
+    root = F.concat_ws("\0", F.regexp_replace(stem, r"(?: \(\d+\))+$", ""), ext)
+    own = df.withColumns({"_root": root, "_odd": stem.rlike(NUMBERED)})
+    odd = own.where("_odd").select(F.col(folder).alias("_f"), F.col("_root").alias("_r")).distinct()
+    met = F.col(folder).eqNullSafe(F.col("_f")) & (F.col("_root") == F.col("_r"))
+    plain = own.join(odd, met, "left_anti").drop("_root", "_odd")
+    n = F.row_number().over(Window.partitionBy(folder, low).orderBy(order)) - 1
+    stem, ext = _parts(F.col(name))
+    plain = plain.withColumn("_n", n)
+    plain = plain.withColumn("target", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))).drop("_n")
     schema = df.withColumn("target", F.lit("")).schema
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
+        taken, last, out = set(), {}, []
         group = group.sort_values(order, kind="stable")
         for value in group[name]:
             head, dot, tail = value.rpartition(".")
             if not head:
                 head, dot, tail = value, "", ""
-            target, n = value, 0
+            key = value.lower()
+            target, n = value, last.get(key, 0)
             while target.lower() in taken:
                 n += 1
                 target = f"{head} ({n}){dot}{tail}"
+            last[key] = n
             taken.add(target.lower())
             out.append(target)
-        return group.assign(target=out)
+        return group.drop(columns=["_root", "_odd"]).assign(target=out)
+
+    families = own.join(odd, met, "left_semi").groupBy(folder, "_root").applyInPandas(run, schema)
+    return plain.select(*schema.names).unionByName(families)
+
 
-    return df.groupBy(folder).applyInPandas(run, schema)
+#: Ranges that chunks() numbers one by one, and rows that are looked at for their bounds.
+RANGES, SAMPLED = 64, 2000
 
 
 def chunks(df: DataFrame, order: list[str], size: int = 25) -> DataFrame:
-    """Chunk numbers from 1 of rows in order, without bringing all rows to one task.
+    """Chunk numbers from 1 of rows in order (columns that tell rows apart), without bringing all rows to one task.
 
-    Rows are ranged by order into partitions, partitions are counted, and row numbers start at the counts before them.
+    Rows are dealt into ranges whose bounds come from a sample and are written into the plan, so every reader sees the same
+    ranges; these are counted, and row numbers in a range start at the counts before it.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: both readers see the same partitions
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = ranged.join(F.broadcast(counts.select("_p", before.alias("_before"))), "_p")
-    return out.withColumn("chunk", (F.floor((F.col("_before") + F.col("_i")) / size) + 1).cast("long")).drop("_m", "_p", "_i", "_before")
+    place = F.struct(*(F.col(c).alias(c) for c in order))
+    total = df.count()
+    some = sorted(df.select(place.alias("x")).sample(min(1.0, SAMPLED / max(1, total)), 7).collect(), key=lambda r: tuple((v is not None, v) for v in r["x"]))
+    kinds = df.select(*order).schema
+    bounds = [some[i * len(some) // RANGES]["x"] for i in range(1, RANGES)] if len(some) >= RANGES else []
+    bounds = [F.struct(*(F.lit(v).cast(kinds[c].dataType).alias(c) for c, v in zip(order, b, strict=True))) for b in bounds]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= place)) if bounds else F.lit(0)
+    ranged = df.withColumn("_p", part)
+    before, at = [], 0
+    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    for p in range(RANGES):
+        before.append(at)
+        at += sizes.get(p, 0)
+    i = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.withColumn("chunk", (F.floor((F.get(F.lit(before), F.col("_p")) + i) / size) + 1).cast("long")).drop("_p")

@@ -48,7 +48,9 @@ def route(signals: DataFrame, item: str, signal: str, position: str, keywords: D
     of n words has at most n runs of each keyword length.
     """
     words = F.split(X.style_norm(F.col(signal)), " ")
-    lengths = [r["n"] for r in keywords.select(F.size(F.split(X.style_norm(F.col("keyword")), " ")).alias("n")).distinct().limit(64).collect()]
+    lengths = [r["n"] for r in keywords.select(F.size(F.split(X.style_norm(F.col("keyword")), " ")).alias("n")).distinct().collect()]  # as many rows as there are lengths
+    if not lengths:
+        return signals.select(item).distinct().withColumn("folder", F.lit(None).cast("string"))
     rows = signals.select(item, position, words.alias("_w")).where("_w[0] <> ''")
 
     def of(n: int) -> Column:
@@ -82,9 +84,12 @@ def _counts() -> list[Column]:
 
 
 def by_band(rows: DataFrame, bands: tuple = BANDS) -> DataFrame:
-    """Rows (score, label) counted by band; empty bands show as 0."""
-    table = rows.sparkSession.createDataFrame(list(bands), "low double, high double")
-    return table.join(rows, (F.col("score") >= F.col("low")) & (F.col("score") < F.col("high")), "left").groupBy("low", "high").agg(*_counts())
+    """Rows (score, label) counted by band (which don't overlap); empty bands show as 0. Rows are counted before they meet the bands."""
+    table = rows.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bands)], "band int, low double, high double")
+    own = F.coalesce(*(F.when((F.col("score") >= low) & (F.col("score") < high), i) for i, (low, high) in enumerate(bands)))
+    counted = rows.groupBy(own.alias("band")).agg(*_counts()).where("band is not null")
+    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "correct", "diff", "wrong")]
+    return table.join(counted, "band", "left").select("low", "high", *whole, "precision")
 
 
 def by_threshold(rows: DataFrame, thresholds: tuple = THRESHOLDS, least_n: int = 20, least_precision: float = 0.99) -> DataFrame:

@@ -581,7 +581,7 @@ def F32_store_links(spark, sf_dir):
     return named_parts(spark, sf_dir).select("p_partkey", X.store_links(F.col("p_brand"), F.col("p_name")).alias("l")).select("p_partkey", "l.*")
 
 
-@query("SELECT p_partkey, CAST(p_partkey * 37 % 36000 AS INTEGER) AS length FROM part")
+@query("SELECT p_partkey, CAST(p_partkey * 37 % 36000 AS BIGINT) AS length FROM part")
 def F33_seconds(spark, sf_dir):
     """Clock texts, with hours where there are some, read back."""
     s = (F.col("p_partkey") * 37 % 36000).cast("int")
@@ -630,7 +630,7 @@ def N2_O3_candidates(spark, sf_dir):
     return nested.candidates(doc, "l_orderkey", "response").select("l_orderkey", "position", "score", "title")
 
 
-@query("""SELECT p_brand AS "Artist", p_name AS "Title", CAST(p_partkey AS VARCHAR) AS "SourceUrl", CAST(60 + p_size AS INTEGER) AS "Length" FROM part""")
+@query("""SELECT p_brand AS "Artist", p_name AS "Title", CAST(p_partkey AS VARCHAR) AS "SourceUrl", CAST(60 + p_size AS BIGINT) AS "Length" FROM part""")
 def N3_S17_release_tracks(spark, sf_dir):
     """A release of each part: a heading, its track and an untitled one."""
     none = F.array().cast("array<struct<name:string,join:string>>")

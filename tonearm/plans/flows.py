@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as X
-from ..operators.dedup import equal_files, first_wins, unique_targets, with_copies
+from ..operators.dedup import first_wins, hashed, keepers, unique_targets, with_copies
 from ..operators.matching import split_known, with_latest
 
 
@@ -75,13 +75,14 @@ def plan_import(files: DataFrame, library: DataFrame, order: str = "path") -> Da
 
 def plan_rename(files: DataFrame, size: str = "length", content: str = "content") -> DataFrame:
     """Files (folder, name, path, tags) with action DUP, SKIP, OK or REN and target."""
-    groups = equal_files(files, size, content, "name").select(F.col(size).alias("_s"), F.col("hash").alias("_h"), F.col("keep").alias("_keep"))
+    files = hashed(files, size, content, "_hash")
+    groups = keepers(files, size, "name", "_hash").select(F.col(size).alias("_s"), F.col("hash").alias("_h"), F.col("keep").alias("_keep"))
     r = X.resolve(F.col("path"), F.col("tag_artist"), F.col("tag_title"))
-    out = files.withColumn("_hash", F.sha1(content)).join(groups, (F.col(size) == F.col("_s")) & (F.col("_hash") == F.col("_h")), "left").withColumn("_r", r)
+    out = files.join(groups, (F.col(size) == F.col("_s")) & (F.col("_hash") == F.col("_h")), "left").withColumn("_r", r)
     ext = F.regexp_extract("name", r"(\.[^.]+)$", 1)
     target = F.concat(X.sanitize(F.concat_ws(" - ", "_r.artist", "_r.title")), ext)
     action = F.when(F.col("_keep").isNotNull() & (F.col("_keep") != F.col("name")), "DUP").when(~F.col("_r.confident"), "SKIP").when(target == F.col("name"), "OK").otherwise("REN")
-    out = out.withColumns({"action": action, "wanted": F.when(action == "REN", target).otherwise(F.col("name"))}).drop("_hash", "_s", "_h", "_keep", "_r", content)
+    out = out.withColumns({"action": action, "wanted": F.when(action == "REN", target).otherwise(F.col("name"))}).drop("_hash", "_s", "_h", "_keep", "_r")
     # names that stay are taken first
     out = out.withColumn("rank", F.concat(F.when(F.col("action") == "REN", "1").otherwise("0"), "path"))
     return unique_targets(out, "folder", "wanted", "rank").drop("rank", "wanted")

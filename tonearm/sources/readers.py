@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +28,11 @@ def audio_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), c
     out = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("ext"), "length", "modificationTime", *(["content"] if content else []))
     out = out.where(F.col("ext").isin(*AUDIO))
     if exclude:
-        below = F.lower(F.regexp_replace("path", r"^.*?" + _quoted(root.split(":")[-1].rstrip("/")), ""))
-        out = out.where(~F.exists(F.slice(F.split(below, "/"), 1, 1000), lambda p: p.isin(*(e.lower() for e in exclude))))
+        folders = F.split(F.lower(F.regexp_replace("path", r"^.*?" + re.escape(root.split(":")[-1].rstrip("/")), "")), "/")
+        out = out.where(~F.exists(F.slice(folders, F.lit(1), F.size(folders) - 1), lambda p: p.isin(*(e.lower() for e in exclude))))
     return out
 
 
-def _quoted(s: str) -> str:
-    import re
-
-    return re.escape(s)
-
-
 def library_keys(files: DataFrame, path: str = "path") -> DataFrame:
     """The distinct keys of a library's names."""
     p = X.parse_name(F.col(path))
@@ -44,8 +40,10 @@ def library_keys(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(p["parseable"]).select(X.match_key(n["artist"], n["title"]).alias("key")).distinct()
 
 
-def csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', sep=sep, enforceSchema=False)
+def csv(spark: SparkSession, path: str, schema: str, sep: str = ",", places: bool = False) -> DataFrame:
+    """places: with _file and _line, which order the rows. Such files aren't split, so within one the numbers rise with its lines, however files are dealt."""
+    out = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', sep=sep, enforceSchema=False)
+    return out.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line")) if places else out
 
 
 def want_list(spark: SparkSession, path: str) -> DataFrame:
@@ -63,23 +61,23 @@ def report_or_wants(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_int(c: Column) -> Column:
-    """Text as a number, cut to a whole one; anything else is null."""
-    return c.try_cast("double").cast("int")
+    """Text as a number, cut to a whole one; anything else, and what an int can't hold, is null."""
+    return c.try_cast("double").try_cast("int")
 
 
-def download_index(spark: SparkSession, path: str) -> DataFrame:
-    """S10."""
-    return csv(spark, path, INDEX).withColumn("length", to_int(F.col("length")))
+def download_index(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """S10; places as in csv()."""
+    return csv(spark, path, INDEX, places=places).withColumn("length", to_int(F.col("length")))
 
 
-def merged_indexes(indexes: list[DataFrame]) -> DataFrame:
-    """Rows of all indexes by file path, later tables and later rows win, rows without a path go."""
-    parts = [d.withColumns({"_table": F.lit(i), "_row": F.monotonically_increasing_id()}) for i, d in enumerate(indexes)]
+def merged_indexes(indexes: list[DataFrame], order: tuple[str, ...] = ("_file", "_line")) -> DataFrame:
+    """Rows of all indexes by file path, later tables and later rows (by the order columns, which go) win, rows without a path go."""
+    parts = [d.withColumn("_table", F.lit(i)) for i, d in enumerate(indexes)]
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
     df = df.where(X.text(F.col("filepath")) != "")
-    return last_wins(df, [F.col("filepath")], ["_table", "_row"]).drop("_table", "_row")
+    return last_wins(df, [F.col("filepath")], ["_table", *order]).drop("_table", *order)
 
 
 def to_replace(spark: SparkSession, path: str) -> DataFrame:

@@ -31,13 +31,25 @@ def append_log(df: DataFrame, path: str, fields: tuple[str, ...]) -> None:
     write_csv(df, path, fields, mode="append")
 
 
-def json_lines(df: DataFrame) -> DataFrame:
-    """K2: a JSON array as lines of text: [ or , before each object, ] at the end; no row is gathered in one place."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    json_lines(df).write.text(path)
+def json_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """K2: one JSON array as lines of text, in order (columns that tell rows apart): [ or , before each object, ] at the end.
+
+    Rows are sorted by ranges and stay dealt out; the files that write_json() makes of them are the array if they are put
+    together by name.
+    """
+    place = F.struct(*(F.col(c).alias(c) for c in order))
+    first = df.agg(F.min(place).alias("x")).first()["x"]
+    if first is None:
+        return df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
+    kinds = df.select(*order).schema
+    is_first = place.eqNullSafe(F.struct(*(F.lit(v).cast(kinds[c].dataType).alias(c) for c, v in zip(order, first, strict=True))))
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    lines = df.orderBy(*order).select(F.concat(F.when(is_first, "[").otherwise(","), text).alias("value"))
+    return lines.unionByName(df.sparkSession.createDataFrame([("]",)], "value string").coalesce(1))
+
+
+def write_json(df: DataFrame, path: str, order: list[str]) -> None:
+    json_lines(df, order).write.text(path)
 
 
 def buy_links(tracks: DataFrame, order: list[str]) -> DataFrame:
