@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 FEATURES = "samplerate int, channels int, duration double, frames long, cutoff_hz double, cutoff_std_hz double, hf_energy_ratio double, est_source_bitrate int, stereo double, error string"
@@ -132,6 +133,16 @@ def wav_features(content: Column) -> Column:
     return pandas_udf(_features, FEATURES)(content)
 
 
+#: Bits of a sample by the name of its format.
+BITS = {"PCM_S8": 8, "PCM_U8": 8, "PCM_16": 16, "PCM_24": 24, "PCM_32": 32, "FLOAT": 32, "DOUBLE": 64, "ALAC_16": 16, "ALAC_24": 24, "ALAC_32": 32}
+
+
+def bit_depth(subtype: Column) -> Column:
+    """0 if unknown."""
+    table = F.create_map(*(F.lit(v) for pair in BITS.items() for v in pair))
+    return F.coalesce(F.try_element_at(table, F.upper(F.coalesce(subtype, F.lit("")))), F.lit(0))
+
+
 def mel_bank(bands: int = 96, rate: int = 16000, size: int = 512) -> np.ndarray:
     """Slaney's filter bank (linear to 1 kHz, logarithmic above; areas of one)."""
     step = np.log(6.4) / 27

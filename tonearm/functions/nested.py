@@ -97,14 +97,18 @@ def tag_values(c: Column) -> Column:
 
 
 def ld_names(c: Column) -> Column:
-    """The names in JSON-LD text, also where the JSON is broken; escapes are decoded."""
-    raw = F.regexp_extract_all(X.text(c), F.lit(r'"name"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    return F.transform(raw, lambda x: F.from_json(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "v string")["v"])
+    """The names of recordings in JSON-LD text, also where the JSON is broken; escapes are decoded, or left if they are broken."""
+    raw = F.regexp_extract_all(X.text(c), F.lit(r'"@type":\s*"MusicRecording",\s*"name":\s*"((?:[^"\\]|\\.)*)"'), 1)
+    return F.transform(raw, lambda x: X.strip(F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "v string")["v"], x)))
 
 
 def html_blob(c: Column, attribute: str = "data-tralbum") -> Column:
     """An attribute's JSON, entities decoded."""
-    s = F.regexp_extract(X.text(c), rf'{attribute}="([^"]*)"', 1)
-    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
-    return s
+    return unescaped(F.regexp_extract(X.text(c), rf'{attribute}="([^"]*)"', 1))
+
+
+def unescaped(c: Column) -> Column:
+    """Text with the entities of quotes, brackets and ampersands decoded."""
+    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c

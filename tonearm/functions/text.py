@@ -139,6 +139,16 @@ def coverage(wanted: Column, found: Column, digits: int = 3) -> Column:
     return F.when(F.size(wanted) > 0, F.bround(hits / F.size(wanted), digits))
 
 
+def all_words(a: Column, b: Column) -> Column:
+    """The distinct words of both."""
+    return F.array_union(a, b)
+
+
+def any_shared(a: Column, b: Column) -> Column:
+    """Whether a word is in both."""
+    return F.arrays_overlap(a, b)
+
+
 def is_noise(t: Column) -> Column:
     return t.rlike(r"^\d+$") | (F.length(t) <= 2) | t.isin(*NOISE_WORDS)
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import classify as C
-from ..functions import nested
+from ..functions import audio, nested, staged
 from ..functions import text as X
-from ..operators import audit, dedup, matching
+from ..operators import audit, dedup, matching, reports
 from ..sources import sinks
 from . import flows
 
@@ -55,7 +55,6 @@ def _version(x: str) -> str:
     return f"array_to_string(list_sort(list_distinct(list_filter([{one}], lambda v: v IS NOT NULL))), '+')"
 
 
-BAND = "CASE WHEN {v} >= 180 THEN 'LOSSLESS' WHEN {v} >= 120 THEN 'HQ' WHEN {v} >= 60 THEN 'DOUTEUX' ELSE 'MAUVAIS' END"
 EVENT = "SELECT event_id, user_id, event_type, value, round(value * 100, 1) AS cutoff, CAST(event_id % 500 AS INTEGER) AS kbps, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 192 END AS est, CASE WHEN event_id % 3 = 0 THEN '.mp3' WHEN event_id % 3 = 1 THEN '.flac' ELSE '.wav' END AS ext FROM events"
 
 
@@ -83,19 +82,17 @@ _CORE = r"regexp_replace(" + _FEAT + r", '[\(\[\{].*?[\)\]\}]', ' ', 'g')"
 # ---- reports and aggregates ------------------------------------------------------------------------------------------
 
 
-@query("""SELECT CASE WHEN n_chars >= 18000 THEN 'LOSSLESS' WHEN n_chars >= 4000 THEN 'HQ' WHEN n_chars >= 1000 THEN 'DOUTEUX' ELSE 'MAUVAIS' END AS verdict,
-  CAST(sum(n) AS BIGINT) AS files, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS same_size FROM (SELECT n_chars, count(*) AS n FROM documents GROUP BY n_chars) GROUP BY 1""")
+@query("""SELECT verdict, count(*) AS files, count(*) FILTER (c > 1 AND n_chars > 0) AS same_size FROM (SELECT n_chars, count(*) OVER (PARTITION BY n_chars) AS c,
+  CASE WHEN doc_id % 7 = 0 THEN 'LOSSLESS' WHEN n_chars >= 18000 THEN 'HQ' WHEN n_chars >= 16000 THEN 'DOUTEUX' ELSE 'MAUVAIS' END AS verdict FROM documents) GROUP BY 1""")
 def A1_health_report(spark, sf_dir):
-    """Documents by length band, with how many share their length. Sizes are counted first, so a row is shuffled once."""
-    sizes = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("n"))
-    n = F.col("n_chars")
-    band = F.when(n >= 18000, "LOSSLESS").when(n >= 4000, "HQ").when(n >= 1000, "DOUTEUX").otherwise("MAUVAIS")
-    return sizes.groupBy(band.alias("verdict")).agg(F.sum("n").alias("files"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("same_size"))
+    """Documents as files whose cutoff is their length."""
+    d = table(spark, sf_dir, "documents").select("n_chars", C.band(F.col("n_chars"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(192))["verdict"].alias("verdict"))
+    return reports.health(d, "verdict", "n_chars")
 
 
 @query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
 def A2_action_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
+    return reports.counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("action")), ["action"])
 
 
 @query("SELECT doc_id, CASE WHEN n_chars <= 0 THEN 1 ELSE count(*) OVER (PARTITION BY n_chars) END AS dup_count FROM documents")
@@ -120,12 +117,26 @@ def A6_wasted_bytes(spark, sf_dir):
     return A5_equal_files(spark, sf_dir).agg(F.sum("wasted").alias("wasted"))
 
 
-@query(f"SELECT {BAND.format(v='value')} AS legacy, {BAND.format(v='value * 1.2')} AS forensic, count(*) AS n FROM events GROUP BY 1, 2 HAVING legacy <> forensic")
+_BASE = "CASE WHEN ext = '.flac' AND kbps > 0 AND kbps < 160 THEN 'MAUVAIS high' ELSE {} END"
+_BAND = "CASE WHEN est = 0 THEN 'LOSSLESS high' WHEN cutoff >= 18000 THEN 'HQ medium' WHEN cutoff >= 16000 THEN 'DOUTEUX medium' ELSE 'MAUVAIS high' END"
+FORENSIC = f"""SELECT event_id, plain, CASE WHEN ext = '.mp3' THEN band WHEN (value / 200 > 0.5 OR event_id % 11 = 0) AND hits >= 2 AND split_part(plain, ' ', 1) <> 'MAUVAIS' THEN split_part(plain, ' ', 1) || ' suspect'
+  WHEN split_part(plain, ' ', 1) <> 'LOSSLESS' AND event_id % 2 <> 0 AND cutoff >= 0.95 * 22050 AND NOT (ext = '.flac' AND kbps > 0 AND kbps < 160) THEN 'LOSSLESS high'
+  WHEN split_part(plain, ' ', 1) IN ('HQ', 'DOUTEUX') AND event_id % 2 <> 0 THEN split_part(plain, ' ', 1) || ' uncertain' ELSE plain END AS deep
+  FROM (SELECT *, {_BASE.format(_BAND)} AS plain, {_BAND} AS band, CAST(value / 200 > 0.5 AS INT) + CAST(event_id % 11 = 0 AS INT) + CAST(value / 10 > 10 AS INT) + CAST(value / 250 > 0.7 AS INT) AS hits FROM ({EVENT}))"""
+
+
+def verdicts(spark, sf_dir):
+    """Events as measured files, with the plain verdict and the one that looks at artefacts."""
+    c = F.col
+    e = measured(spark, sf_dir)
+    deep = C.forensic(c("cutoff"), c("est"), c("kbps"), c("ext"), F.lit(44100), F.when(c("event_id") % 2 == 0, 320), c("ext") != ".mp3", c("value") / 200, c("event_id") % 11 == 0, c("value") / 10, c("value") / 250)
+    return e.select("event_id", C.classify_lossless(c("cutoff"), c("est"), c("kbps"), c("ext")).alias("plain"), deep.alias("deep"))
+
+
+@query(f"SELECT split_part(plain, ' ', 1) AS old_verdict, split_part(deep, ' ', 1) AS new_verdict, count(*) AS n FROM ({FORENSIC}) WHERE plain <> deep GROUP BY 1, 2")
 def A8_transition_matrix(spark, sf_dir):
     """Two verdicts of each row, and the counts of those that differ."""
-    v = F.col("value")
-    band = lambda x: F.when(x >= 180, "LOSSLESS").when(x >= 120, "HQ").when(x >= 60, "DOUTEUX").otherwise("MAUVAIS")
-    return table(spark, sf_dir, "events").groupBy(band(v).alias("legacy"), band(v * 1.2).alias("forensic")).agg(F.count("*").alias("n")).where("legacy <> forensic")
+    return reports.transitions(verdicts(spark, sf_dir), F.col("plain"), F.col("deep"))
 
 
 @query("""WITH h AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, [o_orderpriority, o_orderstatus] AS v FROM orders),
@@ -160,16 +171,26 @@ def A10_by_threshold(spark, sf_dir):
     return matching.by_threshold(scored(spark, sf_dir), least_precision=0.8).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
-@query("SELECT user_id, max(value) AS cutoff, round(CASE WHEN count(*) > 1 THEN stddev_pop(value) ELSE 0 END, 6) AS spread, arg_max(event_type, {'v': value, 'i': -event_id}) AS companion FROM events GROUP BY 1")
+@query("SELECT user_id, max(value) AS cutoff, round(CASE WHEN count(*) > 1 THEN stddev_pop(value) ELSE 0 END, 6) AS spread, arg_max(event_id % 100 / 100.0::DOUBLE, {'v': value, 'i': -event_id}) AS share FROM events GROUP BY 1")
 def A11_aggregate_windows(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("user_id")
-    return g.agg(F.max("value").alias("cutoff"), F.round(F.when(F.count("*") > 1, F.stddev_pop("value")).otherwise(0.0), 6).alias("spread"), F.max_by("event_type", F.struct("value", -F.col("event_id"))).alias("companion"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("event_id") % 100 / 100.0).alias("share"))
+    return reports.windows_of_files(e, "user_id", "event_id", "value", "share").withColumn("spread", F.round("spread", 6))
 
 
-@query("SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') >= 2 AND count(*) FILTER (l_returnflag = 'N') >= 0.6 * count(*) AS prefixed FROM lineitem GROUP BY 1")
-def A17_majority(spark, sf_dir):
-    n = F.count_if(F.col("l_returnflag") == "N")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(((n >= 2) & (n >= 0.6 * F.count("*"))).alias("prefixed"))
+ALBUM = """SELECT l_orderkey, l_linenumber, l_quantity, l_orderkey % 5 = 0 AND l_linenumber = 1 AS own, l_returnflag = 'N' AS pair, 'Guest ' || l_suppkey AS guest, 'Tune ' || l_linenumber AS tune FROM lineitem"""
+
+
+@query(f"""WITH a AS ({ALBUM}), b AS (SELECT *, NOT bool_or(own) OVER o AND count(*) FILTER (pair) OVER o >= 2 AND count(*) FILTER (pair) OVER o >= 0.6 * count(*) OVER o AS prefixed FROM a WINDOW o AS (PARTITION BY l_orderkey))
+  SELECT l_orderkey, CASE WHEN own THEN 'Own' WHEN prefixed AND pair THEN guest ELSE 'Band ' || (l_orderkey % 100) END AS "Artist", CASE WHEN pair AND NOT (prefixed AND NOT own) THEN guest || ' - ' || tune ELSE tune END AS "Title",
+  CASE WHEN l_quantity > 0 THEN CAST(round(l_quantity) AS INTEGER) END AS "Length" FROM b""")
+def A17_N4_album_tracks(spark, sf_dir):
+    """Orders as albums: some titles name a guest before a dash, some albums name an artist for a track."""
+    c = F.col
+    pair = F.when(c("l_returnflag") == "N", F.concat(F.lit("Guest "), c("l_suppkey").cast("string"), F.lit(" - "))).otherwise("")
+    track = F.struct(F.concat(pair, F.lit("Tune "), c("l_linenumber").cast("string")).alias("title"), F.when((c("l_orderkey") % 5 == 0) & (c("l_linenumber") == 1), "Own").alias("artist"), c("l_quantity").cast("double").alias("duration"))
+    albums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(track).alias("tracks"))  # an order's lines: few
+    albums = albums.withColumn("band", F.concat(F.lit("Band "), (c("l_orderkey") % 100).cast("string")))
+    return nested.album_tracks(albums, "l_orderkey", "band", "tracks").select(c("Album").alias("l_orderkey"), "Artist", "Title", "Length")
 
 
 # ---- text ------------------------------------------------------------------------------------------------------------
@@ -182,8 +203,9 @@ def F1_fold(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len({_tokens('text')}) AS INTEGER) AS n, CAST(len({_tokens('text', 1)}) AS INTEGER) AS loose FROM documents")
 def F2_F3_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(X.tokens(F.col("text"))).alias("n"), F.size(X.loose_tokens(F.col("text"))).alias("loose"))
+    """Each text is folded and split once, for both kinds."""
+    both = X.bound(X.words(F.col("text")), lambda w: F.struct(F.size(X.chosen(w)).alias("n"), F.size(X.chosen(w, 1)).alias("loose")))
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("b")).select("doc_id", "b.n", "b.loose")
 
 
 @query(f"SELECT p_partkey, array_to_string({_tokens(_CORE)}, ' ') AS core FROM ({PART})")
@@ -223,11 +245,16 @@ def F11_clean(spark, sf_dir):
     return named_parts(spark, sf_dir).select("p_partkey", X.clean(F.col("title")).alias("title"))
 
 
-@query(rf"""WITH t AS (SELECT p_partkey, regexp_replace(artist || ' - ' || title, '\[[A-Za-z0-9]+\]', '', 'g') AS s FROM ({PART}))
-  SELECT p_partkey, trim(trim(split_part(s, ' - ', 1)), ' -_') AS artist, trim(trim(regexp_replace(substr(s, instr(s, ' - ') + 3), '\s+', ' ', 'g')), ' -_') AS title, true AS parseable FROM t""")
+@query(rf"""WITH t AS (SELECT p_partkey, p_partkey % 6 AS k, artist, regexp_replace(title, '\[[A-Za-z0-9]+\]', '', 'g') AS title FROM ({PART})), u AS (SELECT *, trim(trim(regexp_replace(title, '\s+', ' ', 'g')), ' -_') AS t FROM t)
+  SELECT p_partkey, CASE WHEN k IN (2, 3) THEN '' ELSE artist END AS artist, CASE k WHEN 2 THEN t WHEN 3 THEN t WHEN 5 THEN t || ' - live' ELSE t END AS title, k NOT IN (2, 3) AS parseable FROM u""")
 def F12_parse_name(spark, sf_dir):
-    p = named_parts(spark, sf_dir)
-    return p.select("p_partkey", X.parse_name(F.concat(F.lit("/music/01. "), "artist", F.lit(" - "), "title", F.lit(".flac"))).alias("n")).select("p_partkey", "n.artist", "n.title", "n.parseable")
+    """With track numbers, underscores, no artist, an empty artist, no folder, and a second separator."""
+    c = F.col
+    k = c("p_partkey") % 6
+    name = F.when(k == 0, F.concat(F.lit("/music/01. "), "artist", F.lit(" - "), "title", F.lit(".flac"))).when(k == 1, F.concat(F.lit("/music/B2) "), "artist", F.lit(" _ "), "title", F.lit(".mp3")))
+    name = name.when(k == 2, F.concat("title", F.lit(".wav"))).when(k == 3, F.concat(F.lit("/x/  - "), "title", F.lit(".wav"))).when(k == 4, F.concat("artist", F.lit(" - "), "title", F.lit(".a.b"))).otherwise(F.concat("artist", F.lit(" - "), "title", F.lit(" - live.flac")))
+    name = F.when(k == 4, F.concat("artist", F.lit(" - "), "title", F.lit(".flac"))).otherwise(name)
+    return named_parts(spark, sf_dir).select("p_partkey", X.parse_name(name).alias("n")).select("p_partkey", "n.artist", "n.title", "n.parseable")
 
 
 @query(f"SELECT p_partkey, trim(lower(artist || ' - ' || title)) AS key FROM ({PART})")
@@ -235,13 +262,13 @@ def F13_match_key(spark, sf_dir):
     return named_parts(spark, sf_dir).select("p_partkey", X.match_key(F.col("artist"), F.col("title")).alias("key"))
 
 
-@query(f"SELECT p_partkey, artist, trim(title) AS title FROM ({PART})")
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'Various' ELSE artist END AS artist, trim(title) || CASE p_partkey % 4 WHEN 2 THEN ' - ' || p_type ELSE '' END AS title FROM ({PART})")
 def F14_normalize(spark, sf_dir):
-    """The artist is in the title, as of compilations, or again before it; with a side prefix."""
-    p = named_parts(spark, sf_dir)
-    k = F.col("p_partkey") % 2 == 0
-    n = X.normalize(F.when(k, "Various Artists").otherwise(F.col("artist")), F.concat(F.lit("A1 "), "artist", F.lit(" – "), "title"))
-    return p.select("p_partkey", n.alias("n")).select("p_partkey", "n.artist", "n.title")
+    """The artist is in the title, as of compilations, or again before it, with a side prefix; another pair stays a title; a compilation without a pair stays one."""
+    k = F.col("p_partkey") % 4
+    again = F.concat(F.lit("A1 "), "artist", F.lit(" – "), "title")
+    n = X.normalize(F.when(k == 0, "Various Artists").when(k == 3, "Various").otherwise(F.col("artist")), F.when(k < 2, again).when(k == 2, F.concat("title", F.lit(" — "), "p_type")).otherwise(F.col("title")))
+    return named_parts(spark, sf_dir).select("p_partkey", n.alias("n")).select("p_partkey", "n.artist", "n.title")
 
 
 @query(f"SELECT p_partkey, trim(regexp_replace(regexp_replace(title, '\\[[^\\]]*\\]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM ({PART})")
@@ -256,9 +283,13 @@ def F23_resolve(spark, sf_dir):
     return p.select("p_partkey", X.resolve(path, F.col("artist"), F.col("title")).alias("r")).select("p_partkey", "r.*")
 
 
-@query(r"SELECT page_id, regexp_extract(url, '[?&]page=(\d+)', 1) AS page, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages")
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'PL' || page_id WHEN 4 THEN 'LLx' || page_id END AS list, CASE WHEN page_id % 6 = 5 THEN 'UU' || repeat('a', 20) || page_id END AS uploads FROM pages""")
 def F35_url_parts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"[?&]page=(\d+)", 1).alias("page"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
+    """Links of playlists, of videos in them, of personal and automatic lists, and of channels."""
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 6
+    link = F.when(k == 0, F.concat(F.lit("https://youtube.com/playlist?list=PL"), i, F.lit("&x=1"))).when(k == 1, F.concat(F.lit("https://youtube.com/watch?v=abc&list=PL"), i)).when(k == 2, F.concat(F.lit("https://youtube.com/playlist?a=b&list=RD"), i))
+    link = link.when(k == 3, F.lit("https://youtube.com/playlist?list=LL")).when(k == 4, F.concat(F.lit("https://youtube.com/playlist?list=LLx"), i)).otherwise(F.concat(F.lit("https://www.youtube.com/channel/UC"), F.lit("a" * 20), i))
+    return table(spark, sf_dir, "pages").select("page_id", X.playlist_id(link).alias("list"), X.uploads_id(link, F.col("html")).alias("uploads"))
 
 
 @query("SELECT doc_id, substr(sha1(text), 1, 16) AS key, md5(source) AS source FROM documents")
@@ -266,10 +297,11 @@ def F37_cache_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.cache_key(F.col("text")).alias("key"), F.md5("source").alias("source"))
 
 
-@query(r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(trim(l)) > 0 GROUP BY 1")
-def N6_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    return lines.where(F.length(F.trim("l")) > 0).groupBy("doc_id").agg(F.count("*").alias("lines"))
+@query("SELECT p_partkey, unnest([0, 2]) AS line, p_brand AS artist, unnest([p_name, p_type]) AS title FROM part")
+def N6_tracklist(spark, sf_dir):
+    """Two tracks, a link and a line without a pair."""
+    text = F.concat(F.lit("1. "), "p_brand", F.lit(" - "), "p_name", F.lit("\nsee http://x.com/a - b\nB2. "), "p_brand", F.lit(" – "), "p_type", F.lit("\nno pair here\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(X.tracklist(text)).alias("t")).select("p_partkey", "t.*")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -277,10 +309,13 @@ def N2_json_property(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT event_id, 1 AS n, json_extract_string(props, '$.k') AS first FROM events")
+@query("SELECT event_id, 3 + event_id % 2 AS n, json_extract_string(props, '$.k') || ',{\"k\":' || event_id || '},' || event_id || CASE WHEN event_id % 2 = 1 THEN ',\"x\"' ELSE '' END AS found FROM events")
 def N1_find_all(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", nested.find_all(F.col("props"), "k").alias("v"))
-    return e.select("event_id", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"))
+    """The key at several depths, below itself and in lists."""
+    i = F.col("event_id").cast("string")
+    doc = F.concat(F.lit('{"a": ['), "props", F.lit('], "k": {"k": '), i, F.lit('}, "z": [['), F.when(F.col("event_id") % 2 == 1, '{"y": {"k": "x"}}').otherwise("1"), F.lit("]]}"))
+    e = table(spark, sf_dir, "events").select("event_id", nested.find_all(doc, "k").alias("v"))
+    return e.select("event_id", F.size("v").cast("long").alias("n"), F.replace(F.array_join("v", ","), F.lit(" "), F.lit("")).alias("found"))
 
 
 # ---- classification --------------------------------------------------------------------------------------------------
@@ -301,11 +336,9 @@ def C2_C3_verdict(spark, sf_dir):
     return e.select("event_id", C.classify_lossless(F.col("cutoff"), F.col("est"), F.col("kbps"), F.col("ext"))["verdict"].alias("verdict"))
 
 
-@query()
+@query(f"SELECT event_id, split_part(deep, ' ', 1) AS verdict, split_part(deep, ' ', 2) AS confidence FROM ({FORENSIC})")
 def C5_forensic(spark, sf_dir):
-    c = F.col
-    v = C.forensic(c("cutoff"), c("est"), c("kbps"), c("ext"), F.lit(44100), F.when(c("event_id") % 2 == 0, 320), c("ext") != ".mp3", c("value") / 200, c("event_id") % 11 == 0, c("value") / 10, c("value") / 250)
-    return measured(spark, sf_dir).select("event_id", v.alias("v")).select("event_id", "v.*")
+    return verdicts(spark, sf_dir).select("event_id", "deep.*")
 
 
 def judged(spark, sf_dir):
@@ -321,7 +354,7 @@ def P2_accepted(spark, sf_dir):
 
 @query(f"SELECT event_id, verdict, cutoff FROM (SELECT *, {_CLASS} AS verdict FROM ({EVENT})) WHERE NOT ({_OK}) ORDER BY verdict, cutoff")
 def P5_O1_flagged(spark, sf_dir):
-    return judged(spark, sf_dir).where("not ok").select("event_id", "verdict", "cutoff").orderBy("verdict", "cutoff")
+    return reports.flagged(judged(spark, sf_dir), F.col("ok")).select("event_id", "verdict", "cutoff")
 
 
 @query(f"""WITH t AS (SELECT p_partkey, {_tokens('p_name')} AS n, {_tokens("title || ' ' || artist")} AS g, {_version('title')} AS v, {_version('p_name')} AS w FROM ({PART}))
@@ -412,10 +445,33 @@ def W6_chunks(spark, sf_dir):
     return dedup.chunks(o, ["o_orderdate", "o_orderkey"]).groupBy("chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
-@query(f"""WITH t AS (SELECT artist, title, p_partkey FROM ({PART})), k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(artist)), lower(trim(title)) ORDER BY p_partkey) AS r FROM t)
-  SELECT artist, title FROM k WHERE r = 1""")
+_QUOTED = r"replace(replace(replace(replace(replace(replace(p_brand || ' ' || p_name, '%', '%25'), '#', '%23'), '&', '%26'), '(', '%28'), ')', '%29'), ' ', '+')"
+_LINKS = f"""SELECT p_partkey, p_brand AS artist, p_name AS title, 'https://www.discogs.com/search/?q=' || {_QUOTED} || '&type=release' AS discogs, 'https://bandcamp.com/search?q=' || {_QUOTED} AS bandcamp
+  FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand), lower(p_name) ORDER BY p_partkey) AS r FROM part) WHERE r = 1"""
+
+
+def wanted_parts(spark, sf_dir):
+    """Parts, each once more in capitals and with a space at the end, and titles that are empty."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))
+    again = p.select((F.col("p_partkey") + 10**9).alias("p_partkey"), F.upper("artist").alias("artist"), F.concat("title", F.lit(" ")).alias("title"))
+    return p.unionByName(again).unionByName(p.withColumn("title", F.lit("")))
+
+
+@query(f"SELECT artist, title, discogs, bandcamp FROM ({_LINKS})")
 def K6_buy_links(spark, sf_dir):
-    return sinks.buy_links(named_parts(spark, sf_dir).select("p_partkey", "artist", "title"), ["p_partkey"]).select("artist", "title")
+    return sinks.buy_links(wanted_parts(spark, sf_dir), ["p_partkey"])
+
+
+@query(f"""SELECT '<p><b>' || artist || '</b> ' || title || ' <a href="' || replace(discogs, '&', '&amp;') || '" target="_blank" rel="noopener">Discogs</a> <a href="' || bandcamp || '" target="_blank" rel="noopener">Bandcamp</a></p>' AS value FROM ({_LINKS})""")
+def K6_buy_cards(spark, sf_dir):
+    return sinks.buy_cards(sinks.buy_links(wanted_parts(spark, sf_dir), ["p_partkey"]))
+
+
+@query(f"SELECT artist, title FROM ({_LINKS.replace('FROM part)', 'FROM part WHERE p_partkey % 3 = 1)')})")
+def K7_unfindable(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    out = wanted_parts(spark, sf_dir).withColumn("action", F.when(k == 1, "NOT_FOUND").otherwise("REPLACED")).where("p_partkey < 1000000000")
+    return sinks.unfindable(out, ["p_partkey"]).select("artist", "title")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, '' AS missing FROM documents")
@@ -423,20 +479,22 @@ def K1_csv_fields(spark, sf_dir):
     return sinks.as_text(table(spark, sf_dir, "documents").select("doc_id", "lang"), ("doc_id", "lang", "missing"))
 
 
-@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 40")
+@query("SELECT event_id, value, (SELECT greatest(count(*) - 40, 0) FROM events) AS more FROM events ORDER BY value DESC, event_id LIMIT 40")
 def O6_top(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(40)
+    return reports.first_rows(table(spark, sf_dir, "events").select("event_id", "value"), [F.desc("value"), "event_id"], 40)
 
 
-@query("SELECT 'events' AS t, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
-def U5_union(spark, sf_dir):
-    n = lambda t: table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n")
-    return n("events").unionByName(n("orders"))
+@query("SELECT event_id AS id, 'ALREADY_GOOD' AS action, NULL AS new_file FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'REPLACED', 'f' || event_id FROM events WHERE event_type <> 'view'")
+def U5_outcomes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    before = e.where("event_type = 'view'").select(F.col("event_id").alias("id"), F.lit("ALREADY_GOOD").alias("action"))
+    after = e.where("event_type <> 'view'").select(F.col("event_id").alias("id"), F.lit("REPLACED").alias("action"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("new_file"))
+    return reports.outcomes(before, after)
 
 
-@query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def U6_minus(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").agg(F.count("*").alias("n"))
+    return reports.without(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 # ---- more reports ----------------------------------------------------------------------------------------------------
@@ -444,7 +502,7 @@ def U6_minus(spark, sf_dir):
 
 @query(f"SELECT folder, count(*) AS n FROM ({SQL['J10_route']}) WHERE folder IS NOT NULL GROUP BY 1")
 def A7_folder_counts(spark, sf_dir):
-    return J10_route(spark, sf_dir).where("folder is not null").groupBy("folder").agg(F.count("*").alias("n"))
+    return reports.counts(J10_route(spark, sf_dir).where("folder is not null"), ["folder"])
 
 
 _NAME = rf"trim(trim(regexp_replace(regexp_replace(title, '\[[A-Za-z0-9]+\]', '', 'g'), '\s+', ' ', 'g')), ' -_')"
@@ -463,34 +521,36 @@ def A12_import_stats(spark, sf_dir):
 
 @query(f"SELECT status, count(*) AS n FROM ({SQL['C6_name_status']}) GROUP BY 1")
 def A13_status_counts(spark, sf_dir):
-    return C6_name_status(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    return reports.counts(C6_name_status(spark, sf_dir), ["status"])
 
 
 @query("SELECT round(sum(strlen(html)) / 1048576.0::DOUBLE, 6) AS mb FROM pages")
 def A14_total_size(spark, sf_dir):
-    return table(spark, sf_dir, "pages").agg(F.round(F.sum(F.octet_length("html")) / 1048576.0, 6).alias("mb"))
+    return reports.megabytes(table(spark, sf_dir, "pages"), F.octet_length("html")).select(F.round("mb", 6).alias("mb"))
 
 
-@query("""WITH x AS (SELECT unnest(embedding) AS p, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT CAST(i AS INTEGER) AS label, round(avg(CAST(p AS DOUBLE)), 6) AS p FROM x GROUP BY 1)
-  SELECT label, p FROM m WHERE p >= -1 ORDER BY p DESC, label LIMIT 6""")
+@query("""WITH x AS (SELECT unnest(embedding) AS p, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT CAST(i AS INTEGER) AS label, avg(CAST(p AS DOUBLE) * CAST(p AS DOUBLE) * 5) AS p FROM x GROUP BY 1)
+  SELECT label, round(p, 6) AS p FROM m WHERE p >= 0.08 ORDER BY p DESC, label LIMIT 6""")
 def A15_mean_activation(spark, sf_dir):
-    """Means by class over all patches, then the six highest; the floor is low, as embeddings aren't probabilities."""
-    x = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("label", "p"))
-    return x.groupBy("label").agg(F.round(F.avg(F.col("p").cast("double")), 6).alias("p")).where("p >= -1").orderBy(F.desc("p"), "label").limit(6)
+    """Squares of components as activations of classes."""
+    x = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda p: p.cast("double") * p.cast("double") * 5).alias("patch"))
+    return reports.mean_activations(x, "patch").withColumn("p", F.round("p", 6))
 
 
 @query(f"SELECT ext, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM ({SQL['P2_accepted']}) JOIN ({EVENT}) USING (event_id) GROUP BY 1")
 def A16_totals(spark, sf_dir):
-    return judged(spark, sf_dir).groupBy("ext").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+    return reports.totals(judged(spark, sf_dir), ["ext"], F.col("ok"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, role = 'assistant' AS pinned, CAST(len(string_split(text, '. ')) AS INTEGER) AS lines FROM conversations)
-  SELECT conv_id, arg_max(turn, {'p': CASE WHEN pinned THEN 1 ELSE 0 END, 'n': CASE WHEN pinned THEN 0 ELSE lines END, 't': -turn}) AS best FROM c WHERE lines >= 4 GROUP BY 1""")
+@query(r"""WITH c AS (SELECT conv_id, turn, role = 'assistant' AS pinned, (turn * 7 + conv_id) % 9 AS lines FROM conversations), b AS (SELECT conv_id, arg_max({'t': turn, 'n': lines}, {'p': CASE WHEN pinned THEN 1 ELSE 0 END, 'n': CASE WHEN pinned THEN 0 ELSE lines END, 't': -turn}) AS b FROM c WHERE lines >= 4 GROUP BY 1)
+  SELECT conv_id, b.t AS turn, CAST(b.n AS INTEGER) AS tracks FROM b""")
 def A18_best_comment(spark, sf_dir):
-    """Of each conversation's texts of four lines or more: the first pinned one, else the longest, the first of equals."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("pinned"), F.size(F.split("text", r"\. ")).alias("lines"))
-    order = F.struct(F.col("pinned").cast("int"), F.when(F.col("pinned"), 0).otherwise(F.col("lines")), -F.col("turn"))
-    return c.where("lines >= 4").groupBy("conv_id").agg(F.max_by("turn", order).alias("best"))
+    """Turns as comments of zero to eight lines, the assistant's pinned."""
+    c = F.col
+    lines = F.filter(F.sequence(F.lit(0), ((c("turn") * 7 + c("conv_id")) % 9).cast("int")), lambda i: i > 0)
+    text = F.array_join(F.transform(lines, lambda i: F.concat(F.lit("Artist - Tune "), i.cast("string"))), "\n")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"), (c("role") == "assistant").alias("pinned"))
+    return reports.best_comments(t, "conv_id", "turn", "text", "pinned").select("conv_id", "turn", F.size("tracks").alias("tracks"))
 
 
 @query("""WITH e AS (SELECT event_id, CAST(trunc(value * 60) AS BIGINT) AS s FROM events), m AS (SELECT *, (s + 30) // 60 AS m FROM e)
@@ -501,15 +561,15 @@ def A19_eta(spark, sf_dir):
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'purchase') * 100 / greatest(1, count(*)) AS rate FROM events GROUP BY 1")
 def A20_hit_rate(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "purchase") * 100 / F.greatest(F.lit(1), F.count("*"))).alias("rate"))
+    return reports.hit_rate(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "purchase")
 
 
 # ---- more text -------------------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(megamix|mega mix|continuous|dj ?mix|mixtape|non ?stop|sampler|compilation|full album|b2b|back to back|live set|essential mix|versus|podcast)\b') AS mix FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, coalesce(regexp_matches(text, '(?i)\b(megamix|mega mix|continuous|dj ?mix|mixtape|non ?stop|sampler|compilation|full album|b2b|back to back|live set|essential mix|versus|podcast)\b'), false) AS mix FROM documents")
 def F10_mix_marker(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.has_mix_marker(F.col("text")).alias("mix"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.has_mix_marker(F.col("text")).alias("mix"))
 
 
 @query("SELECT p_partkey, p_brand || ' - ' || p_name AS title FROM part")
@@ -556,9 +616,12 @@ def F26_strip_catalog(spark, sf_dir):
     return named_parts(spark, sf_dir).select("p_partkey", X.strip_catalog(F.concat("p_name", F.lit(" (Dub Mix) [ABC012] (1999) **"))).alias("title"))
 
 
-@query("SELECT p_partkey, p_name AS title FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN '[' || p_name || ' (' ELSE p_name END AS title FROM part")
 def F28_query_title(spark, sf_dir):
-    return named_parts(spark, sf_dir).select("p_partkey", X.query_title(F.concat("p_name", F.lit(" ((Deep) Dub (Long)) #tag"))).alias("title"))
+    """Brackets seven deep, mixed ones with a site's name, and ones that don't close."""
+    k = F.col("p_partkey") % 3
+    deep = F.concat("p_name", F.lit(" " + "(a[" * 4 + "b" + "])" * 4 + " #tag"))
+    return named_parts(spark, sf_dir).select("p_partkey", X.query_title(F.when(k == 0, deep).when(k == 1, F.concat("p_name", F.lit(" {x.pro] - Extended Mix"))).otherwise(F.concat(F.lit("["), "p_name", F.lit(" (")))).alias("title"))
 
 
 @query("""SELECT p_partkey, p_brand || '_' || p_name AS safe, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size
@@ -568,12 +631,9 @@ def F29_sanitize_and_size(spark, sf_dir):
     return p.select("p_partkey", X.sanitize(F.concat("p_brand", F.lit("?"), "p_name", F.lit(" . "))).alias("safe"), X.human_size(F.col("p_partkey").cast("long") * F.col("p_partkey") * 8).alias("size"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(source), '[\s\-_/]+', ' ', 'g'))) AS style, length(trim(regexp_replace(lower(strip_accents(source)), '\s+', ' ', 'g'))) AS n FROM documents WHERE source IS NOT NULL")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(s), '[\s\-_/]+', ' ', 'g'))) AS style, length(trim(regexp_replace(lower(strip_accents(s)), '\s+', ' ', 'g'))) AS n FROM (SELECT doc_id, coalesce(source, '') AS s FROM documents)")
 def F31_norms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.md5(X.style_norm(F.col("source"))).alias("style"), F.length(X.name_norm(F.col("source"))).cast("long").alias("n"))
-
-
-_QUOTED = r"replace(replace(replace(replace(replace(replace(p_brand || ' ' || p_name, '%', '%25'), '#', '%23'), '&', '%26'), '(', '%28'), ')', '%29'), ' ', '+')"
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.style_norm(F.col("source"))).alias("style"), F.length(X.name_norm(F.col("source"))).cast("long").alias("n"))
 
 
 @query(f"SELECT p_partkey, 'https://www.discogs.com/search/?q=' || {_QUOTED} || '&type=release' AS discogs, 'https://bandcamp.com/search?q=' || {_QUOTED} AS bandcamp FROM part")
@@ -664,18 +724,18 @@ def C11_deploy(spark, sf_dir):
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def J6_missed(spark, sf_dir):
     missed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(missed, "c_custkey", "left_semi")
+    return reports.only(table(spark, sf_dir, "customer").select("c_custkey"), missed, "c_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
 def J8_selected(spark, sf_dir):
     chosen = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(chosen, "l_orderkey")
+    return reports.selected(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), chosen, "l_orderkey")
 
 
 @query(f"SELECT p_partkey, list_has_any({_tokens('title')}, {_tokens('p_type')}) AS any_shared FROM ({PART})")
 def J9_U3_overlap(spark, sf_dir):
-    return named_parts(spark, sf_dir).select("p_partkey", F.arrays_overlap(X.tokens(F.col("title")), X.tokens(F.col("p_type"))).alias("any_shared"))
+    return named_parts(spark, sf_dir).select("p_partkey", X.any_shared(X.tokens(F.col("title")), X.tokens(F.col("p_type"))).alias("any_shared"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS cached, c_custkey % 3 <> 2 AS hit FROM customer")
@@ -725,8 +785,8 @@ def C9_label_matches(spark, sf_dir):
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3""")
 def W5_newest(spark, sf_dir):
     """The three newest of each customer's orders: the limit is the feature."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("r", F.row_number().over(w)).where("r <= 3").select("o_custkey", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return reports.newest(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
 @query("SELECT lower(s_name) AS key, min(s_suppkey) AS first FROM (SELECT s_name, s_suppkey FROM supplier UNION ALL SELECT replace(c_name, 'Customer', 'SUPPLIER'), 1000000000 + c_custkey FROM customer) GROUP BY 1")
@@ -739,7 +799,218 @@ def U1_union_first(spark, sf_dir):
 
 @query(f"SELECT p_partkey, CAST(len(list_distinct(list_concat({_tokens('title')}, {_tokens('p_type')}))) AS INTEGER) AS n FROM ({PART})")
 def U2_token_union(spark, sf_dir):
-    return named_parts(spark, sf_dir).select("p_partkey", F.size(F.array_union(X.tokens(F.col("title")), X.tokens(F.col("p_type")))).alias("n"))
+    return named_parts(spark, sf_dir).select("p_partkey", F.size(X.all_words(X.tokens(F.col("title")), X.tokens(F.col("p_type")))).alias("n"))
+
+
+# ---- views, labels and small tables ----------------------------------------------------------------------------------
+
+
+@query("SELECT n_chars, count(*) AS n, CAST(row_number() OVER (ORDER BY n_chars DESC) AS BIGINT) AS place FROM documents WHERE n_chars > 0 GROUP BY 1 HAVING count(*) > 1")
+def O2_groups_by_size(spark, sf_dir):
+    """Duplicate groups, largest first; the place shows the order."""
+    g = dedup.size_groups(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").orderBy(F.desc("n_chars"))
+    return g.select("n_chars", "n", F.row_number().over(Window.orderBy(F.desc("n_chars"))).cast("long").alias("place"))
+
+
+@query(f"SELECT event_id FROM ({SQL['P2_accepted']}) WHERE NOT ok")
+def P4_upgradable(spark, sf_dir):
+    return reports.view(judged(spark, sf_dir), "upgradable", F.col("ok")).select("event_id")
+
+
+@query(f"SELECT event_id FROM (SELECT *, {_CLASS} AS verdict FROM ({EVENT})) WHERE verdict = 'HQ'")
+def P4_one_verdict(spark, sf_dir):
+    return reports.view(judged(spark, sf_dir), "HQ", F.col("ok")).select("event_id")
+
+
+@query("SELECT page_id, page_id % 4 IN (0, 1) AS within FROM pages")
+def P6_is_within(spark, sf_dir):
+    k = F.col("page_id") % 4
+    parent = F.when(k == 0, "/Music/A/").when(k == 1, "/music/a/b/x.flac").when(k == 2, "/music/ab").otherwise("/music/A/x")
+    path = F.when(k == 0, F.concat(F.lit("/music/a/"), F.col("page_id").cast("string"))).when(k == 1, r"\MUSIC\a\b\x.flac").when(k == 2, "/music/abc/d").otherwise("/music/a")
+    return table(spark, sf_dir, "pages").select("page_id", reports.is_within(path, parent).alias("within"))
+
+
+IDENTIFIED = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'NO_MATCH' WHEN (doc_id % 101) / 100.0 >= 0.85 THEN 'MATCH' ELSE 'LOW_CONFIDENCE' END AS status, (doc_id % 101) / 100.0::DOUBLE AS score FROM labels"
+
+
+def identified(spark, sf_dir):
+    """Labelled documents as results of a lookup."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select("doc_id", (k % 101 / 100.0).alias("score"), F.when(k % 3 != 0, F.concat(F.lit("Artist "), (k % 50).cast("string"))).alias("artist"), F.concat(F.lit("Tune "), k.cast("string")).alias("title"), (k % 5 * 60).cast("int").alias("duration"))
+    return rows.withColumn("status", C.identify_status(F.when(k % 10 != 0, F.col("score"))))
+
+
+@query(f"""SELECT 'Artist ' || (doc_id % 50) AS "Artist", 'Tune ' || doc_id AS "Title", CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 5 * 60 AS INTEGER) END AS "Length", 'identify' AS "Source" FROM ({IDENTIFIED}) WHERE status = 'MATCH' AND doc_id % 3 <> 0""")
+def P9_to_wants(spark, sf_dir):
+    return reports.to_wants(identified(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, status, score, row_number() OVER (ORDER BY CASE status WHEN 'MATCH' THEN 0 ELSE 1 END, score DESC, doc_id) AS place FROM ({IDENTIFIED}) WHERE status <> 'NO_MATCH'")
+def O4_to_review(spark, sf_dir):
+    rows = reports.to_review(identified(spark, sf_dir)).select("doc_id", "status", "score")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(reports.place_in(F.col("status"), ("MATCH", "LOW_CONFIDENCE")), F.desc("score"), "doc_id")).cast("long"))
+
+
+@query(f"SELECT p_partkey, artist AS known_artist, {_NAME} AS known_title FROM ({PART}) WHERE p_partkey % 2 = 0")
+def P10_ground_truth(spark, sf_dir):
+    """Names that are sure, and slugs, which aren't."""
+    p = named_parts(spark, sf_dir)
+    slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-a-b-c"))
+    path = F.concat(F.lit("/m/"), F.col("p_partkey").cast("string"), F.lit("/"), F.when(F.col("p_partkey") % 2 == 0, F.concat("artist", F.lit(" - "), "title")).otherwise(slug), F.lit(".flac"))
+    out = reports.ground_truth(p.select(path.alias("path"), F.lit("").alias("tag_artist"), F.lit("").alias("tag_title")))
+    return out.select(F.regexp_extract("path", r"^/m/(\d+)/", 1).cast("long").alias("p_partkey"), "known_artist", "known_title")
+
+
+@query()
+def O10_sampled(spark, sf_dir):
+    """A sampling operator: 50 documents, the same on every run."""
+    return reports.sampled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
+
+
+@query("""WITH s AS (SELECT c_custkey, unnest([c_custkey * 7 % 1000, c_custkey, c_custkey + 3]) AS id, unnest([0, 1, 2]) AS position FROM customer) SELECT position, c_name FROM s JOIN customer c ON c.c_custkey = s.id WHERE s.c_custkey = 1""")
+def J14_in_sequence(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    one = c.where("c_custkey = 1").select(F.array(k * 7 % 1000, k, k + 3).alias("ids"))
+    return reports.in_sequence(one, "ids", c.select("c_custkey", "c_name"), "c_custkey").select("position", "c_name")
+
+
+_SHOWN = f"SELECT *, {_CLASS} AS verdict FROM ({EVENT})"
+
+
+@query(f"""SELECT event_id, verdict AS band, CASE WHEN ext = '.mp3' THEN 'mp3' || CASE WHEN kbps > 0 THEN ' ' || kbps ELSE '' END ELSE ext END AS format,
+  CASE WHEN {_OK} THEN CASE WHEN verdict = 'LOSSLESS' THEN CASE ext WHEN '.wav' THEN 'real WAV' ELSE 'real lossless' END WHEN ext = '.mp3' THEN 'mp3' || CASE WHEN kbps > 0 THEN ' ' || kbps ELSE '' END || ' · club-ok' ELSE 'club-ok' END || ' · kept'
+    WHEN verdict = 'MAUVAIS' THEN CASE WHEN ext = '.mp3' THEN 'low bitrate -> trash' ELSE 'upscale -> trash' END WHEN ext <> '.mp3' THEN 'fake lossless -> hunting slsk...' ELSE 'below bar -> hunting slsk...' END AS label, NOT ({_OK}) AS problem FROM ({_SHOWN})""")
+def C13_labels(spark, sf_dir):
+    c = F.col
+    kind = C.format_class(c("ext"), F.lit(""))
+    label = reports.status_label(c("verdict"), F.lit(""), c("ok"), c("ext"), kind, c("kbps"), F.lit(""))
+    return judged(spark, sf_dir).select("event_id", reports.band_label(c("verdict")).alias("band"), reports.format_label(c("verdict"), c("ext"), kind, c("kbps")).alias("format"), label.alias("l")).select("event_id", "band", "format", "l.*")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 16 WHEN 1 THEN 24 WHEN 2 THEN 64 ELSE 0 END AS bits FROM events")
+def D9_bit_depth(spark, sf_dir):
+    k = F.col("event_id") % 5
+    return table(spark, sf_dir, "events").select("event_id", audio.bit_depth(F.when(k == 0, "pcm_16").when(k == 1, "PCM_24").when(k == 2, "DOUBLE").when(k == 3, "VORBIS")).alias("bits"))
+
+
+# ---- staged responses ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_brand AS artist, p_name AS title FROM part WHERE p_partkey % 4 <> 3")
+def F27_video_titles(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.concat("p_brand", F.lit(" – "), "p_name", F.lit(" (Official Video) [HD]"))).when(k == 1, F.concat("p_brand", F.lit(" - "), "p_name", F.lit(" | Some Channel"))).when(k == 2, F.concat("p_brand", F.lit(" - "), "p_name", F.lit("  (Lyrics)"))).otherwise(F.concat("p_name", F.lit(" | "), "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.track_pair(X.track_line(X.video_title(raw))).alias("t")).where("t is not null").select("p_partkey", "t.*")
+
+
+def playlist_pages(spark, sf_dir):
+    """Orders as playlists of one page, their lines as videos, the layout by the order's key."""
+    c = F.col
+    name = F.concat(F.lit("Artist "), c("l_suppkey").cast("string"), F.lit(" - Tune "), c("l_linenumber").cast("string"), F.lit(" (Official Audio)"))
+    old = F.struct(F.struct(F.struct(F.array(F.struct(name.alias("text"))).alias("runs")).alias("title")).alias("playlistVideoRenderer"))
+    new = F.struct(F.struct(F.struct(F.struct(F.struct(name.alias("content")).alias("title")).alias("lockupMetadataViewModel")).alias("metadata")).alias("lockupViewModel"))
+    one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", old.alias("a"), new.alias("b")).alias("x"))
+    lists = one.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x"))  # an order's lines: few
+    page = F.when(c("l_orderkey") % 2 == 0, F.to_json(F.struct(F.transform("x", lambda v: v["a"]).alias("contents")))).otherwise(F.to_json(F.struct(F.transform("x", lambda v: v["b"]).alias("contents"), F.struct(F.lit("next").alias("token")).alias("continuationCommand"))))
+    return lists.select("l_orderkey", F.lit(0).alias("number"), page.alias("page"))
+
+
+@query("""SELECT l_orderkey, 'Artist ' || l_suppkey AS artist, 'Tune ' || l_linenumber AS title FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r <= 3""")
+def N5_S21_playlists(spark, sf_dir):
+    """The three newest titles of each list."""
+    return staged.list_tracks(playlist_pages(spark, sf_dir), "l_orderkey", "number", "page", newest=3).select("l_orderkey", "artist", "title")
+
+
+@query("SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 'next' END AS token FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem)")
+def N5_continuation(spark, sf_dir):
+    return playlist_pages(spark, sf_dir).select("l_orderkey", staged.continuation(F.col("page")).alias("token"))
+
+
+@query("SELECT p_partkey, unnest([p_brand, p_brand, 'Guest']) AS artist, unnest([array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), p_type, 'Tune']) AS title FROM part")
+def S20_video_tracks(spark, sf_dir):
+    """A card (and one that repeats a line), a description of two tracks, a pinned comment that repeats all but one, and a short one."""
+    p = table(spark, sf_dir, "part")
+    card = lambda a, t: F.concat(F.lit('{"videoAttributeViewModel": {"title": "'), t, F.lit('", "subtitle": "'), a, F.lit('"}}'))
+    page = F.concat(F.lit("<script>var ytInitialData = {\"c\": ["), card(F.col("p_brand"), F.col("p_name")), F.lit(", "), card(F.lit("ID"), F.col("p_name")), F.lit("]};</script><p>"))
+    lines = lambda *pairs: F.concat_ws("\n", *(F.concat_ws(" - ", *x) for x in pairs))
+    b, n, t = "p_brand", "p_name", "p_type"
+    videos = p.select(F.col("p_partkey").alias("video"), page.alias("page"), lines((b, n), (b, t)).alias("description"))
+    long = p.select(F.col("p_partkey").alias("video"), F.lit(1).alias("place"), lines((b, n), (F.upper(F.col(b)), t), (F.lit("Guest"), F.lit("Tune")), (b, n)).alias("text"), F.lit(True).alias("pinned"))
+    comments = long.unionByName(p.select(F.col("p_partkey").alias("video"), F.lit(0).alias("place"), lines((b, F.lit("Other"))).alias("text"), F.lit(False).alias("pinned")))
+    return staged.video_tracks(videos, comments).select(F.col("video").alias("p_partkey"), "artist", "title")
+
+
+@query("SELECT p_partkey, p_brand AS artist, p_name AS title, 'Guest' AS marked FROM part")
+def S22_set_pages(spark, sf_dir):
+    """Structured data that isn't valid JSON, and a page with marked elements."""
+    ld = F.concat(F.lit('[{"@type": "MusicPlaylist", "name": "a - b"}, {"@type": "MusicRecording", "name": "'), "p_brand", F.lit(" - "), "p_name", F.lit('"}, {"@type": "MusicRecording", "name": }]'))
+    page = F.lit('<meta itemprop="name" content="no pair"><span class="x trackValue">Guest <b>-</b> Tune</span>')
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(staged.set_tracks(ld), F.lit(0)).alias("t"), F.get(staged.marked_tracks(page), F.lit(0))["artist"].alias("marked")).select("p_partkey", "t.*", "marked")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_type END AS styles, CASE p_partkey % 3 WHEN 0 THEN 'Electronic' ELSE '' END AS genres FROM part")
+def S23_search_genres(spark, sf_dir):
+    """Hits by the artist, by others, and on compilations; keys whose hits are all compilations."""
+    k = F.col("p_partkey") % 3
+    hit = lambda title, style, genre: F.struct(title.alias("title"), F.array(style).alias("style"), genre.alias("genre"))
+    none, some = F.array().cast("array<string>"), F.array(F.lit("Electronic"))
+    own = lambda t: F.concat(F.lit("Widgetone - "), F.lit(t))
+    hits = F.when(k == 1, F.array(hit(own("Various hits"), F.col("p_brand"), none), hit(F.lit("Others - Song"), F.lit("Rock"), some))).otherwise(F.array(hit(own("Podcast"), F.lit("Talk"), some), hit(F.lit("Others - Song"), F.lit("Rock"), some), hit(own("Album"), F.col("p_type"), F.when(k == 0, some).otherwise(none))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("Widgetone feat. X").alias("artist"), F.to_json(F.struct(hits.alias("results"))).alias("response"))
+    out = staged.search_genres(rows, "p_partkey", "artist", "response")
+    return out.select("p_partkey", F.array_join("styles", ",").alias("styles"), F.array_join("genres", ",").alias("genres"))
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS genres FROM part WHERE p_partkey % 3 <> 2")
+def S24_recording_genres(spark, sf_dir):
+    """Recordings with genres, with tags only (one of count 0), and with neither."""
+    k = F.col("p_partkey") % 3
+    i = F.col("p_partkey").cast("string")
+    p = table(spark, sf_dir, "part")
+    search = p.select(F.col("p_partkey").alias("key"), F.concat(F.lit('{"recordings": [{"id": "r'), i, F.lit('"}, {"id": "other"}]}')).alias("response"))
+    genres = F.when(k == 0, F.concat(F.lit('{"genres": [{"name": "'), "p_type", F.lit('"}]}'))).otherwise('{"genres": []}')
+    tags = F.when(k == 1, F.concat(F.lit('{"tags": [{"name": "x", "count": 0}, {"name": "'), "p_brand", F.lit('", "count": 2}]}'))).otherwise('{"tags": []}')
+    details = p.select(F.concat(F.lit("r"), i).alias("id"), genres.alias("genres"), tags.alias("tags"))
+    return staged.recording_genres(search, details).select("key", F.array_join("genres", ",").alias("genres"))
+
+
+@query("SELECT id, title FROM (SELECT o_orderkey AS id, 'W' || o_orderkey AS title, o_custkey AS number, 0 AS list FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'C' || o_orderkey, o_custkey, 1 FROM orders WHERE o_orderkey % 3 <> 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY list, number) = 1")
+def S16_wanted_releases(spark, sf_dir):
+    """Customers as pages of a want-list and of a collection, which share some releases."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+
+    def pages(number: int, mark: str, field: str, skip: int):
+        item = F.struct(k.alias("id"), F.struct(F.concat(F.lit(mark), k.cast("string")).alias("title")).alias("basic_information"))
+        rows = o.where(k % 3 != skip).groupBy("o_custkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias(field))).alias("response"))  # a customer's orders: few
+        return rows.select(F.lit(number).alias("list"), F.col("o_custkey").alias("number"), "response")
+
+    return staged.wanted_releases(pages(0, "W", "wants", 0).unionByName(pages(1, "C", "releases", 1))).select("id", "title")
+
+
+@query("""SELECT 'u' || p_partkey AS "SourceUrl", CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Own' END AS "Artist", p_name AS "Title", p_type AS "Album", CAST(60 + p_size AS INTEGER) AS "Length" FROM part""")
+def S18_S28_N8_album_pages(spark, sf_dir):
+    """Albums in an attribute with entities, and in a script with commas too many."""
+    i = F.col("p_partkey")
+    blob = F.concat(F.lit('{"artist": "'), "p_brand", F.lit('", "current": {"title": "'), "p_type", F.lit('"}, "trackinfo": [{"title": "'), "p_name", F.lit('", "artist": "'), F.when(i % 2 == 0, "").otherwise("Own"), F.lit('", "duration": '), (60 + F.col("p_size")).cast("string"), F.when(i % 2 == 0, ".2").otherwise(".2,"), F.lit("}]}"))
+    page = F.when(i % 2 == 0, F.concat(F.lit('<script data-tralbum="'), F.replace(blob, F.lit('"'), F.lit("&quot;")), F.lit('">'))).otherwise(F.concat(F.lit("<script>var TralbumData = "), blob, F.lit(";</script>")))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("u"), i.cast("string")).alias("url"), page.alias("page"))
+    return staged.album_page_tracks(rows, "url", "page").select("SourceUrl", "Artist", "Title", "Album", "Length")
+
+
+@query("SELECT p_partkey, p_brand AS genre, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS style FROM part")
+def S27_class_labels(spark, sf_dir):
+    label = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("---", "p_brand", "p_type")).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", staged.class_labels(label).alias("l")).select("p_partkey", "l.*")
+
+
+@query("SELECT p_partkey, p_brand AS artist, p_name AS title FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_partkey % 3 <> 0")
+def F27_split_track(spark, sf_dir):
+    """Pairs, titles that end in the bare name of a mix, and titles without a dash."""
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("A1. "), "p_brand", F.lit(" — "), "p_name")).when(k == 1, F.concat("p_name", F.lit(" - Extended Mix"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", nested.split_track(raw).alias("t")).select("p_partkey", "t.artist", "t.title")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
