@@ -21,7 +21,8 @@ def audio_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), c
     """Path, name, ext, length, modificationTime (and content) of audio files below root.
 
     A file is left out if a folder below root on its path is named in exclude, whatever the case. Without content the
-    files aren't opened.
+    files aren't opened. Spark lists no files or folders whose names begin with _ or a dot; such a folder has to be given
+    as a root of its own.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     name = F.element_at(F.split("path", "/"), -1)
