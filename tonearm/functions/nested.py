@@ -67,10 +67,13 @@ def release_tracks(df: DataFrame, release: str, source: str = "discogs", url: st
 
 def split_track(c: Column) -> Column:
     """struct artist, title, or null where the second half is the bare name of a mix."""
-    p = F.split(X.strip(X.strip_side(c)), r"(?U)\s+[-–—]\s+", 2)
-    left, right = X.strip(F.get(p, F.lit(0))), X.strip(F.coalesce(F.get(p, F.lit(1)), F.lit("")))
-    bare = ~right.endswith(")") & right.rlike(r"(?i)\b(?:mix|remix|edit|version|dub|rework|instrumental)\s*$")
-    return F.when((F.size(p) == 2) & (left != "") & (right != "") & ~bare, F.struct(left.alias("artist"), right.alias("title")))
+
+    def halves(p: Column) -> Column:
+        pair = F.struct(X.strip(F.get(p, F.lit(0))).alias("artist"), X.strip(F.coalesce(F.get(p, F.lit(1)), F.lit(""))).alias("title"))
+        bare = lambda t: ~t.endswith(")") & t.rlike(r"(?i)\b(?:mix|remix|edit|version|dub|rework|instrumental)\s*$")
+        return F.when(F.size(p) == 2, X.bound(pair, lambda x: F.when((x["artist"] != "") & (x["title"] != "") & ~bare(x["title"]), x)))
+
+    return X.bound(F.split(X.strip(X.strip_side(c)), r"(?U)\s+[-–—]\s+", 2), halves)
 
 
 def album_tracks(df: DataFrame, album: str, artist: str, tracks: str) -> DataFrame:

@@ -184,19 +184,20 @@ def stem(path: Column) -> Column:
     return F.when(name.rlike(r"^.+\.[^.]+$"), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
 
 
-def _halves(c: Column) -> tuple[Column, Column, Column]:
-    """Whether there is a separator, and what stands before and after the first one."""
+def _halves(c: Column, f) -> Column:
+    """f of a struct: whether there is a separator (has), and what stands before (left) and after (right) the first one."""
     parts = F.split(c, U + SEPARATOR, 2)
-    return F.size(parts) > 1, F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    return bound(bound(parts, lambda p: F.struct((F.size(p) > 1).alias("has"), F.get(p, F.lit(0)).alias("left"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("right"))), f)
 
 
 def parse_name(path: Column) -> Column:
     """struct artist, title, parseable, stem."""
-    raw = stem(path)
-    has, left, right = _halves(sub(raw, TRACK_PREFIX))
-    artist = F.when(has, clean(left)).otherwise("")
-    title = F.when(has, clean(right)).otherwise(clean(left))
-    return F.struct(artist.alias("artist"), title.alias("title"), (has & (artist != "") & (title != "")).alias("parseable"), raw.alias("stem"))
+
+    def named(raw: Column) -> Column:
+        read = _halves(sub(raw, TRACK_PREFIX), lambda h: F.struct(h["has"].alias("has"), clean(h["left"]).alias("left"), clean(h["right"]).alias("right")))
+        return bound(read, lambda h: F.struct(F.when(h["has"], h["left"]).otherwise("").alias("artist"), F.when(h["has"], h["right"]).otherwise(h["left"]).alias("title"), (h["has"] & (h["left"] != "") & (h["right"] != "")).alias("parseable"), raw.alias("stem")))
+
+    return bound(stem(path), named)
 
 
 def match_key(artist: Column, title: Column) -> Column:
@@ -222,13 +223,21 @@ def strip_side(c: Column) -> Column:
 
 def normalize(artist: Column, title: Column) -> Column:
     """struct artist, title. Side prefixes go; a compilation's artist, or the artist again, is taken from the title."""
-    a, t = light(norm_dashes(artist)), strip(strip_side(light(norm_dashes(title))))
-    has, left, right = _halves(t)
-    various = F.lower(a).isin(*VARIOUS) & has
-    a, t = F.when(various, light(left)).otherwise(a), F.when(various, strip(strip_side(light(right)))).otherwise(t)
-    has, left, right = _halves(t)
-    again = (a != "") & has & (F.lower(light(left)) == F.lower(a))
-    return F.struct(light(a).alias("artist"), light(F.when(again, right).otherwise(t)).alias("title"))
+    pair = lambda a, t: F.struct(a.alias("artist"), t.alias("title"))
+
+    def of_compilation(x: Column) -> Column:
+        def split(h: Column) -> Column:
+            various = F.lower(x["artist"]).isin(*VARIOUS) & h["has"]
+            return F.when(various, pair(light(h["left"]), strip(strip_side(light(h["right"]))))).otherwise(pair(x["artist"], x["title"]))
+
+        return _halves(x["title"], split)
+
+    def once(x: Column) -> Column:
+        again = lambda h: (x["artist"] != "") & h["has"] & (F.lower(light(h["left"])) == F.lower(x["artist"]))
+        return _halves(x["title"], lambda h: pair(light(x["artist"]), light(F.when(again(h), h["right"]).otherwise(x["title"]))))
+
+    start = pair(light(norm_dashes(artist)), strip(strip_side(light(norm_dashes(title)))))
+    return bound(bound(start, of_compilation), once)
 
 
 def looks_slug(c: Column) -> Column:
@@ -256,9 +265,15 @@ def display(artist: Column, title: Column) -> Column:
     t = sub(search_title(title), rf"\s*[\(\[]\s*(?:{PROMO})\s*[\)\]]", flags=I)
     t = sub(sub(t, rf"\s*(?:#\d+\s*)?(?:[-|]\s*)?(?:{PROMO})\s*$", flags=I), r"\s*#\d+\s*$")
     a = trim_edges(sub(sub(text(artist), SQUARE), rf"^\s*(?:{PROMO})\s*[_\-:|]+\s*", flags=I))
-    has, left, right = _halves(t)
-    moved = ((a == "") | F.lower(a).isin(*PROMO_BARE)) & has & (light(left) != "") & ~F.lower(light(left)).isin(*PROMO_BARE)
-    return F.struct(light(F.when(moved, light(left)).otherwise(a)).alias("artist"), light(F.when(moved, light(right)).otherwise(t)).alias("title"))
+
+    def shown(x: Column) -> Column:
+        def split(h: Column) -> Column:
+            moved = ((x["a"] == "") | F.lower(x["a"]).isin(*PROMO_BARE)) & h["has"] & (light(h["left"]) != "") & ~F.lower(light(h["left"])).isin(*PROMO_BARE)
+            return F.struct(light(F.when(moved, light(h["left"])).otherwise(x["a"])).alias("artist"), light(F.when(moved, light(h["right"])).otherwise(x["t"])).alias("title"))
+
+        return _halves(x["t"], split)
+
+    return bound(F.struct(a.alias("a"), t.alias("t")), shown)
 
 
 def deslug(c: Column) -> Column:
@@ -280,11 +295,10 @@ def resolve(path: Column, tag_artist: Column, tag_title: Column) -> Column:
 
 def _readings(x: Column) -> Column:
     """The artist and title by name, by title tag and by both tags, and whether the title tag has both."""
-    has, left, right = _halves(x["tt"])
     by_name = normalize(x["name"]["artist"], x["name"]["title"])
-    by_title = normalize(light(left), clean_title(light(right)))
     by_tags = normalize(x["ta"], clean_title(x["tt"]))
-    return F.struct(by_name.alias("by_name"), by_title.alias("by_title"), by_tags.alias("by_tags"), has.alias("has"))
+    by_title = _halves(x["tt"], lambda h: F.struct(h["has"].alias("has"), normalize(light(h["left"]), clean_title(light(h["right"]))).alias("pair")))
+    return bound(by_title, lambda t: F.struct(by_name.alias("by_name"), t["pair"].alias("by_title"), by_tags.alias("by_tags"), t["has"].alias("has")))
 
 
 def _first_sure(x: Column, y: Column) -> Column:
@@ -453,11 +467,16 @@ def track_line(c: Column) -> Column:
 
 def track_pair(c: Column) -> Column:
     """struct artist, title of a line, or null."""
-    p = F.split(norm_dashes(c), " - ", 2)
-    a, t = strip(F.get(p, F.lit(0))), strip(F.get(p, F.lit(1)))
     unknown = lambda x: F.lower(x).isin("id", "id - id", "???", "unknown")
-    good = (F.size(p) == 2) & (a != "") & (t != "") & ~unknown(a) & ~unknown(t) & (F.length(a) <= 120) & (F.length(t) <= 160)
-    return F.when(good, F.struct(a.alias("artist"), t.alias("title")))
+
+    def known(x: Column) -> Column:
+        a, t = x["artist"], x["title"]
+        return F.when((a != "") & (t != "") & ~unknown(a) & ~unknown(t) & (F.length(a) <= 120) & (F.length(t) <= 160), x)
+
+    def halves(p: Column) -> Column:
+        return F.when(F.size(p) == 2, bound(F.struct(strip(F.get(p, F.lit(0))).alias("artist"), strip(F.get(p, F.lit(1))).alias("title")), known))
+
+    return bound(F.split(norm_dashes(c), " - ", 2), halves)
 
 
 #: Fixed value: what video titles hold in brackets.
@@ -466,23 +485,26 @@ VIDEO_NOISE = r"\s*[\(\[]\s*(?:official\s*(?:music\s*)?video|official\s*audio|of
 
 def video_title(c: Column) -> Column:
     """a video's title without noise in brackets, and without what follows a bar if a pair stands before it."""
-    s = norm_dashes(sub(text(c), VIDEO_NOISE, flags=I))
-    head = F.substring_index(s, "|", 1)
-    return strip(sub(F.when(F.instr(head, " - ") > 0, head).otherwise(s), r"\s{2,}", " "))
+    head = lambda s: F.substring_index(s, "|", 1)
+    kept = bound(norm_dashes(sub(text(c), VIDEO_NOISE, flags=I)), lambda s: F.when(F.instr(head(s), " - ") > 0, head(s)).otherwise(s))
+    return strip(sub(kept, r"\s{2,}", " "))
 
 
 def strip_trailing_label(c: Column) -> Column:
     """a single word in brackets at the end goes unless it names a version or a number."""
-    inner = strip(F.regexp_extract(c, U + r"\s*\(([^()]+)\)\s*$", 1))
-    head = sub(F.regexp_extract(c, U + r"^(.*?)\s*\([^()]+\)\s*$", 1), r"\s+$")
-    label = inner.rlike(r"^[A-Za-z][A-Za-z'&.\-]*$") & ~F.lower(inner).isin(*KEEP_GROUP) & ~inner.rlike("(?i)^[ivxlcdm]+$")
-    return F.when(label & (head != ""), head).otherwise(c)
+
+    def cut(s: Column) -> Column:
+        inner, head = strip(F.regexp_extract(s, U + r"\s*\(([^()]+)\)\s*$", 1)), sub(F.regexp_extract(s, U + r"^(.*?)\s*\([^()]+\)\s*$", 1), r"\s+$")
+        label = lambda x: x["inner"].rlike(r"^[A-Za-z][A-Za-z'&.\-]*$") & ~F.lower(x["inner"]).isin(*KEEP_GROUP) & ~x["inner"].rlike("(?i)^[ivxlcdm]+$")
+        return bound(F.struct(inner.alias("inner"), head.alias("head")), lambda x: F.when(label(x) & (x["head"] != ""), x["head"]).otherwise(s))
+
+    return bound(c, cut)
 
 
 def title_case(c: Column) -> Column:
     """Capitals at the starts of words, if the text has none at all."""
-    words = F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
-    return F.when(c.rlike(r"\p{L}") & (c == F.lower(c)), words).otherwise(c)
+    words = lambda s: F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+    return bound(c, lambda s: F.when(s.rlike(r"\p{L}") & (s == F.lower(s)), words(s)).otherwise(s))
 
 
 def strip_catalog(c: Column) -> Column:

@@ -34,7 +34,7 @@ def plan_upgrade(scanned: DataFrame, preset: str = "dj_club", forced: bool = Fal
     """Each analysed file as ALREADY_GOOD, UNPARSEABLE or WANT with artist, title, key and origin."""
     ok = C.accepted(F.col("verdict"), F.col("format_class"), F.col("container_bitrate"), F.col("confidence"), F.col("cutoff_hz"), preset)
     r = X.resolve(F.col("path"), F.col("tag_artist"), F.col("tag_title"))
-    out = scanned.where(~F.col("verdict").isin(C.SKIPPED, C.ERROR)).withColumn("_r", r)
+    out = scanned.where(~F.col("verdict").isin(C.SKIPPED, C.ERROR)).withColumn("_r", X.bound(r, lambda x: F.struct(x["artist"].alias("artist"), x["title"].alias("title"))))
     action = F.when(F.coalesce(ok, F.lit(False)) & F.lit(not forced), "ALREADY_GOOD").when(F.col("_r.title") == "", "UNPARSEABLE").otherwise("WANT")
     out = out.withColumns({"action": action, "artist": F.col("_r.artist"), "title": X.search_title(F.col("_r.title"))}).drop("_r")
     return out.withColumn("key", X.match_key(F.col("artist"), F.col("title")))
@@ -66,7 +66,7 @@ def acquire(rows: DataFrame, library: DataFrame, order: str = "row", limit: int
 def plan_import(files: DataFrame, library: DataFrame, order: str = "path") -> DataFrame:
     """KEEP or DUPLICATE for each file of a folder, against the library and against earlier files of the folder."""
     r = X.resolve(F.col("path"), F.col("tag_artist"), F.col("tag_title"))
-    out = files.withColumn("_r", r).withColumn("key", F.when(F.col("_r.title") != "", X.match_key(F.col("_r.artist"), F.col("_r.title"))).otherwise(F.col("path"))).drop("_r")
+    out = files.withColumn("key", X.bound(r, lambda x: F.when(x["title"] != "", X.match_key(x["artist"], x["title"])).otherwise(F.col("path"))))
     first = out.groupBy(F.col("key").alias("_key")).agg(F.min(order).alias("_first"))
     known = library.select(F.col("key").alias("_known")).distinct()
     out = out.join(first, F.col("key") == F.col("_key")).join(known, F.col("key") == F.col("_known"), "left")
