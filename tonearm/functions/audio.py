@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import difflib
 import io
+import math
 import wave
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 FEATURES = "samplerate int, channels int, duration double, frames long, cutoff_hz double, cutoff_std_hz double, hf_energy_ratio double, est_source_bitrate int, stereo double, error string"
@@ -100,6 +102,25 @@ def stereo_collapse(samples: np.ndarray, rate: int) -> float:
     return 0.0 if middle < 0.05 else float(max(0.0, 1 - share(10000, 16000) / middle))
 
 
+def artifact_signals(samples: np.ndarray, rate: int, aliasing=None, comb=None, preecho=None) -> dict[str, float | bool]:
+    """Aliasing, comb, preecho, stereo of a window, by detectors that are passed in (none: nothing is found); what fails finds nothing.
+
+    The costly ones, pre-echo and stereo, are only asked if aliasing (above 0.5) or a comb was found: without one of these
+    they decide nothing.
+    """
+
+    def ask(f, nothing):
+        try:
+            return nothing if f is None else type(nothing)(f(samples, rate))
+        except Exception:  # a detector's failure is no finding
+            return nothing
+
+    out = {"aliasing": ask(aliasing, 0.0), "comb": ask(comb, False), "preecho": 0.0, "stereo": 0.0}
+    if out["aliasing"] > 0.5 or out["comb"]:
+        out |= {"preecho": ask(preecho, 0.0), "stereo": ask(stereo_collapse, 0.0)}
+    return out
+
+
 def aggregate_windows(cutoffs: list[float], shares: list[float]) -> tuple[float, float, float]:
     """The highest cutoff (the first of equal ones), the deviation over windows, and that window's treble share."""
     best = int(np.argmax(cutoffs))
@@ -162,3 +183,63 @@ def mel_patches(mono: np.ndarray, size: int = 512, hop: int = 256, patch: int =
     frames = np.lib.stride_tricks.sliding_window_view(mono, size)[::hop] * _hann(size)
     mel = np.log10(1 + 10000 * (np.abs(np.fft.rfft(frames, axis=1)) ** 2 @ mel_bank().T)).astype(np.float32)
     return mel[: len(mel) // patch * patch].reshape(-1, patch, 96)
+
+
+def resample(mono: np.ndarray, rate: int, to: int = 16000, taps: int = 32) -> np.ndarray:
+    """Samples at another rate: a Hann-windowed sinc low-pass at the lower of both Nyquist frequencies, one filter for each phase."""
+    if rate == to or not len(mono):
+        return mono.astype(np.float64)
+    common = math.gcd(rate, to)
+    up, down = to // common, rate // common
+    cut = min(1.0, up / down)
+    half = int(np.ceil(taps / cut))
+    n = -(-len(mono) * up // down)
+    place = np.arange(n) * down
+    whole, phase = place // up, place % up
+    offsets = np.arange(-half, half + 1)
+    out, padded = np.empty(n), np.pad(mono.astype(np.float64), half)
+    for p in np.unique(phase):
+        t = offsets - p / up
+        kernel = cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / (half + 1), -1, 1)))
+        own = np.flatnonzero(phase == p)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)[whole[own]]
+        out[own] = windows @ (kernel / kernel.sum())
+    return out
+
+
+def middle(samples: np.ndarray, rate: int, seconds: float = 120.0) -> np.ndarray:
+    """The middle of a file, as one channel."""
+    n = min(len(samples), int(seconds * rate))
+    first = (len(samples) - n) // 2
+    return samples[first : first + n].mean(1)
+
+
+def classify(df: DataFrame, content: str, labels: list[str], open_session, least: float = 0.08, top: int = 6) -> DataFrame:
+    """Df without its contents, with classes: label and p of the highest mean activations over a file's patches.
+
+    open_session() runs once for each task and gives a function from patches (n, 128, 96) to activations (n, labels), such
+    as a model's session; null: there is none. A file that can't be read, or is shorter than a patch, has no classes.
+    """
+    rest = [c for c in df.columns if c != content]
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("classes", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("p", T.DoubleType())])))])
+
+    def run(frames):
+        session = open_session()
+
+        def one(data: bytes) -> list[dict] | None:
+            if session is None:
+                return None
+            try:
+                rate, x = read_wav(data)
+            except Exception:  # any broken file has no classes
+                return []
+            patches = mel_patches(resample(middle(x, rate), rate))
+            if not len(patches):
+                return []
+            p = np.asarray(session(patches), np.float64).mean(0)
+            return [{"label": labels[i], "p": float(p[i])} for i in np.argsort(-p, kind="stable")[:top] if p[i] >= least]
+
+        for frame in frames:
+            yield frame[rest].assign(classes=[one(x) for x in frame[content]])
+
+    return df.mapInPandas(run, schema)
