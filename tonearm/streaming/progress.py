@@ -10,11 +10,14 @@ from ..sources.readers import WANTS
 
 
 def acquire_stream(spark: SparkSession, folder: str, library: DataFrame, out: str, checkpoint: str):
-    """Each new CSV of the folder becomes rows of the plan table at out. A batch that is run again overwrites its own part."""
+    """Each new CSV of the folder becomes rows of the plan table at out. A batch that is run again overwrites its own part.
+
+    Rows are ordered by file, then line: such files aren't split, so within one the numbers rise with its lines.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        plan = acquire(rows.withColumn("row", F.monotonically_increasing_id()), library)
-        plan.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        placed = rows.withColumn("row", F.struct("_file", F.monotonically_increasing_id().alias("line"))).drop("_file")
+        acquire(placed, library).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = spark.readStream.schema(WANTS).csv(folder, header=True, multiLine=True, escape='"')
+    stream = spark.readStream.schema(WANTS).csv(folder, header=True, multiLine=True, escape='"').select("*", F.col("_metadata.file_path").alias("_file"))
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
