@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, license, mixing, pii, quality, tokens, topk, urls, warc
+from . import bpe, centroids, decontam, jaccard, license, mixing, pii, quality, tokens, topk, urls, warc, whitening
 from .common import remainder, table
 
 
@@ -65,8 +65,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_token_counts, op3_quality_classifier, op4_benchmark_decontamination, op5_warc, op6_license_scans, op7_pii, op8_url_filters, op9_exact_topk, op10_mixing)
+    own = (op1_ngram_jaccard_join, op2_token_counts, op3_quality_classifier, op4_benchmark_decontamination, op5_warc, op6_license_scans, op7_pii, op8_url_filters, op9_exact_topk, op10_mixing, op11_centroid_clustering, op12_byte_level_bpe, op13_embedding_whitening)
     return {f.__name__: f for f in own}
 
 
@@ -122,4 +138,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filters": urls.sql(),
         "op9_exact_topk": OP9,
         "op10_mixing": OP10,
+        "op11_centroid_clustering": centroids.sql(),
     }
