@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from .common import fresh
 from .tokens import pieces
 
-#: Bytes of the texts whose new words are merged together, of the distinct words that a task remembers, and characters of a piece.
-UNIT_BYTES, WORD_BYTES, PIECE_CHARS = 1 << 25, 1 << 25, 1 << 20
+#: Bytes of the texts whose new words are merged together, of new words in one index, of the words that a task remembers, and characters of a piece.
+UNIT_BYTES, INDEX_BYTES, WORD_BYTES, PIECE_CHARS = 1 << 23, 1 << 21, 1 << 22, 1 << 20
 #: Ids of a batch that goes back to Spark.
 BATCH_IDS = 1 << 20
 #: Ids are below 2 ** BITS.
@@ -56,7 +57,7 @@ class Merges:
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.values = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
 
-    def _index(self, tokens: np.ndarray, last: np.ndarray) -> dict[int, list[int]]:
+    def _index(self, tokens: np.ndarray, last: np.ndarray) -> dict[int, np.ndarray]:
         """From each merge that applies to bytes side by side to its positions."""
         keys = tokens[:-1] << BITS | tokens[1:]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -65,7 +66,7 @@ class Merges:
         order = np.argsort(merge, kind="stable")
         merge, spots = merge[order], spots[order]
         cuts = np.flatnonzero(np.diff(merge)) + 1
-        return {int(m[0]): s.tolist() for m, s in zip(np.split(merge, cuts), np.split(spots, cuts), strict=True) if len(m)}
+        return {int(m[0]): s for m, s in zip(np.split(merge, cuts), np.split(spots.astype(np.int32), cuts), strict=True) if len(m)}
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many of them each has. A word that is a token is that token."""
@@ -88,14 +89,16 @@ class Merges:
 
     def _merged(self, tokens: np.ndarray, last: np.ndarray, ends: list[int]) -> np.ndarray:
         """tokens after all merges; -1 where a token became part of the one to its left."""
-        index, pairs, n = self._index(tokens, last), self.pairs, len(tokens)
-        after = np.where(last, -1, np.arange(1, n + 1)).tolist()
-        before = np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(-1, n - 1)).tolist()
-        tok, heap = tokens.tolist(), sorted(index)
+        there, index, pairs, n = self._index(tokens, last), {}, self.pairs, len(tokens)
+        compact = lambda x: array("i", x.astype(np.int32).tobytes())
+        after = compact(np.where(last, -1, np.arange(1, n + 1)))
+        before = compact(np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(-1, n - 1)))
+        tok, heap = compact(tokens), sorted(there)
         while heap:
-            rank = heappop(heap)
-            spots, skip = sorted(index.pop(rank)), -1
-            for i in spots:
+            rank, skip = heappop(heap), -1
+            # what was there at the start, and what merges have made since
+            spots = [*there.pop(rank).tolist(), *index.pop(rank, ())] if rank in there else index.pop(rank, [])
+            for i in sorted(spots):
                 j = after[i]
                 if j < 0 or tok[i] < 0 or pairs.get(tok[i] << BITS | tok[j]) != rank:
                     continue  # a neighbour was merged since
@@ -114,7 +117,8 @@ class Merges:
                     if a >= 0 and b >= 0 and (new := pairs.get(tok[a] << BITS | tok[b])) is not None:
                         if new not in index:
                             index[new] = []
-                            heappush(heap, new)
+                            if new not in there:
+                                heappush(heap, new)
                         index[new].append(a)
                         if new < rank:
                             skip = ends[bisect_right(ends, i)]
@@ -170,14 +174,18 @@ class Words:
         return out[0] if len(out) == 1 else np.concatenate(out)
 
     def settle(self) -> None:
-        """Merge the words that are new."""
-        if self.new:
-            words = [w.encode() for w in self.new]
-            self.held += sum(map(len, words))
-            ids, counts = self.merges.replay(words)
+        """Merge the words that are new, as many in one index as INDEX_BYTES hold."""
+        words = [w.encode() for w in self.new]
+        ends = np.cumsum([0, *map(len, words)])
+        at = 0
+        while at < len(words):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + INDEX_BYTES, "right")) - 1)
+            ids, counts = self.merges.replay(words[at:stop])
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.ids, self.counts = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.counts, counts])
-            self.new = []
+            at = stop
+        self.held += int(ends[-1])
+        self.new = []
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         counts = self.counts[numbers]
