@@ -33,6 +33,17 @@ def test_ids_and_bytes(spark, odd, monkeypatch, path, unit):
     assert len(bpe.encode(df.select("text"), path, public_tokenizers.PATTERN).collect()) == len(want)
 
 
+@pytest.mark.parametrize("frame", ["a{}b", "1{}'s", " {}9 ", "\n {}"])
+def test_every_character(frame):
+    """Letters, numbers and white space are the library's, whatever version of Unicode the pattern modules know."""
+    words, encoding = bpe.Words(bpe.Merges(bpe.ranks(PATHS[0])), public_tokenizers.PATTERN, bpe.disputed()), library(PATHS[0])
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(frame.format(c) for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    numbers = [words.numbers(t) for t in texts]
+    words.settle()
+    assert all(words.ids_of(n).tolist() == e for n, e in zip(numbers, encoding.encode_ordinary_batch(texts), strict=True))
+
+
 def test_ids_without_tokens(spark):
     rows = [(None,), ([],), ([1, None],), ([10**7],), ([0, 1],)]
     token = {r: t for t, r in bpe.ranks(PATHS[0]).items()}
@@ -40,8 +51,10 @@ def test_ids_without_tokens(spark):
     assert [r["decoded"] if r["decoded"] is None else bytes(r["decoded"]) for r in got] == [None, b"", None, None, token[0] + token[1]]
 
 
-def test_merges_against_the_plain_rule():
+@pytest.mark.parametrize("many", [1, 3, 10**9])
+def test_merges_against_the_plain_rule(monkeypatch, many):
     """Small random rank tables, in which new pairs often have lower ranks than the merge that made them; equal letters overlap."""
+    monkeypatch.setattr(bpe, "MANY", many)
     r = random.Random(11)
     for _ in range(60):
         tokens = {bytes([b]) for b in range(256)}

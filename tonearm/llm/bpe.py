@@ -18,9 +18,11 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from .tokens import pieces
 UNIT_BYTES, INDEX_BYTES, WORD_BYTES, PIECE_CHARS = 1 << 23, 1 << 21, 1 << 22, 1 << 20
 #: Ids of a batch that goes back to Spark.
 BATCH_IDS = 1 << 20
-#: Ids are below 2 ** BITS.
-BITS = 24
+#: Ids are below 2 ** BITS. From so many positions on, a rank's merges are done together.
+BITS, MANY = 24, 48
 
 
 @cache
@@ -87,6 +89,53 @@ class Merges:
         ids[single], ids[~single] = known[known >= 0], data[data >= 0]
         return ids, counts
 
+    @staticmethod
+    def _put(rank: int, spots, index: dict[int, list], there: dict, heap: list[int]) -> None:
+        if rank not in index:
+            index[rank] = []
+            if rank not in there:
+                heappush(heap, rank)
+        index[rank].append(spots)
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of pairs of tokens; -1 where they can't be merged, or one is -1."""
+        keys = left.astype(np.int64) << BITS | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.values[at], -1)
+
+    def _at_once(self, rank: int, spots: np.ndarray, marks: np.ndarray, tok: np.ndarray, after: np.ndarray, before: np.ndarray, index: dict, there: dict, heap: list[int]) -> bool:
+        """The merges of a rank at many positions; False, with nothing changed, where their order in a word matters."""
+        token = lambda x: np.where(x >= 0, tok[x], -1)
+        i = np.sort(spots[self._ranks_of(tok[spots], token(after[spots])) == rank])
+        i = i[np.diff(i, prepend=-1) > 0]
+        j = after[i]
+        marks[i] = True
+        overlap = marks[j].any()
+        marks[i] = False
+        if overlap:
+            return False
+        right, left = after[j], before[i]
+        # the right neighbour as it is before its own merge; the left one has had it
+        early = self._ranks_of(np.full(len(i), rank), token(right))
+        was = tok[i], tok[j]
+        tok[i], tok[j] = rank, -1
+        lefts, rights = self._ranks_of(token(left), tok[i]), self._ranks_of(tok[i], token(right))
+        if min((x[x >= 0].min(initial=rank) for x in (early, lefts, rights))) < rank:
+            tok[i], tok[j] = was
+            return False  # a merge of lower rank comes between
+        after[i] = right
+        before[right[right >= 0]] = i[right >= 0]
+        # of two neighbours that were both merged, the left one is now at i, not at j
+        left = np.where(left >= 0, before[i], -1)
+        new, spots = np.concatenate([lefts[lefts >= 0], rights[rights >= 0]]), np.concatenate([left[lefts >= 0], i[rights >= 0]])
+        order = np.argsort(new, kind="stable")
+        new, spots = new[order], spots[order]
+        cuts = [0, *(np.flatnonzero(np.diff(new)) + 1).tolist(), len(new)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                self._put(int(new[a]), spots[a:b], index, there, heap)
+        return True
+
     def _merged(self, tokens: np.ndarray, last: np.ndarray, ends: list[int]) -> np.ndarray:
         """tokens after all merges; -1 where a token became part of the one to its left."""
         there, index, pairs, n = self._index(tokens, last), {}, self.pairs, len(tokens)
@@ -94,34 +143,42 @@ class Merges:
         after = compact(np.where(last, -1, np.arange(1, n + 1)))
         before = compact(np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(-1, n - 1)))
         tok, heap = compact(tokens), sorted(there)
+        put, get, bits = self._put, pairs.get, BITS
+        many_tok, many_after, many_before = (np.frombuffer(x, np.int32) for x in (tok, after, before))  # the same memory
+        marks = np.zeros(n, bool)
         while heap:
             rank, skip = heappop(heap), -1
             # what was there at the start, and what merges have made since
-            spots = [*there.pop(rank).tolist(), *index.pop(rank, ())] if rank in there else index.pop(rank, [])
-            for i in sorted(spots):
+            some = [np.asarray(x, np.int32) for x in (there.pop(rank, ()), *index.pop(rank, ()))]
+            spots = np.concatenate(some)
+            if len(spots) >= MANY and self._at_once(rank, spots, marks, many_tok, many_after, many_before, index, there, heap):
+                continue
+            new_at: dict[int, list[int]] = {}
+            for i in sorted(spots.tolist()):
                 j = after[i]
-                if j < 0 or tok[i] < 0 or pairs.get(tok[i] << BITS | tok[j]) != rank:
+                if j < 0 or tok[i] < 0 or get(tok[i] << bits | tok[j]) != rank:
                     continue  # a neighbour was merged since
                 if i < skip:  # a merge of lower rank comes first in this word
-                    if rank not in index:
-                        index[rank] = []
-                        heappush(heap, rank)
-                    index[rank].append(i)
+                    new_at.setdefault(rank, []).append(i)
                     continue
                 tok[i], tok[j] = rank, -1
                 after[i] = right = after[j]
                 left = before[i]
                 if right >= 0:
                     before[right] = i
-                for a, b in ((left, i), (i, right)):
-                    if a >= 0 and b >= 0 and (new := pairs.get(tok[a] << BITS | tok[b])) is not None:
-                        if new not in index:
-                            index[new] = []
-                            if new not in there:
-                                heappush(heap, new)
-                        index[new].append(a)
+                    new = get(rank << bits | tok[right])
+                    if new is not None:
+                        new_at.setdefault(new, []).append(i)
                         if new < rank:
                             skip = ends[bisect_right(ends, i)]
+                if left >= 0:
+                    new = get(tok[left] << bits | rank)
+                    if new is not None:
+                        new_at.setdefault(new, []).append(left)
+                        if new < rank:
+                            skip = ends[bisect_right(ends, i)]
+            for new, spots in new_at.items():
+                put(new, spots, index, there, heap)
         return np.array(tok, np.int64)
 
 
@@ -142,40 +199,60 @@ def disputed() -> str:
     return "".join(f"\\U{found[a]:08x}-\\U{found[b - 1]:08x}" for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True)) if found else ""
 
 
+def _spelled_out(pattern: str, odd: str) -> str | None:
+    """The pattern with the characters of its classes below 0x10000, for the module that knows no classes but is twice as fast; None where it has others than letters, numbers and white space."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def ranges(kind: str) -> str:
+        found = [ord(c) for c in regex.findall(f"(?V1)[{kind}--[{odd}]]" if odd else kind, every)]
+        cuts = [i for i in range(1, len(found)) if found[i] != found[i - 1] + 1]
+        return "".join(f"\\u{found[a]:04x}-\\u{found[b - 1]:04x}" for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True))
+
+    out, inside = [], False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.S):
+        if part in (r"\p{L}", r"\p{N}", r"\s"):
+            part = ranges(part) if inside else f"[{ranges(part)}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{ranges(r'\s')}]"
+        elif re.match(r"\\\w", part):
+            return None
+        inside = part == "[" or inside and part != "]"
+        out.append(part)
+    return "".join(out)
+
+
 class Words:
     """The distinct words that a task has met, numbered, and their ids once settle() has run. odd: what disputed() gives."""
 
     def __init__(self, merges: Merges, pattern: str, odd: str):
         import regex
 
-        self.merges, self.usual, self.odd = merges, regex.compile(pattern).findall, None
-        if odd:
-            known = re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{odd}]]", pattern)
-            self.odd, self.strict = re.compile(f"[{odd}]").search, regex.compile("(?V1)" + known).findall
+        self.merges = merges
+        known = re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{odd}]]", pattern) if odd else pattern
+        self.any = regex.compile("(?V1)" + known).findall
+        plain = _spelled_out(pattern, odd)
+        self.plain = re.compile(plain).findall if plain else self.any
+        self.wide = re.compile("[\U00010000-\U0010ffff]").search
         self.clear()
 
     def find(self, text: str) -> list[str]:
-        return self.strict(text) if self.odd and not text.isascii() and self.odd(text) else self.usual(text)
+        return self.any(text) if self.wide(text) else self.plain(text)
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.new: list[str] = []
-        self.held = 0
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.settled = self.held = 0
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def numbers(self, text: str) -> np.ndarray:
-        number, out = self.number, []
-        for piece in pieces(text, PIECE_CHARS):
-            found = self.find(piece)
-            for w in set(found).difference(number):
-                number[w] = len(number)
-                self.new.append(w)
-            out.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+        out = [np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)) for found in map(self.find, pieces(text, PIECE_CHARS))]
         return out[0] if len(out) == 1 else np.concatenate(out)
 
     def settle(self) -> None:
         """Merge the words that are new, as many in one index as INDEX_BYTES hold."""
-        words = [w.encode() for w in self.new]
+        words = [w.encode() for w in islice(self.number, self.settled, None)]
         ends = np.cumsum([0, *map(len, words)])
         at = 0
         while at < len(words):
@@ -185,7 +262,7 @@ class Words:
             self.ids, self.counts = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.counts, counts])
             at = stop
         self.held += int(ends[-1])
-        self.new = []
+        self.settled = len(self.number)
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         counts = self.counts[numbers]
