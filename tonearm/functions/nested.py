@@ -2,44 +2,66 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from . import text as X
 
 
+#: Levels of a document that find_each() goes down, which are those that Spark parses.
+DEPTH = 1000
+#: A text between quotes, with the colon that makes it a name, or what stands between such texts.
+_JSON_PART = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++|"'
+_MEMBERS = "array<struct<key: string, value: variant>>"
+
+
+def _numbered(doc: Column) -> Column:
+    """The text with nine digits before each name, by its place: a VARIANT keeps the members of an object in order of their names, and so in that of the document."""
+    named = lambda t, i: F.when(t.startswith('"') & t.endswith(":"), F.concat(F.lit('"'), F.lpad(i.cast("string"), 9, "0"), F.substr(t, F.lit(2)))).otherwise(t)
+    return F.array_join(F.transform(F.regexp_extract_all(doc, F.lit(_JSON_PART), 0), named), "")
+
+
+def _json_text(v: Column) -> Column:
+    """A VARIANT whose names are numbered as JSON without the numbers, with a space after commas and colons."""
+    spaced = lambda t: F.when(t.startswith('"') & t.endswith(":"), F.concat(F.lit('"'), F.substr(t, F.lit(11)), F.lit(" "))).when(t.startswith('"'), t).otherwise(F.replace(t, F.lit(","), F.lit(", ")))
+    return F.array_join(F.transform(F.regexp_extract_all(F.to_json(v), F.lit(_JSON_PART), 0), spaced), "")
+
+
+def first_value(c: Column) -> Column:
+    """The first JSON value of a text as JSON, whatever follows it; null where there is none or it is broken."""
+    return _json_text(F.try_parse_json(_numbered(X.text(c))))
+
+
+def find_each(c: Column, *keys: str) -> Column:
+    """(key, text) of all values under one of the keys, at any depth, as a walk in the order of the document meets them: an array of structs.
+
+    A broken document, or one of more than DEPTH levels, has none; what follows its first value is ignored. A name that an
+    object repeats counts each time. The text is parsed once; a fold goes down level by level, inside the row.
+    """
+    doc = X.text(c)
+    levels = F.length(doc) - F.length(F.translate(doc, "{[", ""))
+    name = lambda m: F.substr(m["key"], F.lit(10))
+
+    def members(v: Column) -> Column:
+        inside = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit("").alias("key"), x.alias("value")))
+        return F.coalesce(inside.cast(_MEMBERS), items.cast(_MEMBERS), F.array().cast(_MEMBERS))
+
+    def down(s: Column, _: Column) -> Column:
+        found = lambda m: F.struct(m["key"].alias("at"), _json_text(m["value"]).alias("text"))
+        return X.bound(F.flatten(F.transform(s["now"], lambda m: members(m["value"]))), lambda all_: F.struct(all_.alias("now"), F.concat(s["found"], F.transform(F.filter(all_, lambda m: name(m).isin(*keys)), found)).alias("found")))
+
+    top = F.array(F.struct(F.lit("").alias("key"), F.try_parse_json(_numbered(doc)).alias("value"))).cast(_MEMBERS)
+    start = F.struct(top.alias("now"), F.array().cast("array<struct<at: string, text: string>>").alias("found"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.least(levels, F.lit(DEPTH))), start, down)
+    pair = lambda x: F.struct(F.substr(x["at"], F.lit(10)).alias("key"), x["text"].alias("text"))
+    return X.bound(walked, lambda s: F.when(F.size(s["now"]) == 0, F.transform(F.array_sort(s["found"]), pair)).otherwise(F.array().cast("array<struct<key: string, text: string>>")))
+
+
 def find_all(c: Column, key: str) -> Column:
-    """The JSON texts of all values under a key, at any depth, as a walk in the order of the document meets them. A broken or too deep document has none."""
-
-    @pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        def walk(x, out: list[str]) -> None:
-            stack = [(None, x)]
-            while stack:
-                name, y = stack.pop()
-                if name == key and name is not None:
-                    out.append(json.dumps(y, ensure_ascii=False))
-                if isinstance(y, dict):
-                    stack += reversed(list(y.items()))
-                elif isinstance(y, list):
-                    stack += ((None, z) for z in reversed(y))
-
-        def one(doc: str | None) -> list[str]:
-            out: list[str] = []
-            try:
-                walk(json.loads(doc or ""), out)
-            except (ValueError, RecursionError):
-                return []
-            return out
-
-        return s.map(one)
-
-    return run(c)
+    """The JSON texts of find_each() for one key."""
+    return F.transform(find_each(c, key), lambda x: x["text"])
 
 
 ACOUSTID = "status string, results array<struct<score: double, recordings: array<struct<id: string, title: string, duration: double, artists: array<struct<name: string>>>>>>"

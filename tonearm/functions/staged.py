@@ -6,40 +6,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.chains import followed
 from ..operators.matching import keep_if_any, ranked_values
+from ..operators.tables import lasting
 from . import nested
 from . import text as X
 
 TRACK = "array<struct<artist:string,title:string>>"
+#: Pages of a playlist beside its first.
+MOST_PAGES = 80
 
 
 def _known(c: Column) -> Column:
     return ~F.lower(c).isin("id", "id - id", "???", "unknown") & (c != "")
 
 
+def script_text(page: Column, variable: str = "ytInitialData") -> Column:
+    """What follows the first brace after a page's script names a variable, or null; the object that begins there may end anywhere in it."""
+    page = X.text(page)
+    spaced, close = F.instr(page, f"{variable} = "), F.instr(page, f"{variable}=")
+    at = F.when(spaced > 0, spaced).when(close > 0, close)
+    return X.bound(F.substr(page, at), lambda t: F.when(F.instr(t, "{") > 0, F.substr(t, F.instr(t, "{"))))
+
+
 def page_data(page: Column, variable: str = "ytInitialData") -> Column:
-    """The JSON text that a page's script gives a variable, up to the end of the script."""
-    return F.nullif(F.regexp_extract(X.text(page), rf"(?s){variable} ?= ?(\{{.*?\}})\s*;?\s*(?:</script>|$)", 1), F.lit(""))
+    """The object that a page's script gives a variable, as JSON text without what follows it; null where there is none."""
+    return nested.first_value(script_text(page, variable))
 
 
 def music_cards(page: Column) -> Column:
     """The artists and titles (array of structs) that a video page's music section names."""
-    cards = F.transform(nested.find_all(page_data(page), "videoAttributeViewModel"), lambda x: F.from_json(x, "title string, subtitle string"))
+    cards = F.transform(nested.find_all(script_text(page), "videoAttributeViewModel"), lambda x: F.from_json(x, "title string, subtitle string"))
     pairs = F.transform(cards, lambda x: F.struct(X.strip(X.text(x["subtitle"])).alias("artist"), X.strip(X.text(x["title"])).alias("title")))
     return F.filter(pairs, lambda x: _known(x["artist"]) & _known(x["title"]))
 
 
+OLD, NEW, TOKEN = "playlistVideoRenderer", "lockupMetadataViewModel", "continuationCommand"
+_RUNS = "title struct<runs: array<struct<text: string>>, simpleText: string>"
+
+
+def playlist_page(page: Column) -> Column:
+    """N5, S21 of the JSON of a playlist's page, in one walk: struct titles (of both layouts, each in order), token (of the next page, or null)."""
+
+    def read(found: Column) -> Column:
+        texts = lambda key: F.transform(F.filter(found, lambda x: x["key"] == key), lambda x: x["text"])
+        first = lambda x: F.coalesce(F.nullif(F.get(x["title"]["runs"], F.lit(0))["text"], F.lit("")), x["title"]["simpleText"])
+        old = F.transform(F.transform(texts(OLD), lambda x: F.from_json(x, _RUNS)), first)
+        new = F.transform(texts(NEW), lambda x: F.from_json(x, "title struct<content: string>")["title"]["content"])
+        tokens = F.transform(texts(TOKEN), lambda x: F.from_json(x, "token string")["token"])
+        given = lambda c: F.filter(c, lambda t: X.text(t) != "")
+        return F.struct(given(F.concat(old, new)).alias("titles"), F.get(given(tokens), F.lit(0)).alias("token"))
+
+    return X.bound(nested.find_each(page, OLD, NEW, TOKEN), read)
+
+
 def playlist_titles(page: Column) -> Column:
     """The video titles of a page of a playlist, in both of its layouts, in order."""
-    old = F.transform(nested.find_all(page, "playlistVideoRenderer"), lambda x: F.from_json(x, "title struct<runs: array<struct<text: string>>, simpleText: string>"))
-    old = F.transform(old, lambda x: F.coalesce(F.nullif(F.get(x["title"]["runs"], F.lit(0))["text"], F.lit("")), x["title"]["simpleText"]))
-    new = F.transform(nested.find_all(page, "lockupMetadataViewModel"), lambda x: F.from_json(x, "title struct<content: string>")["title"]["content"])
-    return F.filter(F.concat(old, new), lambda t: X.text(t) != "")
+    return playlist_page(page)["titles"]
 
 
 def continuation(page: Column) -> Column:
     """The token of the next page, or null."""
-    return F.get(F.filter(F.transform(nested.find_all(page, "continuationCommand"), lambda x: F.from_json(x, "token string")["token"]), lambda t: X.text(t) != ""), F.lit(0))
+    return playlist_page(page)["token"]
+
+
+def titles_of_lists(lists: DataFrame, responses: DataFrame, list_: str = "list", page: str = "page", newest: int = 0, most: int = MOST_PAGES) -> DataFrame:
+    """list_, position, title of playlists whose further pages are staged by token.
+
+    lists: list_, page (HTML of the first page). responses: token, response (JSON). A list goes on from its first page's token
+    to the response of that token, from there to the next, up to `most` of them. It ends at a token that isn't staged, at a
+    page without titles, or at a token that it has met. Of several responses to a token the one with the least text counts. newest: only
+    so many titles of each list.
+    """
+    first = lasting(lists.select(F.col(list_).alias("list"), playlist_page(script_text(F.col(page))).alias("p")))
+    unique = responses.where(X.text(F.col("token")) != "").groupBy("token").agg(F.min("response").alias("response"))
+    more = lasting(unique.select("token", playlist_page(F.col("response")).alias("p")))
+    steps = followed(first.select("list", F.col("p.token").alias("key")), more.select(F.col("token").alias("key"), F.col("p.token").alias("next")), most)
+    later = steps.join(more, steps["key"] == more["token"]).select("list", "step", F.col("p.titles").alias("titles"))
+    pages = first.select("list", F.lit(0).cast("long").alias("step"), F.col("p.titles").alias("titles")).unionByName(later)
+    before = Window.partitionBy("list").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # at most `most` pages of a list
+    ended = (F.col("step") > 0) & (F.size("titles") == 0)
+    pages = pages.withColumns({"_ended": F.coalesce(F.bool_or(ended).over(before), F.lit(False)), "_n": F.coalesce(F.sum(F.size("titles")).over(before), F.lit(0))})
+    out = pages.where(~F.col("_ended")).select(F.col("list").alias(list_), "_n", F.posexplode("titles").alias("i", "title")).select(list_, (F.col("_n") + F.col("i") + 1).alias("position"), "title")
+    return out.where(F.col("position") <= newest) if newest else out
+
+
+def title_tracks(titles: DataFrame, list_: str) -> DataFrame:
+    """list_, artist, title, position of titles (list_, position, title) that name both."""
+    pair = X.track_pair(X.track_line(X.video_title(F.col("title"))))
+    return titles.withColumn("p", pair).where("p is not null").select(list_, "p.artist", "p.title", "position")
 
 
 def list_tracks(pages: DataFrame, list_: str, number: str, page: str, newest: int = 0) -> DataFrame:
@@ -48,8 +103,7 @@ def list_tracks(pages: DataFrame, list_: str, number: str, page: str, newest: in
     titles = titles.withColumn("position", F.row_number().over(Window.partitionBy(list_).orderBy(number, "i")))
     if newest:
         titles = titles.where(F.col("position") <= newest)
-    pair = X.track_pair(X.track_line(X.video_title(F.col("t"))))
-    return titles.withColumn("p", pair).where("p is not null").select(list_, "p.artist", "p.title", "position")
+    return title_tracks(titles.select(list_, F.col("t").alias("title"), "position"), list_)
 
 
 def video_tracks(videos: DataFrame, comments: DataFrame, video: str = "video", page: str = "page", description: str = "description") -> DataFrame:
@@ -132,15 +186,32 @@ def recording_genres(search: DataFrame, details: DataFrame, key: str = "key") ->
     return found.join(known, F.col("_id") == F.col("_known")).where(F.size("genres") > 0).select(key, "genres")
 
 
+WANTS = "array<struct<id: long, basic_information: struct<title: string>>>"
+
+
+def _items(response: Column) -> Column:
+    """Of a page of a want-list or of a collection: struct of its items and the address of its next page."""
+    r = F.from_json(response, f"wants {WANTS}, releases {WANTS}, pagination struct<urls: struct<next: string>>")
+    return X.bound(r, lambda x: F.struct(F.coalesce(x["wants"], x["releases"]).alias("items"), F.nullif(x["pagination"]["urls"]["next"], F.lit("")).alias("next")))
+
+
 def wanted_releases(pages: DataFrame, response: str = "response", newest: int = 0) -> DataFrame:
-    """Id, title, position of the releases in staged pages (list, number, response) of want-lists and collections, in order of list and page, each id's first; newest: only so many, over both lists."""
-    kind = "wants array<struct<id: long, basic_information: struct<title: string>>>, releases array<struct<id: long, basic_information: struct<title: string>>>"
-    r = pages.select("list", "number", F.from_json(response, kind).alias("r"))
-    items = F.coalesce("r.wants", "r.releases")
-    each = r.select("list", "number", F.posexplode(items).alias("i", "x")).select("list", "number", "i", "x.id", F.col("x.basic_information.title").alias("title"))
+    """Id, list, number, i, title of the releases in staged pages (list, number, response) of want-lists and collections, in order of list and page, each id's first; newest: only so many, over both lists."""
+    each = pages.select("list", "number", F.posexplode(_items(F.col(response))["items"]).alias("i", "x")).select("list", "number", "i", "x.id", F.col("x.basic_information.title").alias("title"))
     first = each.groupBy("id").agg(F.min(F.struct("list", "number", "i", "title")).alias("f")).select("id", "f.*")
-    out = first.withColumn("position", F.row_number().over(Window.orderBy("list", "number", "i"))) if newest else first
-    return out.where(F.col("position") <= newest).drop("position") if newest else out
+    return first.orderBy("list", "number", "i").limit(newest) if newest else first
+
+
+def linked_pages(starts: DataFrame, responses: DataFrame) -> DataFrame:
+    """List, number, response of lists (list, url of the first page) whose pages (url, response) name the next one's address.
+
+    A list ends at a page without an address, at one that isn't staged and at one that it has met; of several responses to an
+    address the one with the least text counts.
+    """
+    unique = lasting(responses.where(X.text(F.col("url")) != "").groupBy("url").agg(F.min("response").alias("response")))
+    links = unique.select(F.col("url").alias("key"), _items(F.col("response"))["next"].alias("next"))
+    steps = followed(starts.select("list", F.col("url").alias("key")), links)
+    return steps.join(unique, F.col("key") == F.col("url")).select("list", F.col("step").alias("number"), "response")
 
 
 def script_blob(page: Column, variable: str = "TralbumData") -> Column:

@@ -350,8 +350,8 @@ def human_size(bytes_: Column) -> Column:
 
 
 def eta(seconds: Column) -> Column:
-    """45s, 6m, 1h22."""
-    s = seconds.cast("long")
+    """45s, 6m, 1h22; null for what isn't a number of seconds that a long can hold."""
+    s = seconds.try_cast("long")
     minutes = F.floor((s + 30) / 60)
     return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(F.format_string("%dh%02d", F.floor(minutes / 60), minutes % 60))
 
@@ -449,9 +449,9 @@ def retry_variants(artist: Column, title: Column, most: int = 3) -> Column:
 
 # ---- track lists -----------------------------------------------------------------------------------------------------
 
+# The forms of times, numbers and links in track lists, and the words that keep a group in brackets.
 CLOCK = r"^\s*[\[(]?\s*(?:\d{1,2}:)?\d{1,2}:\d{2}\s*[\])]?\s*[-.)]?\s*"
 SPOKEN = r"^\s*[\[(]?\s*\d{1,3}\s*(?:h|min|sec|m|s)(?![a-z])(?:\s*\d{1,3}\s*(?:h|min|sec|m|s)(?![a-z]))*(?:\s*\d{1,2})?\s*[\])]?\s*[-.)]?\s*"
-#: The same where the minutes follow at once (1h05): a letter must not follow the unit, a digit may.
 NUMBER = r"^\s*\d{1,3}\s*[.)\]:-]\s+"
 LINK = r"https?://|www\.|\.(?:com|net|org|io|tv|fm|co|me|ly|gl)\b"
 KEEP_GROUP = ("mix", "remix", "edit", "edited", "edits", "reedit", "dub", "rework", "refix", "rerub", "rub", "flip", "vip", "version", "vocal", "instrumental", "acapella", "bootleg", "mashup", "extended", "radio", "original", "club", "live", "demo", "acoustic", "reprise", "remaster", "remastered", "remake", "interlude", "intro", "outro", "skit", "part", "pt", "feat", "ft", "featuring", "pres", "presents", "beats", "beat", "take", "session", "edition", "cut", "rmx", "rmx.", "remixes")

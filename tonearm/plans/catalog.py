@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import classify as C
 from ..functions import audio, nested, staged
 from ..functions import text as X
-from ..operators import audit, dedup, matching, reports
+from ..operators import audit, dedup, matching, numbering, reports
 from ..sources import sinks
 from . import flows
 
@@ -439,6 +439,20 @@ def W4_unique_targets(spark, sf_dir):
     return dedup.unique_targets(p, "p_brand", "name", "p_partkey").select("p_partkey", "target")
 
 
+@query("""WITH w AS (SELECT p_partkey, p_brand, lower(p_type) AS stem, p_type, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) - 1 AS j FROM part WHERE p_partkey % 3 <> 0),
+  held AS (SELECT DISTINCT p_brand, lower(p_type) AS stem, p_size % 7 AS n FROM part WHERE p_partkey % 3 = 0),
+  most AS (SELECT p_brand, stem, max(j) + 7 AS m FROM w GROUP BY ALL),
+  free AS (SELECT p_brand, stem, n, row_number() OVER (PARTITION BY p_brand, stem ORDER BY n) - 1 AS j FROM (SELECT p_brand, stem, unnest(range(0, m + 1)) AS n FROM most) f WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.p_brand = f.p_brand AND h.stem = f.stem AND h.n = f.n))
+  SELECT p_partkey, p_type || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.flac' AS target FROM w JOIN free USING (p_brand, stem, j)""")
+def W4_free_targets(spark, sf_dir):
+    """Two of three parts as files of a folder for each brand, where the third's names are already."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    n = F.col("p_size") % 7
+    there = p.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("folder"), F.concat(F.upper("p_type"), F.when(n == 0, "").otherwise(F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))), F.lit(".flac")).alias("name"))
+    files = p.where("p_partkey % 3 <> 0").select("p_partkey", "p_brand", F.concat("p_type", F.lit(".flac")).alias("name"))
+    return dedup.unique_targets(files, "p_brand", "name", "p_partkey", there).select("p_partkey", "target")
+
+
 @query("SELECT chunk, count(*) AS n, min(o_orderkey) AS first FROM (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 25 + 1 AS BIGINT) AS chunk FROM orders) GROUP BY 1")
 def W6_chunks(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey")
@@ -808,8 +822,8 @@ def U2_token_union(spark, sf_dir):
 @query("SELECT n_chars, count(*) AS n, CAST(row_number() OVER (ORDER BY n_chars DESC) AS BIGINT) AS place FROM documents WHERE n_chars > 0 GROUP BY 1 HAVING count(*) > 1")
 def O2_groups_by_size(spark, sf_dir):
     """Duplicate groups, largest first; the place shows the order."""
-    g = dedup.size_groups(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").orderBy(F.desc("n_chars"))
-    return g.select("n_chars", "n", F.row_number().over(Window.orderBy(F.desc("n_chars"))).cast("long").alias("place"))
+    g = dedup.size_groups(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+    return numbering.numbered(g.select("n_chars", "n"), [F.desc("n_chars")], "_i").select("n_chars", "n", (F.col("_i") + 1).alias("place"))
 
 
 @query(f"SELECT event_id FROM ({SQL['P2_accepted']}) WHERE NOT ok")
@@ -848,7 +862,8 @@ def P9_to_wants(spark, sf_dir):
 @query(f"SELECT doc_id, status, score, row_number() OVER (ORDER BY CASE status WHEN 'MATCH' THEN 0 ELSE 1 END, score DESC, doc_id) AS place FROM ({IDENTIFIED}) WHERE status <> 'NO_MATCH'")
 def O4_to_review(spark, sf_dir):
     rows = reports.to_review(identified(spark, sf_dir)).select("doc_id", "status", "score")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(reports.place_in(F.col("status"), ("MATCH", "LOW_CONFIDENCE")), F.desc("score"), "doc_id")).cast("long"))
+    order = [reports.place_in(F.col("status"), ("MATCH", "LOW_CONFIDENCE")), F.desc("score"), "doc_id"]
+    return numbering.numbered(rows, order, "_i").select("doc_id", "status", "score", (F.col("_i") + 1).alias("place"))
 
 
 @query(f"SELECT p_partkey, artist AS known_artist, {_NAME} AS known_title FROM ({PART}) WHERE p_partkey % 2 = 0")
@@ -927,6 +942,45 @@ def N5_continuation(spark, sf_dir):
     return playlist_pages(spark, sf_dir).select("l_orderkey", staged.continuation(F.col("page")).alias("token"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS step, o_orderkey % 97 <> 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AS filled FROM orders),
+  walk AS (SELECT o_custkey, o_orderkey, 0 AS step, true AS on_ FROM o WHERE step = 0
+    UNION ALL SELECT w.o_custkey, o.o_orderkey, w.step + 1, o.filled FROM walk w JOIN o ON o.o_custkey = w.o_custkey AND o.step = w.step + 1 WHERE w.step < 80 AND w.on_ AND o.o_orderkey % 89 <> 1),
+  each AS (SELECT w.o_custkey, w.step, l.l_linenumber, 'Tune ' || l.l_linenumber || ' of ' || l.l_orderkey AS title, l.l_partkey, l.l_suppkey FROM walk w JOIN lineitem l ON l.l_orderkey = w.o_orderkey WHERE w.step = 0 OR w.o_orderkey % 97 <> 0)
+  SELECT o_custkey, position, title FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY step, l_linenumber, l_partkey, l_suppkey) AS position, title FROM each) WHERE position <= 40""")
+def S21_paged_titles(spark, sf_dir):
+    """Customers as playlists, their orders as pages that name the next one, lines as videos: the 40 newest titles of each list.
+
+    One page in 97 is empty, which ends its list; one in 89 isn't staged.
+    """
+    c = F.col
+    name = F.concat(F.lit("Tune "), c("l_linenumber").cast("string"), F.lit(" of "), c("l_orderkey").cast("string"))
+    video = F.struct(F.struct(F.struct(F.struct(name.alias("content")).alias("title")).alias("lockupMetadataViewModel")).alias("lockupViewModel"))
+    one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", video.alias("a")).alias("x"))
+    lines = one.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda v: v["a"]).alias("contents"))  # an order's lines: few
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r"), F.lead("o_orderkey").over(w).alias("next"))
+    token = F.struct(F.concat(F.lit("t"), c("next").cast("string")).alias("token"))
+    body = F.to_json(F.struct(F.when((c("r") == 1) | (c("o_orderkey") % 97 != 0), c("contents")).alias("contents"), F.when(c("next").isNotNull(), token).alias("continuationCommand")))
+    pages = o.join(lines, c("o_orderkey") == c("l_orderkey"), "left").select("o_custkey", "o_orderkey", "r", body.alias("body"))
+    lists = pages.where("r = 1").select("o_custkey", F.concat(F.lit("<script>var ytInitialData = "), "body", F.lit(';var more = {"b": [1]};</script>')).alias("page"))
+    responses = pages.where("r > 1 AND o_orderkey % 89 <> 1").select(F.concat(F.lit("t"), c("o_orderkey").cast("string")).alias("token"), c("body").alias("response"))
+    return staged.titles_of_lists(lists, responses, "o_custkey", newest=40)
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS number FROM orders) SELECT o_orderkey AS id, 'W' || o_orderkey AS title, o_custkey AS list, number FROM o""")
+def S16_linked_pages(spark, sf_dir):
+    """Customers' want-lists, an order a page, each naming the address of the next; the last names none."""
+    c = F.col
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    address = lambda k: F.concat(F.lit("https://x/wants?page="), k.cast("string"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r"), F.lead("o_orderkey").over(w).alias("next"))
+    item = F.struct(c("o_orderkey").alias("id"), F.struct(F.concat(F.lit("W"), c("o_orderkey").cast("string")).alias("title")).alias("basic_information"))
+    urls = F.struct(F.struct(address(c("next")).alias("next")).alias("urls"))
+    responses = o.select(address(c("o_orderkey")).alias("url"), F.to_json(F.struct(F.array(item).alias("wants"), urls.alias("pagination"))).alias("response"))
+    starts = o.where("r = 1").select(c("o_custkey").alias("list"), address(c("o_orderkey")).alias("url"))
+    return staged.wanted_releases(staged.linked_pages(starts, responses)).select("id", "title", "list", "number")
+
+
 @query("SELECT p_partkey, unnest([p_brand, p_brand, 'Guest']) AS artist, unnest([array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), p_type, 'Tune']) AS title FROM part")
 def S20_video_tracks(spark, sf_dir):
     """A card (and one that repeats a line), a description of two tracks, a pinned comment that repeats all but one, and a short one."""
