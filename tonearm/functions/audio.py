@@ -1,4 +1,4 @@
-"""Audio: WAV headers and windows, spectral features, and fuzzy text ratio; Arrow functions over binary columns.
+"""Audio: WAV headers and windows and spectral features; Arrow functions over binary columns.
 
 The reference measures cutoffs with a package that isn't part of it; the detector here is our own, made to satisfy the
 cases that are known of that one: full-band noise and a pure tone are LOSSLESS, hard walls at 13 to 21.2 kHz are found.
@@ -6,7 +6,6 @@ cases that are known of that one: full-band noise and a pure tone are LOSSLESS,
 
 from __future__ import annotations
 
-import difflib
 import io
 import math
 import wave
@@ -22,15 +21,6 @@ from pyspark.sql.functions import pandas_udf
 FEATURES = "samplerate int, channels int, duration double, frames long, cutoff_hz double, cutoff_std_hz double, hf_energy_ratio double, est_source_bitrate int, stereo double, error string"
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """the share of matching blocks; 0 if either is empty."""
-    return pandas_udf(_ratio, "double")(a, b)
-
-
 @lru_cache(maxsize=8)
 def _hann(n: int) -> np.ndarray:
     return np.hanning(n)

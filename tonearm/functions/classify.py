@@ -38,6 +38,55 @@ def classify_lossless(cutoff: Column, estimate: Column, kbps: Column, ext: Colum
     return F.when(red_flag(ext, kbps), F.struct(F.lit(BAD).alias("verdict"), F.lit("high").alias("confidence"))).otherwise(band(cutoff, estimate))
 
 
+# The reasons that reports give.
+FULL, CLUB, LIMIT, LOW = "spectre plein, cutoff {} Hz", "cutoff {} Hz (~{} kbps) - jouable club", "cutoff {} Hz (~{} kbps) - limite, a revoir", "cutoff {} Hz (~{} kbps) - source lossy bas debit"
+FLAC_LOW, LOSSY_LOW = "bitrate conteneur FLAC {} kbps < 160 (source lossy)", "{} {} kbps < 320 - banni"
+NOT_AUDIO, UNREADABLE, NO_WINDOW = "format non audio / non gere", "info illisible: {}", "analyse spectrale impossible (lecture vide)"
+NO_NAME, NO_TAGS, NAMES_AGREE = "nom sans 'Artiste - Titre' exploitable", "aucun tag artist/title a comparer", "nom et tags coherents"
+VERSIONS_DIFFER, TAGS_DIFFER = "version nom='{}' != tag='{}'", "tags ne collent pas au nom ({})"
+
+
+def _said(shape: str, *values: Column) -> Column:
+    """The shape with its braces filled in; null if a value is."""
+    parts = shape.split("{}")
+    return F.concat(*(p for part, v in zip(parts, [*values, None], strict=True) for p in (F.lit(part), v.cast("string") if v is not None else F.lit(""))))
+
+
+def _whole(c: Column) -> Column:
+    return F.bround(c, 0).cast("long")
+
+
+def band_reason(cutoff: Column, estimate: Column) -> Column:
+    """The reason of band()."""
+    hz = _whole(cutoff)
+    return F.when(estimate == 0, _said(FULL, hz)).when(cutoff >= 18000, _said(CLUB, hz, estimate)).when(cutoff >= 16000, _said(LIMIT, hz, estimate)).otherwise(_said(LOW, hz, estimate))
+
+
+def lossless_reason(cutoff: Column, estimate: Column, kbps: Column, ext: Column) -> Column:
+    """The reason of classify_lossless()."""
+    return F.when(red_flag(ext, kbps), _said(FLAC_LOW, kbps)).otherwise(band_reason(cutoff, estimate))
+
+
+def scan_reason(format_: Column, error: Column, cutoff: Column, estimate: Column, kbps: Column, ext: Column) -> Column:
+    """C4: why a scanned file has its verdict."""
+    lossy = format_ == "lossy"
+    low = lossy & (kbps > 0) & (kbps < LEAST_LOSSY_KBPS)
+    return (
+        F.when(format_ == "unknown", NOT_AUDIO).when(error.isNotNull(), _said(UNREADABLE, error)).when(cutoff.isNull(), NO_WINDOW)
+        .when(low, _said(LOSSY_LOW, F.substr(ext, F.lit(2)), kbps)).when(lossy, band_reason(cutoff, estimate)).otherwise(lossless_reason(cutoff, estimate, kbps, ext))
+    )
+
+
+def name_reason(status: Column, name_version: Column, tag_version: Column, artist_cov: Column, title_cov: Column) -> Column:
+    """The reason of name_status()."""
+    version = lambda c: F.when(X.text(c) == "", "original").otherwise(c)
+    low = lambda what, c: F.when(c < 0.5, _said(what + " {}%", _whole(c * 100)))
+    return (
+        F.when(status == "UNPARSEABLE_NAME", NO_NAME).when(status == "NAME_ONLY", NO_TAGS).when(status == "VERSION_MISMATCH", _said(VERSIONS_DIFFER, version(name_version), version(tag_version)))
+        .when(status == "OK", NAMES_AGREE).otherwise(_said(TAGS_DIFFER, F.concat_ws(", ", low("artist", artist_cov), low("title", title_cov))))
+    )
+
+
 def forensic(cutoff: Column, estimate: Column, kbps: Column, ext: Column, rate: Column, mp3_rule: Column, lossless: Column, aliasing: Column, comb: Column, preecho: Column, stereo: Column) -> Column:
     """Struct verdict, confidence; never a lower verdict than C3. mp3_rule: the confirmed MP3 bitrate, or null."""
     base = classify_lossless(cutoff, estimate, kbps, ext)

@@ -91,6 +91,23 @@ def titles_of_lists(lists: DataFrame, responses: DataFrame, list_: str = "list",
     return out.where(F.col("position") <= newest) if newest else out
 
 
+def link_source(url: Column, page: Column | None = None) -> Column:
+    """Which source a link is read by: a playlist, a channel's uploads (page: the channel's, for links by handle or name), a video, a tracklist or set page, a pasted text, or any other page."""
+    low = F.lower(X.strip(X.text(url)))
+    video = low.contains("youtube.com") | low.contains("youtu.be")
+    channel = X.uploads_id(url, page if page is not None else F.lit(""))
+    return (
+        F.when(~low.startswith("http"), "djset:paste").when(video & X.playlist_id(url).isNotNull(), "djset:youtube-playlist").when(video & channel.isNotNull(), "djset:youtube-channel")
+        .when(video, "djset:youtube").when(low.contains("1001tracklists.com"), "djset:1001").when(low.contains("set79.com"), "djset:set79").otherwise("djset")
+    )
+
+
+def set_rows(pairs: DataFrame, url: str, artist: str = "artist", title: str = "title") -> DataFrame:
+    """Want-list rows of the tracks found behind links, with the source that each link is read by."""
+    none = F.lit("")
+    return pairs.select(F.col(artist).alias("Artist"), F.col(title).alias("Title"), none.alias("Album"), none.alias("Length"), none.alias("Year"), link_source(F.col(url)).alias("Source"), F.col(url).alias("SourceUrl"))
+
+
 def title_tracks(titles: DataFrame, list_: str) -> DataFrame:
     """list_, artist, title, position of titles (list_, position, title) that name both."""
     pair = X.track_pair(X.track_line(X.video_title(F.col("title"))))

@@ -6,6 +6,7 @@ operators do with real names is tested by golden cases.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import classify as C
-from ..functions import audio, nested, staged
+from ..functions import audio, fuzzy, nested, staged
 from ..functions import text as X
-from ..operators import audit, dedup, matching, numbering, reports
-from ..sources import sinks
+from ..operators import audit, dedup, matching, numbering, reports, tables
+from ..sources import sinks, store
 from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{tables.shared_folder(spark)}/tonearm/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -760,6 +766,53 @@ def J12_cached(spark, sf_dir):
     return sinks.cached(c.select("c_custkey", "c_name"), cache, "c_name").select("c_custkey", "cached", "hit")
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS cached, c_custkey % 5 = 0 OR c_custkey % 3 <> 2 AS hit FROM customer")
+def K11_store(spark, sf_dir):
+    """Three rounds of writes, of an old version, then found, missed and failed ones, then some that are found later and errors that replace nothing; lookups of all."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", X.cache_key(F.col("c_name")).alias("cache_key"))
+    path, rows = _shared(spark, "store"), lambda status, value, which=F.lit(True): c.where(which).select("cache_key", status.alias("status"), value.alias("value"), "c_custkey")
+    store.write(rows(F.lit("found"), F.lit("old"), k % 7 == 0), path, 1, "c_custkey")
+    store.write(rows(F.when(k % 3 == 0, "found").when(k % 3 == 1, "missed").otherwise("error"), F.col("c_mktsegment")), path, 2, "c_custkey")
+    store.write(rows(F.when(k % 5 == 0, "found").otherwise("error"), F.col("c_name"), k % 5 <= 1), path, 2, "c_custkey")
+    return sinks.cached(c.select("c_custkey", "c_name"), store.read(spark, path, 2, c), "c_name").select("c_custkey", "cached", "hit")
+
+
+@query("""SELECT p_partkey, CASE WHEN len(p_name) + len(p_type) = 0 THEN 0 ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(string_split(p_name, '')), lambda c: least(len(p_name) - len(replace(p_name, c, '')), len(p_type) - len(replace(p_type, c, ''))))) / (len(p_name) + len(p_type)) END AS share FROM part""")
+def F30_common_share(spark, sf_dir):
+    """The bound of the ratio of names and types."""
+    return table(spark, sf_dir, "part").select("p_partkey", fuzzy.common_share(F.col("p_name"), F.col("p_type")).alias("share"))
+
+
+_HZ = "CAST(round_even(cutoff, 0) AS BIGINT)"
+
+
+@query(f"""SELECT event_id, CASE WHEN ext = '.flac' AND kbps > 0 AND kbps < 160 THEN 'bitrate conteneur FLAC ' || kbps || ' kbps < 160 (source lossy)' WHEN ext = '.mp3' AND kbps > 0 AND kbps < 310 THEN 'mp3 ' || kbps || ' kbps < 320 - banni' WHEN est = 0 THEN 'spectre plein, cutoff ' || {_HZ} || ' Hz'
+  ELSE 'cutoff ' || {_HZ} || ' Hz (~' || est || ' kbps) - ' || CASE WHEN cutoff >= 18000 THEN 'jouable club' WHEN cutoff >= 16000 THEN 'limite, a revoir' ELSE 'source lossy bas debit' END END AS reason FROM ({EVENT})""")
+def C2_C4_reason(spark, sf_dir):
+    e = measured(spark, sf_dir)
+    return e.select("event_id", C.scan_reason(C.format_class(F.col("ext"), F.lit(None).cast("string")), F.lit(None).cast("string"), F.col("cutoff"), F.col("est"), F.col("kbps"), F.col("ext")).alias("reason"))
+
+
+@query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'djset:youtube-playlist' WHEN 1 THEN 'djset:youtube-channel' WHEN 2 THEN 'djset:youtube' WHEN 3 THEN 'djset:1001' WHEN 4 THEN 'djset:set79' WHEN 5 THEN 'djset:paste' WHEN 6 THEN 'djset' ELSE 'djset:youtube' END AS source FROM pages""")
+def S19_link_source(spark, sf_dir):
+    """Links of every kind, made from page ids; what is left keeps the page's own address."""
+    i = F.col("page_id").cast("string")
+    k = F.col("page_id") % 8
+    channel = F.concat(F.lit("UC"), F.lpad(i, 22, "x"))
+    forms = [F.concat(F.lit("https://www.youtube.com/playlist?list=PL"), i), F.concat(F.lit("https://YouTube.com/channel/"), channel), F.concat(F.lit("https://youtu.be/"), i, F.lit("?list=RD1")), F.concat(F.lit("https://www.1001tracklists.com/tracklist/"), i), F.concat(F.lit("http://set79.com/"), i), F.concat(F.lit("/lists/"), i, F.lit(".txt")), F.concat(F.lit("http://host.example/"), i)]
+    url = F.coalesce(*(F.when(k == n, f) for n, f in enumerate(forms)), F.concat(F.lit("https://www.youtube.com/@name"), i))
+    return table(spark, sf_dir, "pages").select("page_id", staged.link_source(url).alias("source"))
+
+
+@query("""SELECT (doc_id % 101) / 100.0::DOUBLE AS n, 'l' || doc_id % 3 AS label, format('{:.3f}', (doc_id % 101) / 100.0::DOUBLE) AS score, 'Artist ' || doc_id % 50 AS known_artist, 'Tune' || CASE WHEN doc_id % 2 = 0 THEN ' (Dub Mix)' ELSE '' END AS known_title, CASE WHEN doc_id % 2 = 0 THEN 'dub' ELSE '' END AS version_known, '/m/' || doc_id AS file FROM labels""")
+def K5_validation_log(spark, sf_dir):
+    """Labelled documents as rows of a validation log."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("l"), (k % 3).cast("string")).alias("label"), (k % 101 / 100.0).alias("score"), F.concat(F.lit("Artist "), (k % 50).cast("string")).alias("known_artist"), F.concat(F.lit("Tune"), F.when(k % 2 == 0, " (Dub Mix)").otherwise("")).alias("known_title"), F.lit("").alias("cand_artist"), F.lit("").alias("cand_title"), F.concat(F.lit("/m/"), k.cast("string")).alias("path"))
+    return sinks.validation_log(rows).select(F.col("score").cast("double").alias("n"), "label", "score", "known_artist", "known_title", "version_known", "file")
+
+
 @query("SELECT event_id, primary_profile, fallback FROM events JOIN (VALUES " + ", ".join(f"('{k}', '{a}', {repr(b) if b else 'NULL'}, {i})" for i, (k, (a, b)) in enumerate(C.PROFILES.items())) + ") v(preset, primary_profile, fallback, i) ON event_id % " + str(len(C.PROFILES)) + " = i")
 def P3_profiles(spark, sf_dir):
     """Search profiles by preset, a table of a fixed number of rows."""

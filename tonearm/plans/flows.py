@@ -12,12 +12,13 @@ from ..operators.matching import split_known, with_latest
 
 
 def name_audit(df: DataFrame, path: str = "path", artist: str = "tag_artist", title: str = "tag_title") -> DataFrame:
-    """C6 over rows: name_artist, name_title, coverages (null: not measurable), versions, name_status."""
+    """C6 over rows: name_artist, name_title, coverages (null: not measurable), versions, name_status, name_reason."""
     p = X.parse_name(F.col(path))
     out = df.withColumn("_p", p).withColumn("_tags", F.array_union(X.tokens(F.col(artist)), X.tokens(F.col(title))))
     out = out.withColumns({"name_artist": F.col("_p.artist"), "name_title": F.col("_p.title"), "artist_coverage": X.coverage(X.tokens(F.col("_p.artist")), F.col("_tags")), "title_coverage": X.coverage(X.tokens(X.without_feat(F.col("_p.title"))), F.col("_tags")), "name_version": X.version_key(F.col("_p.title")), "tag_version": X.version_key(F.col(title))})
     status = C.name_status(F.col("_p.parseable"), F.col(artist), F.col(title), F.col("name_version"), F.col("tag_version"), F.col("artist_coverage"), F.col("title_coverage"))
-    return out.withColumn("name_status", status).drop("_p", "_tags")
+    reason = C.name_reason(F.col("name_status"), F.col("name_version"), F.col("tag_version"), F.col("artist_coverage"), F.col("title_coverage"))
+    return out.withColumn("name_status", status).withColumn("name_reason", reason).drop("_p", "_tags")
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -27,6 +28,7 @@ def scan(files: DataFrame) -> DataFrame:
     lossy_low = (F.col("format_class") == "lossy") & (F.col("container_bitrate") > 0) & (F.col("container_bitrate") < C.LEAST_LOSSY_KBPS)
     out = out.withColumn("verdict", F.when(F.col("format_class") == "unknown", C.SKIPPED).when(F.col("error").isNotNull() | F.col("cutoff_hz").isNull(), C.ERROR).when(lossy_low, C.BAD).otherwise(F.col("_v.verdict")))
     out = out.withColumn("confidence", F.when(F.col("verdict").isin(C.SKIPPED, C.ERROR), "").when(lossy_low, "high").otherwise(F.col("_v.confidence"))).drop("_v")
+    out = out.withColumn("reason", C.scan_reason(F.col("format_class"), F.col("error"), F.col("cutoff_hz"), F.col("est_source_bitrate"), F.coalesce("container_bitrate", F.lit(0)), F.col("ext")))
     return with_copies(name_audit(out), "length")
 
 
@@ -63,14 +65,15 @@ def acquire(rows: DataFrame, library: DataFrame, order: str = "row", limit: int
     return known.where("action = 'DUPLICATE'").unionByName(work)
 
 
-def plan_import(files: DataFrame, library: DataFrame, order: str = "path") -> DataFrame:
-    """KEEP or DUPLICATE for each file of a folder, against the library and against earlier files of the folder."""
+def plan_import(files: DataFrame, library: DataFrame, order: str = "path", to: str | None = None, there: DataFrame | None = None) -> DataFrame:
+    """KEEP or DUPLICATE for each file of a folder, against the library and against earlier files of the folder; with to also target (see moved()) of those that are kept."""
     r = X.resolve(F.col("path"), F.col("tag_artist"), F.col("tag_title"))
     out = files.withColumn("key", X.bound(r, lambda x: F.when(x["title"] != "", X.match_key(x["artist"], x["title"])).otherwise(F.col("path"))))
     first = out.groupBy(F.col("key").alias("_key")).agg(F.min(order).alias("_first"))
     known = library.select(F.col("key").alias("_known")).distinct()
     out = out.join(first, F.col("key") == F.col("_key")).join(known, F.col("key") == F.col("_known"), "left")
-    return out.withColumn("action", F.when(F.col("_known").isNotNull() | (F.col(order) != F.col("_first")), "DUPLICATE").otherwise("KEEP")).drop("_key", "_first", "_known")
+    out = out.withColumn("action", F.when(F.col("_known").isNotNull() | (F.col(order) != F.col("_first")), "DUPLICATE").otherwise("KEEP")).drop("_key", "_first", "_known")
+    return out if to is None else moved(out, F.when(F.col("action") == "KEEP", to.rstrip("/")), there)
 
 
 def plan_rename(files: DataFrame, size: str = "length", content: str = "content") -> DataFrame:
@@ -88,22 +91,41 @@ def plan_rename(files: DataFrame, size: str = "length", content: str = "content"
     return unique_targets(out, "folder", "wanted", "rank").drop("rank", "wanted")
 
 
-def plan_sort(files: DataFrame, folders: DataFrame, route_inbox: bool = False) -> DataFrame:
-    """Files with the folder found for them and what to do."""
+def plan_sort(files: DataFrame, folders: DataFrame, route_inbox: bool = False, root: str | None = None, there: DataFrame | None = None, inbox: str = "INBOX") -> DataFrame:
+    """Files with the folder found for them and what to do; with root also target (see moved()), in root's folder of that name or in its inbox."""
     p = X.parse_name(F.col("path"))
     f = folders.select(F.col("path").alias("_path"), "folder")
-    return files.join(f, F.col("path") == F.col("_path"), "left").drop("_path").withColumn("action", C.sort_action(F.col("folder"), p["title"] != "", route_inbox))
+    out = files.join(f, F.col("path") == F.col("_path"), "left").drop("_path").withColumn("action", C.sort_action(F.col("folder"), p["title"] != "", route_inbox))
+    if root is None:
+        return out
+    to = F.concat(F.lit(root.rstrip("/") + "/"), F.when(F.col("action") == "MOVE", F.col("folder")).when(F.col("action") == "INBOX", inbox))
+    return moved(out, to, there)
+
+
+def moved(files: DataFrame, to: Column, there: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """Files with target, the path of the first free name in the folder that each goes to, in order of their paths; null where it goes nowhere.
+
+    there: paths that exist. A file that is in its folder already keeps its name.
+    """
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    rows = files.withColumns({"_to": to, "_name": name(F.col(path))}).withColumn("_own", F.when(folder(F.col(path)) == F.col("_to"), F.col("_name")))
+    taken = there.select(folder(F.col("path")).alias("folder"), name(F.col("path")).alias("name")) if there is not None else None
+    placed = unique_targets(rows.where("_to is not null"), "_to", "_name", path, taken, "_own").withColumn("target", F.concat_ws("/", "_to", "target"))
+    return placed.unionByName(rows.where("_to is null").withColumn("target", F.lit(None).cast("string"))).drop("_to", "_name", "_own")
 
 
 def label_matches(rows: DataFrame) -> DataFrame:
     """Rows (known_artist, known_title, cand_artist, cand_title) with label; null candidates are no-match."""
-    from ..functions.audio import ratio
+    from ..functions.fuzzy import at_least
 
     core = lambda c: F.when(F.size(X.core_title_tokens(c)) > 0, F.array_join(X.core_title_tokens(c), " ")).otherwise(F.array_join(X.loose_title_tokens(c), " "))
     c = F.col
     mine: Column = X.tokens(c("known_artist"))
     out = rows.withColumns({"_a": mine, "_b": X.tokens(c("cand_artist")), "_na": X.name_norm(c("known_artist")), "_nb": X.name_norm(c("cand_artist")), "_ta": core(c("known_title")), "_tb": core(c("cand_title"))})
-    out = out.withColumns({"_title": ratio(c("_ta"), c("_tb")), "_artist": ratio(c("_na"), c("_nb"))})
-    artist_ok = (F.size("_a") == 0) | F.arrays_overlap("_a", "_b") | (c("_artist") >= 0.85)
-    label = F.when(c("cand_title").isNull(), "no-match").when(~artist_ok | (c("_title") < 0.85), "wrong").when(X.version_key(c("known_title")) == X.version_key(c("cand_title")), "correct").otherwise("diff-version")
-    return out.withColumn("label", label).drop("_a", "_b", "_na", "_nb", "_ta", "_tb", "_title", "_artist")
+    # only what words don't settle is compared by its letters
+    out = out.withColumn("_shared", F.coalesce((F.size("_a") == 0) | F.arrays_overlap("_a", "_b"), F.lit(False)))
+    out = out.withColumn("_ok", c("_shared") | at_least(F.when(~c("_shared") & c("cand_title").isNotNull(), c("_na")), c("_nb"), 0.85))
+    out = out.withColumn("_same", at_least(F.when(c("_ok"), c("_ta")), c("_tb"), 0.85))
+    label = F.when(c("cand_title").isNull(), "no-match").when(~c("_ok") | ~c("_same"), "wrong").when(X.version_key(c("known_title")) == X.version_key(c("cand_title")), "correct").otherwise("diff-version")
+    return out.withColumn("label", label).drop("_a", "_b", "_na", "_nb", "_ta", "_tb", "_shared", "_ok", "_same")

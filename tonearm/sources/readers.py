@@ -81,9 +81,10 @@ def merged_indexes(indexes: list[DataFrame], order: tuple[str, ...] = ("_file",
     return last_wins(df, [F.col("filepath")], ["_table", *order]).drop("_table", *order)
 
 
-def to_replace(spark: SparkSession, path: str) -> DataFrame:
-    """The semicolon list with French headers, by priority, folder and title."""
-    return csv(spark, path, REPLACE, sep=";").withColumn("Priorite", to_int(F.col("Priorite"))).orderBy("Priorite", "Dossier", "Titre")
+def to_replace(spark: SparkSession, path: str, only_tier: int = 0) -> DataFrame:
+    """The semicolon list with French headers, by priority, folder and title; only_tier: rows of that priority alone."""
+    rows = csv(spark, path, REPLACE, sep=";").withColumn("Priorite", to_int(F.col("Priorite")))
+    return (rows.where(F.col("Priorite") == only_tier) if only_tier > 0 else rows).orderBy("Priorite", "Dossier", "Titre")
 
 
 def routing_map(spark: SparkSession, path: str) -> DataFrame:

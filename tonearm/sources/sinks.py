@@ -11,6 +11,11 @@ from ..operators.dedup import first_wins
 # Column orders.
 SCAN = ("path", "filename", "ext", "format_class", "size_bytes", "dup_count", "sample_rate", "channels", "duration_s", "cutoff_hz", "cutoff_std_hz", "hf_energy_ratio", "est_source_bitrate", "container_bitrate", "verdict", "confidence", "reason", "name_status", "name_reason")
 OUTCOME = ("action", "artist", "title", "original", "new_file", "new_verdict", "new_cutoff_hz", "note")
+RENAMES = ("action", "from", "to", "applied", "reason")
+SORTS = ("action", "from", "to", "folder", "styles", "source", "applied", "reason")
+IDENTIFIED = ("status", "file", "artist", "title", "score", "proposed_name", "applied", "mbid", "note")
+VALIDATED = ("label", "score", "known_artist", "known_title", "cand_artist", "cand_title", "version_known", "version_cand", "file")
+STAGING = ("Score", "Status", "File", "Requested", "FilePath", "BadName", "Duration", "ExpectedDuration", "TitleScore", "ArtistScore", "TitlePrecision", "ExtraWords", "VersionMatch", "ReqVersion", "FileVersion", "ShortTitleRisk", "MixMarker", "TagArtist", "TagTitle", "Reason")
 WANTS = ("Artist", "Title", "Album", "Length", "Year", "Source", "SourceUrl")
 
 
@@ -26,6 +31,35 @@ def write_csv(df: DataFrame, path: str, fields: tuple[str, ...], mode: str = "er
     as_text(df, fields).write.mode(mode).csv(path, header=True, escape='"', emptyValue="")
 
 
+def _thousandths(c: Column) -> Column:
+    return F.format_string("%.3f", c.cast("double"))
+
+
+def rename_log(ops: DataFrame) -> DataFrame:
+    """K4: ops (action, path, target, reason, applied) as the rows of the log of renames."""
+    return as_text(ops.withColumnsRenamed({"path": "from", "target": "to"}), RENAMES)
+
+
+def sort_log(ops: DataFrame) -> DataFrame:
+    """K4: ops (action, path, target, folder, styles, source, reason, applied) as the rows of the log of a sort; a list of styles is joined."""
+    if dict(ops.dtypes).get("styles") == "array<string>":
+        ops = ops.withColumn("styles", F.array_join("styles", ", "))
+    return as_text(ops.withColumnsRenamed({"path": "from", "target": "to"}), SORTS)
+
+
+def identify_log(results: DataFrame) -> DataFrame:
+    """K9: results (status, path, artist, title, score, proposed_name, applied, recording_mbid, note); without a best candidate its fields are empty."""
+    out = results.withColumn("score", F.when(F.col("score").isNotNull(), _thousandths(F.col("score"))))
+    return as_text(out.withColumnsRenamed({"path": "file", "recording_mbid": "mbid"}), IDENTIFIED)
+
+
+def validation_log(rows: DataFrame) -> DataFrame:
+    """K5: labelled rows (label, score, known_artist, known_title, cand_artist, cand_title, path), best score first, with the versions of both titles."""
+    version = lambda c: X.version_key(F.col(c))
+    out = rows.withColumns({"version_known": version("known_title"), "version_cand": version("cand_title")}).orderBy(F.desc("score"), "path")
+    return as_text(out.withColumn("score", _thousandths(F.col("score"))).withColumnRenamed("path", "file"), VALIDATED)
+
+
 def append_log(df: DataFrame, path: str, fields: tuple[str, ...]) -> None:
     """K10."""
     write_csv(df, path, fields, mode="append")
