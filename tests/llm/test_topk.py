@@ -12,7 +12,7 @@ SCHEMA = "vec_id long, embedding array<float>, rank string"
 
 def brute(rows, k=20):
     """Of each distinct query (id and vector): all rows of other ids and its length, best first."""
-    kept = [(i, tuple(np.floor(64 * np.array(v, np.float64)).astype(int).tolist())) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    kept = [(i, tuple(np.floor(64 * np.array(v, np.float64)).astype(int).tolist())) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) and abs(x) < 1e7 for x in v)]
     out = []
     for i, q in {x for x in kept if x[0] % 20 == 0}:
         scores = sorted(((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in kept if j != i and len(v) == len(q)))[:k]
@@ -28,7 +28,7 @@ def rows():
     v[131] = v[130] + 0.001
     out = [(i, [float(x) for x in v[i]], "e") for i in range(260)]
     out += [(20, out[20][1], "again"), (21, out[21][1], "again"), (40, out[41][1], "another"), (7, out[60][1], "e")]
-    return [*out, (400, None, "e"), (420, [float("nan")] * 8, "e"), (440, [1.0, 2.0], "e"), (460, [], "e"), (480, [1.0, None], "e"), (None, out[1][1], "e"), (441, [1.0, -2.0], "e"), (500, [float("inf")] * 8, "e")]
+    return [*out, (400, None, "e"), (420, [float("nan")] * 8, "e"), (440, [1.0, 2.0], "e"), (460, [], "e"), (480, [1.0, None], "e"), (None, out[1][1], "e"), (441, [1.0, -2.0], "e"), (500, [float("inf")] * 8, "e"), (520, [1e10] * 8, "e"), (521, [1e10] * 8, "e"), (540, [1e30, 0.0], "e"), (560, [5e6, -5e6], "e"), (561, [-5e6, 4e6], "e")]
 
 
 @pytest.mark.parametrize(("bits", "block", "span", "asked"), [(6, 16384, 64, (512, 4096)), (8, 16384, 64, (512, 4096)), (3, 40, 64, (4, 4)), (2, 40, 2, (4, 4)), (1, 16384, 64, (512, 4096))])

@@ -107,7 +107,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM y"""
 
 OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: (abs(64 * CAST(x AS DOUBLE)) + 1) * (abs(64 * CAST(x AS DOUBLE)) + 1))) * len(embedding) <= 1152921504606846976),
 q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id, CASE WHEN len(q.v) = len(c.v) THEN CAST(list_inner_product(q.v, c.v) AS BIGINT) END AS score FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""

@@ -30,14 +30,19 @@ CELL_BITS = 6
 #: Parts of a group of equal vectors that are thinned out by themselves first.
 SALTS = 8
 
+#: The largest squared length of an integer vector times its dimension: products with any cell, and their sums, then are longs.
+LARGEST = 2.0**60
+
 LEAST = np.iinfo(np.int64).min // 2
 FILE = "dim int, block int, rows binary, ids binary, data binary"
 
 
 def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as double. Null keys, and vectors that are null, empty or hold a null or non-finite component, are left out."""
+    """(vec_id, v): floor(scale * x) of each component as double. Null keys, vectors that are null, empty or hold a null or non-finite component, and those that LARGEST is too small for are left out."""
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & finite)
+    grown = lambda x: F.abs(x.cast("double") * scale) + 1  # noqa: E731  a component that is floored may grow by one
+    rows = rows.where(F.aggregate("e", F.lit(0.0), lambda a, x: a + grown(x) * grown(x)) * F.size("e") <= LARGEST)
     return rows.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
@@ -141,7 +146,8 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
     Queries: the rows whose key is divisible by `every`; candidates: every row but those with the query's own key, of
     the same dimension. Ties go to the smaller vec_id; with fewer than k candidates, all are returned. Rows that repeat a
     key and its vector are one query, but each is a candidate; a key with several vectors is several queries. Vectors that
-    are null, empty or hold null or non-finite components take no part. An empty table gives an empty result. Extra
+    are null, empty or hold null or non-finite components take no part, nor do those whose squared length in integers, times their
+    dimension, is above 2 ** 60 (64 components of 2 million each), as scores might be no longs. An empty table gives an empty result. Extra
     columns are not read.
     """
     vectors = saved(integer_vectors(df, key, vector, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
