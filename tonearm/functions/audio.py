@@ -117,22 +117,27 @@ def aggregate_windows(cutoffs: list[float], shares: list[float]) -> tuple[float,
     return cutoffs[best], float(np.std(cutoffs)) if len(cutoffs) > 1 else 0.0, shares[best]
 
 
+def measured(rate: int, channels: int, frames: int, window) -> tuple:
+    """FEATURES of a file of so many frames; window(start, length) gives the samples of each of its windows. A window that is too short is passed over."""
+    found = []
+    for start, length in windows(frames / rate):
+        x = window(start, length)
+        got = cutoff(x, rate)
+        if got:
+            found.append((*got, stereo_collapse(x, rate)))
+    if not found:
+        return rate, channels, frames / rate, frames, None, None, None, None, None, "no window"
+    hz, dev, share = aggregate_windows([f[0] for f in found], [f[1] for f in found])
+    return rate, channels, frames / rate, frames, round(hz, 1), round(dev, 1), round(share, 6), source_bitrate(hz), max(f[2] for f in found), None
+
+
 def _features(content: pd.Series) -> pd.DataFrame:
 
     def one(data: bytes) -> tuple:
         try:
             with wave.open(io.BytesIO(data)) as w:
                 rate, channels, frames = w.getframerate(), w.getnchannels(), w.getnframes()
-            found = []
-            for start, length in windows(frames / rate):
-                _, x = read_wav(data, start, length)
-                got = cutoff(x, rate)
-                if got:
-                    found.append((*got, stereo_collapse(x, rate)))
-            if not found:
-                return rate, channels, frames / rate, frames, None, None, None, None, None, "no window"
-            hz, dev, share = aggregate_windows([f[0] for f in found], [f[1] for f in found])
-            return rate, channels, frames / rate, frames, round(hz, 1), round(dev, 1), round(share, 6), source_bitrate(hz), max(f[2] for f in found), None
+            return measured(rate, channels, frames, lambda start, length: read_wav(data, start, length)[1])
         except Exception as e:  # any broken file becomes a row with its error
             return (*[None] * 9, f"{type(e).__name__}: {e}")
 
