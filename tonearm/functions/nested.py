@@ -25,7 +25,8 @@ def _numbered(doc: Column) -> Column:
 def _json_text(v: Column) -> Column:
     """A VARIANT whose names are numbered as JSON without the numbers, with a space after commas and colons."""
     spaced = lambda t: F.when(t.startswith('"') & t.endswith(":"), F.concat(F.lit('"'), F.substr(t, F.lit(11)), F.lit(" "))).when(t.startswith('"'), t).otherwise(F.replace(t, F.lit(","), F.lit(", ")))
-    return F.array_join(F.transform(F.regexp_extract_all(F.to_json(v), F.lit(_JSON_PART), 0), spaced), "")
+    nested = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_JSON_PART), 0), spaced), "")
+    return X.bound(F.to_json(v), lambda t: F.when(t.startswith("{") | t.startswith("["), nested(t)).otherwise(t))
 
 
 def first_value(c: Column) -> Column:

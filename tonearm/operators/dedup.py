@@ -196,7 +196,7 @@ def unique_targets(df: DataFrame, folder: str, name: str, order: str, taken: Dat
     odd = odd.distinct()
     met = folder_.eqNullSafe(F.col("_of")) & (F.col("_family") == F.col("_os")) & (F.col("_ext") == F.col("_oe"))
     marked = named.join(odd, met, "left").withColumn("_odd", F.col("_os").isNotNull()).drop("_of", "_os", "_oe")
-    ranked = lasting(numbered_within(marked, [folder, "_stem", "_ext"], order, "_rank"))
+    ranked = numbered_within(marked, [folder, "_stem", "_ext"], order, "_rank")
 
     at, after = _parts(F.col(name))
 
@@ -204,11 +204,11 @@ def unique_targets(df: DataFrame, folder: str, name: str, order: str, taken: Dat
         return rows.withColumn("target", F.when(n == 0, F.col(name)).otherwise(F.concat(at, F.lit(" ("), n.cast("string"), F.lit(")"), after))).select(*columns, "target")
 
     plain = with_target(ranked.where(~F.col("_odd")), F.col("_rank"))
-    timed = lasting(numbered(ranked.where("_odd"), [order], "_t"))
     depth = F.regexp_count(F.regexp_extract("_stem", _NUMBERS, 1), F.lit(r" \("))
-    deepest = timed.agg(F.max(depth)).first()[0]
+    deepest = ranked.where("_odd").agg(F.max(depth)).first()[0]
     if deepest is None:
         return plain
+    timed = lasting(numbered(ranked.where("_odd"), [order], "_t"))
     mine = F.lit(None).cast("long")
     if own is not None:
         own_stem, own_ext = _parts(F.lower(F.col(own)))

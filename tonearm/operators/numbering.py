@@ -40,7 +40,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "number") ->
 
 def numbered_within(df: DataFrame, keys: list[str], order: str, name: str = "number") -> DataFrame:
     """The same within keys (nulls are a key): the number over all rows less that of the key's first, a minimum that is combined before the shuffle."""
-    rows = lasting(numbered(df, [*keys, order], name))
+    rows = numbered(df, [*keys, order], name)
     first = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(name).alias("_first"))
     met = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
     return rows.join(first, met).withColumn(name, F.col(name) - F.col("_first")).select(*rows.columns)

@@ -30,3 +30,9 @@ def lasting(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tonearm/lasting-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare scan for work that is costly a row: in fewer splits than there are cores (one row group is one split, whatever its size) its rows are dealt out again; a scan that has enough is left as it is, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -71,9 +71,10 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", F.round(F.col("value") * 100, 1).alias("cutoff"), (F.col("event_id") % 500).cast("int").alias("kbps"), F.when(F.col("event_id") % 7 == 0, 0).otherwise(192).alias("est"), F.when(k == 0, ".mp3").when(k == 1, ".flac").otherwise(".wav").alias("ext"))
 
 
-def named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_parts(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
     """Parts as tracks: artist from the brand, title from the name, with versions and codes by key."""
     p = table(spark, sf_dir, "part")
+    p = tables.spread(p) if costly else p
     k = F.col("p_partkey")
     title = F.concat("p_name", F.when(k % 5 == 0, " (Extended Mix)").when(k % 5 == 1, " [CAT001]").when(k % 5 == 2, " (Dub Remix)").when(k % 5 == 3, " feat. Guest").otherwise(""))
     artist = F.concat("p_brand", F.when(k % 4 == 0, " & Friends").when(k % 4 == 1, " vs Others").otherwise(""))
@@ -204,14 +205,14 @@ def A17_N4_album_tracks(spark, sf_dir):
 
 @query("SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
 def F1_fold(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
+    return tables.spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
 
 
 @query(f"SELECT doc_id, CAST(len({_tokens('text')}) AS INTEGER) AS n, CAST(len({_tokens('text', 1)}) AS INTEGER) AS loose FROM documents")
 def F2_F3_tokens(spark, sf_dir):
     """Each text is folded and split once, for both kinds."""
     both = X.bound(X.words(F.col("text")), lambda w: F.struct(F.size(X.chosen(w)).alias("n"), F.size(X.chosen(w, 1)).alias("loose")))
-    return table(spark, sf_dir, "documents").select("doc_id", both.alias("b")).select("doc_id", "b.n", "b.loose")
+    return tables.spread(table(spark, sf_dir, "documents")).select("doc_id", both.alias("b")).select("doc_id", "b.n", "b.loose")
 
 
 @query(f"SELECT p_partkey, array_to_string({_tokens(_CORE)}, ' ') AS core FROM ({PART})")
@@ -284,7 +285,7 @@ def F20_search_title(spark, sf_dir):
 
 @query()
 def F23_resolve(spark, sf_dir):
-    p = named_parts(spark, sf_dir)
+    p = named_parts(spark, sf_dir, True)
     path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-a-b-c.mp3"))).otherwise(F.concat_ws(" - ", "artist", F.concat("title", F.lit(".mp3"))))
     return p.select("p_partkey", X.resolve(path, F.col("artist"), F.col("title")).alias("r")).select("p_partkey", "r.*")
 
@@ -320,7 +321,7 @@ def N1_find_all(spark, sf_dir):
     """The key at several depths, below itself and in lists."""
     i = F.col("event_id").cast("string")
     doc = F.concat(F.lit('{"a": ['), "props", F.lit('], "k": {"k": '), i, F.lit('}, "z": [['), F.when(F.col("event_id") % 2 == 1, '{"y": {"k": "x"}}').otherwise("1"), F.lit("]]}"))
-    e = table(spark, sf_dir, "events").select("event_id", nested.find_all(doc, "k").alias("v"))
+    e = tables.spread(table(spark, sf_dir, "events")).select("event_id", nested.find_all(doc, "k").alias("v"))
     return e.select("event_id", F.size("v").cast("long").alias("n"), F.replace(F.array_join("v", ","), F.lit(" "), F.lit("")).alias("found"))
 
 
@@ -380,7 +381,7 @@ def C8_identify_status(spark, sf_dir):
 
 @query()
 def C7_staging_audit(spark, sf_dir):
-    p = named_parts(spark, sf_dir)
+    p = named_parts(spark, sf_dir, True)
     k = F.col("p_partkey")
     rows = p.select("p_partkey", F.concat_ws(" - ", "artist", "title").alias("base"), "artist", F.col("p_name").alias("title"), F.when(k % 9 != 0, (k % 700 + 60).cast("double")).alias("duration"), F.when(k % 2 == 0, (k % 650 + 80).cast("double")).alias("expected"), F.when(k % 3 == 0, F.col("artist")).alias("tag_artist"), F.when(k % 3 == 0, F.col("title")).alias("tag_title"), (k % 13 != 0).alias("indexed"))
     return audit.staging_audit(rows).select("p_partkey", "title_score", "artist_score", "title_precision", "extra_words", "status")
@@ -532,7 +533,7 @@ _NAME = rf"trim(trim(regexp_replace(regexp_replace(title, '\[[A-Za-z0-9]+\]', ''
   s AS (SELECT p_partkey, l.key IS NOT NULL OR row_number() OVER (PARTITION BY f.key ORDER BY p_partkey) > 1 AS dup FROM f LEFT JOIN l ON f.key = l.key)
   SELECT count(*) AS total, count(*) FILTER (NOT dup) AS kept, count(*) FILTER (dup) AS duplicates FROM s""")
 def A12_import_stats(spark, sf_dir):
-    p = named_parts(spark, sf_dir).select("p_partkey", F.concat(F.lit("/in/"), "artist", F.lit(" - "), "title", F.lit(".flac")).alias("path"), F.lit("").alias("tag_artist"), F.lit("").alias("tag_title"))
+    p = named_parts(spark, sf_dir, True).select("p_partkey", F.concat(F.lit("/in/"), "artist", F.lit(" - "), "title", F.lit(".flac")).alias("path"), F.lit("").alias("tag_artist"), F.lit("").alias("tag_title"))
     n = X.parse_name(F.col("path"))
     library = p.where("p_partkey % 10 = 0").select(X.match_key(n["artist"], n["title"]).alias("key"))
     out = flows.plan_import(p, library, "p_partkey")
@@ -827,7 +828,7 @@ def P8_reject_reason(spark, sf_dir):
     """Downloads named after the part's type, of 0 to 399 seconds."""
     k = F.col("p_partkey")
     file = F.concat(F.lit("/in/"), "p_brand", F.lit(" - "), "p_name", "p_type", F.lit(".flac"))
-    return named_parts(spark, sf_dir).select("p_partkey", C.reject_reason(F.col("artist"), F.col("title"), file, k % 400, k % 2 != 0).alias("reason"))
+    return named_parts(spark, sf_dir, True).select("p_partkey", C.reject_reason(F.col("artist"), F.col("title"), file, k % 400, k % 2 != 0).alias("reason"))
 
 
 @query(f"""WITH r AS ({SQL['J10_route']}) SELECT p_partkey, folder, CASE WHEN folder IS NOT NULL THEN 'MOVE' WHEN p_partkey % 4 = 0 THEN 'SKIP' ELSE 'INBOX' END AS action FROM r""")
@@ -845,7 +846,7 @@ def C12_clean(spark, sf_dir):
 
 @query()
 def C9_label_matches(spark, sf_dir):
-    p = named_parts(spark, sf_dir)
+    p = named_parts(spark, sf_dir, True)
     return flows.label_matches(p.select("p_partkey", F.col("artist").alias("known_artist"), F.col("p_name").alias("known_title"), F.col("p_brand").alias("cand_artist"), F.when(F.col("p_partkey") % 5 != 4, F.col("title")).alias("cand_title"))).select("p_partkey", "label")
 
 
@@ -922,7 +923,7 @@ def O4_to_review(spark, sf_dir):
 @query(f"SELECT p_partkey, artist AS known_artist, {_NAME} AS known_title FROM ({PART}) WHERE p_partkey % 2 = 0")
 def P10_ground_truth(spark, sf_dir):
     """Names that are sure, and slugs, which aren't."""
-    p = named_parts(spark, sf_dir)
+    p = named_parts(spark, sf_dir, True)
     slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-a-b-c"))
     path = F.concat(F.lit("/m/"), F.col("p_partkey").cast("string"), F.lit("/"), F.when(F.col("p_partkey") % 2 == 0, F.concat("artist", F.lit(" - "), "title")).otherwise(slug), F.lit(".flac"))
     out = reports.ground_truth(p.select(path.alias("path"), F.lit("").alias("tag_artist"), F.lit("").alias("tag_title")))
@@ -1037,7 +1038,7 @@ def S16_linked_pages(spark, sf_dir):
 @query("SELECT p_partkey, unnest([p_brand, p_brand, 'Guest']) AS artist, unnest([array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), p_type, 'Tune']) AS title FROM part")
 def S20_video_tracks(spark, sf_dir):
     """A card (and one that repeats a line), a description of two tracks, a pinned comment that repeats all but one, and a short one."""
-    p = table(spark, sf_dir, "part")
+    p = tables.spread(table(spark, sf_dir, "part"))
     card = lambda a, t: F.concat(F.lit('{"videoAttributeViewModel": {"title": "'), t, F.lit('", "subtitle": "'), a, F.lit('"}}'))
     page = F.concat(F.lit("<script>var ytInitialData = {\"c\": ["), card(F.col("p_brand"), F.col("p_name")), F.lit(", "), card(F.lit("ID"), F.col("p_name")), F.lit("]};</script><p>"))
     lines = lambda *pairs: F.concat_ws("\n", *(F.concat_ws(" - ", *x) for x in pairs))
@@ -1064,7 +1065,7 @@ def S23_search_genres(spark, sf_dir):
     none, some = F.array().cast("array<string>"), F.array(F.lit("Electronic"))
     own = lambda t: F.concat(F.lit("Widgetone - "), F.lit(t))
     hits = F.when(k == 1, F.array(hit(own("Various hits"), F.col("p_brand"), none), hit(F.lit("Others - Song"), F.lit("Rock"), some))).otherwise(F.array(hit(own("Podcast"), F.lit("Talk"), some), hit(F.lit("Others - Song"), F.lit("Rock"), some), hit(own("Album"), F.col("p_type"), F.when(k == 0, some).otherwise(none))))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("Widgetone feat. X").alias("artist"), F.to_json(F.struct(hits.alias("results"))).alias("response"))
+    rows = tables.spread(table(spark, sf_dir, "part")).select("p_partkey", F.lit("Widgetone feat. X").alias("artist"), F.to_json(F.struct(hits.alias("results"))).alias("response"))
     out = staged.search_genres(rows, "p_partkey", "artist", "response")
     return out.select("p_partkey", F.array_join("styles", ",").alias("styles"), F.array_join("genres", ",").alias("genres"))
 
