@@ -10,16 +10,17 @@ from pyspark.sql.window import Window
 
 from .tables import lasting
 
-#: Bytes of a range, by the planner's estimate; an estimate above the second says that the planner knows nothing. The most ranges.
+#: Bytes of a range, by the planner's estimate of the tables behind it; above the second it knows nothing of one of them. The most ranges.
 RANGE_BYTES, UNKNOWN_BYTES, MOST_RANGES = 128 << 20, 1 << 50, 1 << 15
 #: monotonically_increasing_id() has the partition above this bit and the row in it below.
 ROW_BITS = 33
 
 
 def ranges(df: DataFrame) -> int:
-    """How many ranges: those of any shuffle, more where the rows are estimated not to fit."""
+    """How many ranges: those of any shuffle, more where what df is made from is too large for them. Joins aren't asked for their size, as the planner multiplies those of both sides."""
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(usual, min(MOST_RANGES, size // RANGE_BYTES)) if size < UNKNOWN_BYTES else usual
 
 
