@@ -154,7 +154,7 @@ def ground_truth(files: DataFrame, path: str = "path", artist: str = "tag_artist
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """N rows without replacement, the same for a seed however the table is dealt; all, if there are fewer."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def to_review(identified: DataFrame) -> DataFrame:
@@ -163,10 +163,11 @@ def to_review(identified: DataFrame) -> DataFrame:
     return identified.where(place.isNotNull()).orderBy(place, F.desc("score"))
 
 
-def in_sequence(sequence: DataFrame, ids: str, cache: DataFrame, key: str) -> DataFrame:
-    """The cached items in the order of an array of ids, position first; ids that the cache hasn't are left out."""
-    each = sequence.select(F.posexplode(ids).alias("position", "_id"))
-    return each.join(cache, F.col("_id").cast("string") == F.col(key).cast("string")).drop("_id").orderBy("position")
+def in_sequence(sequence: DataFrame, ids: str, cache: DataFrame, key: str, of: str | None = None) -> DataFrame:
+    """The cached items in the order of an array of ids, position first; ids that the cache hasn't are left out. of: a column that tells sequences apart, which comes before it."""
+    own = [of] if of else []
+    each = sequence.select(*own, F.posexplode(ids).alias("position", "_id"))
+    return each.join(cache, F.col("_id").cast("string") == F.col(key).cast("string")).drop("_id").orderBy(*own, "position")
 
 
 # ---- labels ----------------------------------------------------------------------------------------------------------

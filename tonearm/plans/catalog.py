@@ -17,7 +17,7 @@ from ..functions import classify as C
 from ..functions import audio, fuzzy, nested, staged
 from ..functions import text as X
 from ..operators import audit, dedup, matching, numbering, reports, tables
-from ..sources import sinks, store
+from ..sources import readers, sinks, store
 from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -930,18 +930,128 @@ def P10_ground_truth(spark, sf_dir):
     return out.select(F.regexp_extract("path", r"^/m/(\d+)/", 1).cast("long").alias("p_partkey"), "known_artist", "known_title")
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 50")
 def O10_sampled(spark, sf_dir):
     """A sampling operator: 50 documents, the same on every run."""
     return reports.sampled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
 
 
-@query("""WITH s AS (SELECT c_custkey, unnest([c_custkey * 7 % 1000, c_custkey, c_custkey + 3]) AS id, unnest([0, 1, 2]) AS position FROM customer) SELECT position, c_name FROM s JOIN customer c ON c.c_custkey = s.id WHERE s.c_custkey = 1""")
+@query("""WITH s AS (SELECT c_custkey AS of, unnest([c_custkey * 7 % 1000, c_custkey, c_custkey + 3]) AS id, unnest([0, 1, 2]) AS position FROM customer) SELECT of, position, c_name FROM s JOIN customer c ON c.c_custkey = s.id""")
 def J14_in_sequence(spark, sf_dir):
+    """A sequence of three for each customer; some name nobody."""
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer")
-    one = c.where("c_custkey = 1").select(F.array(k * 7 % 1000, k, k + 3).alias("ids"))
-    return reports.in_sequence(one, "ids", c.select("c_custkey", "c_name"), "c_custkey").select("position", "c_name")
+    each = c.select(k.alias("of"), F.array(k * 7 % 1000, k, k + 3).alias("ids"))
+    return reports.in_sequence(each, "ids", c.select("c_custkey", "c_name"), "c_custkey", "of").select("of", "position", "c_name")
+
+
+# ---- files that are written and read again ---------------------------------------------------------------------------
+
+
+@query("""SELECT p_brand AS "Artist", p_name || ' "x", é' AS "Title", CASE WHEN p_size > 5 THEN p_size END AS "Length", 'made' AS "Source" FROM part""")
+def S8_K8_want_list(spark, sf_dir):
+    """Parts as a want-list, written as CSV and read back; small sizes as no lengths."""
+    path = _shared(spark, "wants")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("Artist"), F.concat("p_name", F.lit(' "x", é')).alias("Title"), F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).otherwise("n/a").alias("Length"), F.lit("made").alias("Source"))
+    sinks.write_csv(rows, path, sinks.WANTS)
+    return readers.want_list(spark, path).select("Artist", "Title", "Length", "Source")
+
+
+@query("""SELECT p_brand AS artist, p_name AS title FROM part WHERE p_partkey % 3 = 0""")
+def S9_K3_report(spark, sf_dir):
+    """A report of outcomes, written and read back: what wasn't found."""
+    path = _shared(spark, "report")
+    rows = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 3 == 0, "NOT_FOUND").otherwise("REPLACED").alias("action"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"), F.col("p_size").alias("new_cutoff_hz"))
+    sinks.write_csv(rows, path, sinks.OUTCOME)
+    return readers.report_or_wants(spark, path)
+
+
+@query("""SELECT '/d/' || p_partkey AS filepath, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE p_size END AS length FROM part""")
+def S10_S12_indexes(spark, sf_dir):
+    """Two download indexes, written and read back; the later one wins for every other file."""
+    p, fields = table(spark, sf_dir, "part"), ("filepath", "artist", "title", "length", "state", "failurereason")
+    paths = [_shared(spark, "index") for _ in range(2)]
+    path = F.concat(F.lit("/d/"), F.col("p_partkey").cast("string"))
+    sinks.write_csv(p.select(path.alias("filepath"), F.col("p_name").alias("title"), F.col("p_size").alias("length")), paths[0], fields)
+    sinks.write_csv(p.where("p_partkey % 2 = 0").select(path.alias("filepath"), F.col("p_type").alias("title"), F.lit("7.9").alias("length")), paths[1], fields)
+    return readers.merged_indexes([readers.download_index(spark, x, places=True) for x in paths]).select("filepath", "title", "length")
+
+
+@query("""SELECT CAST(p_size AS INTEGER) AS "Priorite", p_brand AS "Dossier", p_name AS "Titre" FROM part WHERE p_size = 7""")
+def S11_P11_tier(spark, sf_dir):
+    """The semicolon list, written and read back, one tier of it: the tier is the feature."""
+    path = _shared(spark, "replace")
+    e = F.lit("").alias
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("Priorite"), e("Tier"), F.col("p_brand").alias("Dossier"), e("Artiste"), F.col("p_name").alias("Titre"), e("Fichier"))
+    rows.write.csv(path, header=True, sep=";", escape='"')
+    return readers.to_replace(spark, path, only_tier=7).select("Priorite", "Dossier", "Titre")
+
+
+@query("""SELECT DISTINCT lower(p_brand || ' - ' || p_name) AS key FROM part WHERE p_partkey % 2 = 0""")
+def S14_missed_keys(spark, sf_dir):
+    """Log lines about parts, half of them about something that wasn't found."""
+    line = F.concat(F.when(F.col("p_partkey") % 4 == 0, "[1] Not found: ").when(F.col("p_partkey") % 4 == 2, "All downloads failed: ").otherwise("Done: "), "p_brand", F.lit(" - "), "p_name", F.lit("  "))
+    return readers.missed_keys(table(spark, sf_dir, "part").select(line.alias("value")))
+
+
+@query("""SELECT CAST(sum(p_size) AS BIGINT) AS fakes FROM part WHERE p_partkey % 3 > 0""")
+def S15_fake_count(spark, sf_dir):
+    """A report of a line for each part."""
+    line = F.concat(F.when(F.col("p_partkey") % 3 > 0, "  Fake/Suspicious: ").otherwise("Genuine: "), F.col("p_size").cast("string"))
+    return readers.fake_count(table(spark, sf_dir, "part").select(line.alias("value")))
+
+
+@query(f"""SELECT event_id, {_CLASS} AS verdict, CASE WHEN kbps % 3 = 0 THEN 'lossless_container' WHEN kbps % 3 = 1 THEN 'lossy' WHEN ext = '.mp3' THEN 'lossy' ELSE 'lossless_container' END AS format_class FROM ({EVENT})""")
+def C1_codecs(spark, sf_dir):
+    """Codecs that decide, and none."""
+    e = measured(spark, sf_dir)
+    codec = F.when(F.col("kbps") % 3 == 0, F.when(F.col("kbps") % 2 == 0, "alac").otherwise("pcm_s24le")).when(F.col("kbps") % 3 == 1, "aac")
+    return e.select("event_id", C.classify_lossless(F.col("cutoff"), F.col("est"), F.col("kbps"), F.col("ext"))["verdict"].alias("verdict"), C.format_class(F.col("ext"), codec).alias("format_class"))
+
+
+@query(f"""SELECT event_id, preset, NOT (ext = '.mp3' AND kbps > 0 AND kbps < 310) AND (verdict = 'LOSSLESS' OR coalesce(cutoff >= floor, false)) AS ok FROM (SELECT *, {_CLASS} AS verdict FROM ({EVENT})), (VALUES """ + ", ".join(f"('{k}', {'NULL' if v is None else v})" for k, v in C.FLOORS.items()) + """) f(preset, floor)""")
+def P2_presets(spark, sf_dir):
+    """Every measured file under every preset, a fixed list."""
+    c = F.col
+    e = measured(spark, sf_dir).withColumn("verdict", C.classify_lossless(c("cutoff"), c("est"), c("kbps"), c("ext"))["verdict"])
+    each = [F.struct(F.lit(p).alias("preset"), C.accepted(c("verdict"), C.format_class(c("ext"), F.lit("")), c("kbps"), F.lit(""), c("cutoff"), p).alias("ok")) for p in C.FLOORS]
+    return e.select("event_id", F.explode(F.array(*each)).alias("x")).select("event_id", "x.preset", "x.ok")
+
+
+@query("""SELECT p_partkey, p_brand AS artist, p_name AS title FROM part WHERE p_partkey % 3 < 2""")
+def S22_marked_pages(spark, sf_dir):
+    """Pages of parts: a marked name, an element with tags and entities, and neither."""
+    k = F.col("p_partkey") % 3
+    meta = F.concat(F.lit('<meta itemprop="name" content="no pair"><meta itemprop="name" content="'), "p_brand", F.lit(" - "), "p_name", F.lit('">'))
+    element = F.concat(F.lit('<meta itemprop="name" content="no pair"><div class="a tlToggle b">'), "p_brand", F.lit(" <b>-</b>\n "), "p_name", F.lit("</div>"))
+    page = F.when(k == 0, meta).when(k == 1, element).otherwise(F.concat(F.lit("<p>"), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(staged.marked_tracks(page)).alias("t")).select("p_partkey", "t.artist", "t.title")
+
+
+_FILES = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '.mp3' WHEN 3 THEN '.xyz' ELSE '.flac' END AS ext, p_size % 20 AS length, CASE WHEN p_partkey % 11 <> 0 THEN 15000.0::DOUBLE + p_size * 150 END AS cutoff, CASE WHEN p_size > 40 THEN 0 ELSE 192 END AS est, CASE WHEN p_partkey % 3 = 0 THEN 128 ELSE 900 END AS kbps FROM part"""
+_SCANNED = f"""SELECT *, CASE WHEN ext = '.xyz' THEN 'SKIPPED' WHEN cutoff IS NULL THEN 'ERROR' WHEN (ext = '.mp3' AND kbps < 310) OR (ext = '.flac' AND kbps < 160) THEN 'MAUVAIS' WHEN est = 0 THEN 'LOSSLESS' WHEN cutoff >= 18000 THEN 'HQ' WHEN cutoff >= 16000 THEN 'DOUTEUX' ELSE 'MAUVAIS' END AS verdict,
+  CASE WHEN length > 0 THEN count(*) OVER (PARTITION BY length) ELSE 1 END AS dup_count FROM ({_FILES})"""
+
+
+def scanned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as measured files, some without measures or of no kind of audio."""
+    k, size = F.col("p_partkey"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_k"), "p_size")
+    p = named_parts(spark, sf_dir, True).join(size, F.col("p_partkey") == F.col("_k"))
+    ext = F.when(k % 4 == 0, ".mp3").when(k % 4 == 3, ".xyz").otherwise(".flac")
+    path = F.concat(F.lit("/m/"), "artist", F.lit(" - "), "title", ext)
+    files = p.select("p_partkey", path.alias("path"), ext.alias("ext"), F.lit(None).cast("string").alias("codec"), (F.col("p_size") % 20).alias("length"), F.when(k % 11 != 0, 15000.0 + F.col("p_size") * 150).alias("cutoff_hz"), F.when(F.col("p_size") > 40, 0).otherwise(192).alias("est_source_bitrate"), F.when(k % 3 == 0, 128).otherwise(900).alias("container_bitrate"), F.lit(None).cast("string").alias("error"), F.col("artist").alias("tag_artist"), F.col("title").alias("tag_title"))
+    return flows.scan(files)
+
+
+@query(f"SELECT p_partkey, verdict, CAST(dup_count AS BIGINT) AS dup_count, CASE WHEN ext = '.xyz' THEN 'format non audio / non gere' WHEN cutoff IS NULL THEN 'analyse spectrale impossible (lecture vide)' END AS failed FROM ({_SCANNED})")
+def P1_scan(spark, sf_dir):
+    out = scanned_parts(spark, sf_dir)
+    return out.select("p_partkey", "verdict", F.col("dup_count").cast("long").alias("dup_count"), F.when(F.col("verdict").isin(C.SKIPPED, C.ERROR), F.col("reason")).alias("failed"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN (verdict = 'LOSSLESS' OR cutoff >= 18000) AND NOT (ext = '.mp3' AND kbps < 310) THEN 'ALREADY_GOOD' ELSE 'WANT' END AS action FROM ({_SCANNED}) WHERE verdict NOT IN ('SKIPPED', 'ERROR')""")
+def P7_plan_upgrade(spark, sf_dir):
+    return flows.plan_upgrade(scanned_parts(spark, sf_dir)).select("p_partkey", "action")
 
 
 _SHOWN = f"SELECT *, {_CLASS} AS verdict FROM ({EVENT})"
