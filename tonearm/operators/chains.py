@@ -18,20 +18,21 @@ def followed(starts: DataFrame, links: DataFrame, most: int | None = None) -> Da
     doubles too: as many joins as the length of the longest chain has bits, whatever the number of chains. Each round is
     written down, so that plans don't double as well.
     """
-    jump = lasting(links.where(F.col("key").isNotNull()).select("key", "next"))
-    known = jump.select(F.col("key").alias("_known"))
+    each = links.where(F.col("key").isNotNull())
+    known = each.select(F.col("key").alias("_known"))
+    # a next that has no row of its own leads nowhere
+    jump = lasting(each.select("key", "next").join(known, F.col("next") == F.col("_known"), "left").select("key", F.col("_known").alias("next")))
     at = starts.where(F.col("key").isNotNull()).select("list", F.lit(1).cast("long").alias("step"), "key")
-    found = lasting(at.join(known, F.col("key") == F.col("_known"), "left_semi"))
-    front, far = found, 1
-    while (most is None or far < most) and not front.isEmpty():
+    found, far = lasting(at.join(known, F.col("key") == F.col("_known"), "left_semi")), 1
+    more = not found.isEmpty()
+    while more and (most is None or far < most):
         # what is within `far` steps leads to what is within twice as many
         hop = jump.where(F.col("next").isNotNull()).select(F.col("key").alias("_key"), "next")
         ahead = found.join(hop, F.col("key") == F.col("_key")).select("list", (F.col("step") + far).alias("step"), F.col("next").alias("key"))
-        ahead = ahead.join(known, F.col("key") == F.col("_known"), "left_semi")
         both = found.unionByName(ahead.where(F.col("step") <= most) if most is not None else ahead)
         # a key that comes again is met first at its least step
-        once = lasting(both.groupBy("list", "key").agg(F.min("step").alias("step")).select("list", "step", "key"))
-        front = once.where(F.col("step") > far)
-        found, far = once, far * 2
-        jump = lasting(jump.select("key", F.col("next").alias("_via")).join(hop, F.col("_via") == F.col("_key"), "left").select("key", "next"))
+        found = lasting(both.groupBy("list", "key").agg(F.min("step").alias("step")).select("list", "step", "key"))
+        more, far = not found.where(F.col("step") > far).isEmpty(), far * 2
+        if more and (most is None or far < most):
+            jump = lasting(jump.select("key", F.col("next").alias("_via")).join(hop, F.col("_via") == F.col("_key"), "left").select("key", "next"))
     return found
