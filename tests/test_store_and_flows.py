@@ -140,3 +140,32 @@ def test_tier(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Priorite;Tier;Dossier;Artiste;Titre;Fichier\n2;b;X;A;T;f\n1;a;Y;B;U;g\n2;b;W;C;V;h\n", encoding="utf-8")
     assert [r.Artiste for r in readers.to_replace(spark, str(tmp_path / "r.csv"), 2).collect()] == ["C", "A"]
     assert [r.Artiste for r in readers.to_replace(spark, str(tmp_path / "r.csv")).collect()] == ["B", "C", "A"]
+
+
+def test_detectors(spark):
+    """What the forensic detector judges differently, and why; artefacts count only where the cutoff would pass."""
+    kind = "path string, ext string, codec string, length long, cutoff_hz double, est_source_bitrate int, container_bitrate int, error string, samplerate int, mp3_rule int, aliasing double, comb boolean, preecho double, stereo double, tag_artist string, tag_title string"
+    rows = [
+        ("full", ".flac", "flac", 22050.0, 0, 900, None, 44100, None, 0.1, False, 0.0, 0.0),
+        ("made", ".flac", "flac", 22050.0, 0, 900, None, 44100, None, 0.7, True, 80.4, 0.95),
+        ("wall", ".flac", "flac", 21200.0, 320, 800, None, 44100, None, 0.0, False, 0.0, 0.0),
+        ("grey", ".flac", "flac", 19000.0, 192, 1000, None, 44100, None, 0.0, False, 0.0, 0.0),
+        ("known", ".flac", "flac", 19000.0, 192, 1000, None, 44100, 192, 0.0, False, 0.0, 0.0),
+        ("dull", ".flac", "flac", 16500.0, 192, 1000, None, 44100, 192, 0.9, True, 80.0, 0.9),
+        ("lossy", ".mp3", "mp3", 19000.0, 192, 320, None, 44100, None, 0.9, True, 80.0, 0.9),
+        ("low", ".mp3", "mp3", 19000.0, 192, 128, None, 44100, None, 0.9, True, 80.0, 0.9),
+        ("broken", ".flac", None, None, None, None, "bad", None, None, None, None, None, None),
+    ]
+    files = spark.createDataFrame([(f"/m/A - {n}", ext, codec, i, *rest, None, None) for i, (n, ext, codec, *rest) in enumerate(rows)], kind)
+    got = {r.path[7:]: (r.verdict_legacy, r.verdict_forensic, r.confidence_forensic, r.reason_forensic) for r in flows.shadow(files).collect()}
+    base = "cutoff 19000 Hz (~192 kbps) - jouable club"
+    assert got == {
+        "made": ("LOSSLESS", "LOSSLESS", "suspect", "artefacts codec (HF aliasing 0.70, comb de bruit MP3, pre-echo 80%, collapse stereo 0.95) malgre cutoff 22050 Hz -> source lossy possible, a verifier"),
+        "wall": ("HQ", "LOSSLESS", "high", "cutoff 21200 Hz >= 95% Nyquist, aucune signature MP3 (Rule 1/8) -> authentique"),
+        "grey": ("HQ", "HQ", "uncertain", base + " (pas de signature MP3 confirmee -> incertain)"),
+    }
+    every = {r.path[7:]: (r.verdict, r.reason) for r in flows.scan(files, "forensic").collect()}
+    assert every["known"] == ("HQ", base) == every["lossy"] and every["low"] == ("MAUVAIS", "mp3 128 kbps < 320 - banni") and every["broken"] == ("ERROR", "info illisible: bad")
+    assert every["dull"] == ("DOUTEUX", "cutoff 16500 Hz (~192 kbps) - limite, a revoir") and every["full"][0] == "LOSSLESS"
+    plain = files.drop("samplerate", "mp3_rule", "aliasing", "comb", "preecho", "stereo")
+    assert {r.path[7:]: r.verdict for r in flows.scan(plain, "forensic").collect()}["made"] == "LOSSLESS"

@@ -43,6 +43,8 @@ FULL, CLUB, LIMIT, LOW = "spectre plein, cutoff {} Hz", "cutoff {} Hz (~{} kbps)
 FLAC_LOW, LOSSY_LOW = "bitrate conteneur FLAC {} kbps < 160 (source lossy)", "{} {} kbps < 320 - banni"
 NOT_AUDIO, UNREADABLE, NO_WINDOW = "format non audio / non gere", "info illisible: {}", "analyse spectrale impossible (lecture vide)"
 NO_NAME, NO_TAGS, NAMES_AGREE = "nom sans 'Artiste - Titre' exploitable", "aucun tag artist/title a comparer", "nom et tags coherents"
+SUSPECT, PROMOTED, UNCERTAIN = "artefacts codec ({}) malgre cutoff {} Hz -> source lossy possible, a verifier", "cutoff {} Hz >= 95% Nyquist, aucune signature MP3 (Rule 1/8) -> authentique", "{} (pas de signature MP3 confirmee -> incertain)"
+SIGNS = ("HF aliasing {}", "comb de bruit MP3", "pre-echo {}%", "collapse stereo {}")
 VERSIONS_DIFFER, TAGS_DIFFER = "version nom='{}' != tag='{}'", "tags ne collent pas au nom ({})"
 
 
@@ -104,6 +106,18 @@ def forensic(cutoff: Column, estimate: Column, kbps: Column, ext: Column, rate:
     )
 
 
+def forensic_reason(found: Column, cutoff: Column, estimate: Column, kbps: Column, ext: Column, lossless: Column, aliasing: Column, comb: Column, preecho: Column, stereo: Column) -> Column:
+    """The reason of forensic(), whose struct is found."""
+    base = lossless_reason(cutoff, estimate, kbps, ext)
+    hundredths = lambda c: F.format_string("%.2f", c.cast("double"))
+    signs = F.concat_ws(", ", F.when(aliasing > 0.5, _said(SIGNS[0], hundredths(aliasing))), F.when(comb, SIGNS[1]), F.when(preecho > 10, _said(SIGNS[2], _whole(preecho))), F.when(stereo > 0.7, _said(SIGNS[3], hundredths(stereo))))
+    return (
+        F.when(~lossless, band_reason(cutoff, estimate)).when(found["confidence"] == "suspect", _said(SUSPECT, signs, _whole(cutoff)))
+        .when(found["confidence"] == "uncertain", _said(UNCERTAIN, base))
+        .when(found["verdict"] != classify_lossless(cutoff, estimate, kbps, ext)["verdict"], _said(PROMOTED, _whole(cutoff))).otherwise(base)
+    )
+
+
 def accepted(verdict: Column, format_: Column, kbps: Column, confidence: Column, cutoff: Column, preset: str = "dj_club") -> Column:
     """P2."""
     floor = FLOORS.get(preset, FLOORS["dj_club"])

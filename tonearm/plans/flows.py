@@ -21,17 +21,44 @@ def name_audit(df: DataFrame, path: str = "path", artist: str = "tag_artist", ti
     return out.withColumn("name_status", status).withColumn("name_reason", reason).drop("_p", "_tags")
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """Measured files (length, features and tags beside path) with verdict, name audit and dup_count; one shuffle, of sizes."""
-    v = C.classify_lossless(F.col("cutoff_hz"), F.col("est_source_bitrate"), F.coalesce("container_bitrate", F.lit(0)), F.col("ext"))
-    out = files.withColumn("format_class", C.format_class(F.col("ext"), F.col("codec"))).withColumn("_v", v)
-    lossy_low = (F.col("format_class") == "lossy") & (F.col("container_bitrate") > 0) & (F.col("container_bitrate") < C.LEAST_LOSSY_KBPS)
-    out = out.withColumn("verdict", F.when(F.col("format_class") == "unknown", C.SKIPPED).when(F.col("error").isNotNull() | F.col("cutoff_hz").isNull(), C.ERROR).when(lossy_low, C.BAD).otherwise(F.col("_v.verdict")))
-    out = out.withColumn("confidence", F.when(F.col("verdict").isin(C.SKIPPED, C.ERROR), "").when(lossy_low, "high").otherwise(F.col("_v.confidence"))).drop("_v")
-    out = out.withColumn("reason", C.scan_reason(F.col("format_class"), F.col("error"), F.col("cutoff_hz"), F.col("est_source_bitrate"), F.coalesce("container_bitrate", F.lit(0)), F.col("ext")))
+def scan(files: DataFrame, detector: str = "legacy") -> DataFrame:
+    """Measured files (length, features and tags beside path) with verdict, confidence, reason, name audit and dup_count; one shuffle, of sizes.
+
+    detector: 'legacy', by cutoffs, or 'forensic', which also looks at samplerate, mp3_rule (the confirmed MP3 bitrate) and, where the
+    cutoff would pass, at the artefacts aliasing, comb, preecho and stereo; a column that isn't there has found nothing.
+    """
+    c = F.col
+    kbps = F.coalesce("container_bitrate", F.lit(0))
+    out = files.withColumn("format_class", C.format_class(c("ext"), c("codec")))
+    reason = C.scan_reason(c("format_class"), c("error"), c("cutoff_hz"), c("est_source_bitrate"), kbps, c("ext"))
+    lossy = c("format_class") == "lossy"
+    lossy_low = lossy & (c("container_bitrate") > 0) & (c("container_bitrate") < C.LEAST_LOSSY_KBPS)
+    failed = (c("format_class") == "unknown") | c("error").isNotNull() | c("cutoff_hz").isNull()
+    if detector == "forensic":
+        given = lambda name, kind: c(name).cast(kind) if name in files.columns else F.lit(None).cast(kind)
+        sign = lambda name, kind="double": F.when(c("cutoff_hz") >= 18000, given(name, kind))
+        signs = (sign("aliasing"), sign("comb", "boolean"), sign("preecho"), sign("stereo"))
+        of = (c("cutoff_hz"), c("est_source_bitrate"), kbps, c("ext"))
+        out = out.withColumn("_v", C.forensic(*of, given("samplerate", "int"), given("mp3_rule", "int"), ~lossy, *signs))
+        reason = F.when(failed | lossy_low, reason).otherwise(C.forensic_reason(c("_v"), *of, ~lossy, *signs))
+    elif detector == "legacy":
+        out = out.withColumn("_v", F.when(lossy, C.band(c("cutoff_hz"), c("est_source_bitrate"))).otherwise(C.classify_lossless(c("cutoff_hz"), c("est_source_bitrate"), kbps, c("ext"))))
+    else:
+        raise ValueError(f"no detector {detector}")
+    out = out.withColumn("reason", reason)
+    out = out.withColumn("verdict", F.when(c("format_class") == "unknown", C.SKIPPED).when(failed, C.ERROR).when(lossy_low, C.BAD).otherwise(c("_v.verdict")))
+    out = out.withColumn("confidence", F.when(failed, "").when(lossy_low, "high").otherwise(c("_v.confidence"))).drop("_v")
     return with_copies(name_audit(out), "length")
 
 
+def shadow(files: DataFrame) -> DataFrame:
+    """Path, verdict_legacy, verdict_forensic, confidence_forensic, reason_forensic of the files that the detectors judge differently. Paths are unique."""
+    old = scan(files).select("path", F.col("verdict").alias("verdict_legacy"), F.col("confidence").alias("_confidence"))
+    new = scan(files, "forensic").select(F.col("path").alias("_path"), F.col("verdict").alias("verdict_forensic"), F.col("confidence").alias("confidence_forensic"), F.col("reason").alias("reason_forensic"))
+    out = old.join(new, F.col("path") == F.col("_path"))
+    return out.where((F.col("verdict_legacy") != F.col("verdict_forensic")) | (F.col("_confidence") != F.col("confidence_forensic"))).drop("_path", "_confidence")
+
+
 def plan_upgrade(scanned: DataFrame, preset: str = "dj_club", forced: bool = False) -> DataFrame:
     """Each analysed file as ALREADY_GOOD, UNPARSEABLE or WANT with artist, title, key and origin."""
     ok = C.accepted(F.col("verdict"), F.col("format_class"), F.col("container_bitrate"), F.col("confidence"), F.col("cutoff_hz"), preset)
