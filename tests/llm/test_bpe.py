@@ -1,11 +1,16 @@
 """Encoding against the library of rank files, decoding as a round trip."""
 
+import base64
 import random
+import time
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.llm import bpe, queries
 
@@ -51,6 +56,55 @@ def test_ids_without_tokens(spark):
     assert [r["decoded"] if r["decoded"] is None else bytes(r["decoded"]) for r in got] == [None, b"", None, None, token[0] + token[1]]
 
 
+def in_process(make, *columns):
+    """What a task of make(df) does with its batches, called here."""
+    kept, schema = [], T.StructType([T.StructField(*c) for c in columns])
+    make(SimpleNamespace(columns=schema.names, schema=schema, mapInArrow=lambda run, schema: kept.append(run)))
+    return kept[0]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1 << 20])
+@pytest.mark.parametrize("kind", [pa.int32(), pa.int64()])
+def test_decoding_against_the_plain_rule(monkeypatch, tmp_path, limit, kind):
+    """Ranks with gaps, nulls among rows and ids, unknown and negative ids, no ids, no rows, batches that are slices."""
+    monkeypatch.setattr(bpe, "JOINED_IDS", limit, raising=False)
+    r = random.Random(7)
+    token = {i: bytes(r.randrange(256) for _ in range(r.randrange(1, 5))) for i in r.sample(range(400), 300)}
+    token = {i: t for t, i in {t: i for i, t in token.items()}.items()}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in token.items()))
+    known, other = sorted(token), [*sorted(set(range(402)) - set(token)), -1, 10**7, None]
+    rows = [None if r.random() < 0.2 else [r.choice(known if r.random() < 0.95 else other) for _ in range(r.randrange(12))] for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(rows, pa.list_(kind))], names=["n", "ids"])
+    run = in_process(lambda df: bpe.decode(df, str(path)), ("n", T.LongType()), ("ids", T.ArrayType(T.IntegerType())))
+    got = [x for b in run(iter([batch.slice(0, 0), batch.slice(0, 90), batch.slice(90)])) for x in b.to_pylist()]
+    assert got == [{"n": n, "ids": v, "decoded": None if v is None or any(i not in token for i in v) else b"".join(token[i] for i in v)} for n, v in enumerate(rows)]
+
+
+def test_decoding_makes_no_object_for_an_id():
+    """Decoding takes less than making the ids Python objects, which took a large part of the query."""
+    lists = pa.ListArray.from_arrays(pa.array(range(0, 1_000_001, 1000), pa.int32()), pa.array([i * 7919 % 50_000 for i in range(1_000_000)], pa.int32()))
+    run = in_process(lambda df: bpe.decode(df, PATHS[0]), ("ids", T.ArrayType(T.IntegerType())))
+    batch = pa.RecordBatch.from_arrays([lists], names=["ids"])
+    list(run(iter([batch.slice(0, 1)])))  # reads the file
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert min(seconds(lambda: list(run(iter([batch])))) for _ in range(3)) < min(seconds(lambda: lists.values.to_pylist()) for _ in range(3))
+
+
+def test_tables_are_made_once_in_a_process(monkeypatch):
+    run = in_process(lambda df: bpe.encode(df, PATHS[0], public_tokenizers.PATTERN), ("text", T.StringType()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two"])], names=["text"])
+    want = [b.to_pylist() for b in run(iter([batch]))]
+    monkeypatch.setattr(bpe.Merges, "__init__", None)
+    monkeypatch.setattr(bpe, "_spelled_out", None)
+    assert [b.to_pylist() for b in run(iter([batch]))] == want
+
+
 @pytest.mark.parametrize("many", [1, 3, 10**9])
 def test_merges_against_the_plain_rule(monkeypatch, many):
     """Small random rank tables, in which new pairs often have lower ranks than the merge that made them; equal letters overlap."""

@@ -6,6 +6,7 @@
    merge, named by its rank, to the positions where it applies. Merges are replayed in rank order, each at all of its positions in
    all words at once; only the touched neighbours are looked up again and put into the index.
 3. Documents gather the ids of their numbers.
+4. Decoding gathers the bytes of many documents' ids at once; an id is no Python object on the way.
 
 The texts aren't shuffled and nothing is broadcast: sharing words among tasks would send every document's numbers through a
 shuffle to save merges that cost less than that. A task that is lost is simply run again.
@@ -19,7 +20,7 @@ import unicodedata
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heappop, heappush
 from itertools import islice
@@ -35,8 +36,8 @@ from .tokens import pieces
 
 #: Bytes of the texts whose new words are merged together, of new words in one index, of the words that a task remembers, and characters of a piece.
 UNIT_BYTES, INDEX_BYTES, WORD_BYTES, PIECE_CHARS = 1 << 23, 1 << 21, 1 << 22, 1 << 20
-#: Ids of a batch that goes back to Spark.
-BATCH_IDS = 1 << 20
+#: Ids of a batch that goes back to Spark, and ids whose bytes are put together at once.
+BATCH_IDS, JOINED_IDS = 1 << 20, 1 << 18
 #: Ids are below 2 ** BITS. From so many positions on, a rank's merges are done together.
 BITS, MANY = 24, 48
 
@@ -59,6 +60,12 @@ class Merges:
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.values = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
 
+    @staticmethod
+    @cache
+    def of(path: str) -> Merges:
+        """Those of a rank file, made once in a process."""
+        return Merges(ranks(path))
+
     def _index(self, tokens: np.ndarray, last: np.ndarray) -> dict[int, np.ndarray]:
         """From each merge that applies to bytes side by side to its positions."""
         keys = tokens[:-1] << BITS | tokens[1:]
@@ -223,17 +230,22 @@ def _spelled_out(pattern: str, odd: str) -> str | None:
     return "".join(out)
 
 
+@cache
+def finders(pattern: str, odd: str) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
+    """What finds the words of any text, and of a text without characters from 0x10000 on. odd: what disputed() gives."""
+    import regex
+
+    known = re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{odd}]]", pattern) if odd else pattern
+    every, plain = regex.compile("(?V1)" + known).findall, _spelled_out(pattern, odd)
+    return every, re.compile(plain).findall if plain else every
+
+
 class Words:
     """The distinct words that a task has met, numbered, and their ids once settle() has run. odd: what disputed() gives."""
 
     def __init__(self, merges: Merges, pattern: str, odd: str):
-        import regex
-
         self.merges = merges
-        known = re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{odd}]]", pattern) if odd else pattern
-        self.any = regex.compile("(?V1)" + known).findall
-        plain = _spelled_out(pattern, odd)
-        self.plain = re.compile(plain).findall if plain else self.any
+        self.any, self.plain = finders(pattern, odd)
         self.wide = re.compile("[\U00010000-\U0010ffff]").search
         self.clear()
 
@@ -282,7 +294,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     schema = T.StructType([*(f for f in df.schema.fields if f.name != text), T.StructField(name, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(Merges(ranks(path)), pattern, odd)
+        words = Words(Merges.of(path), pattern, odd)
         waiting: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
         held = 0
 
@@ -320,6 +332,30 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     return df.mapInArrow(run, schema)
 
 
+@cache
+def tokens_of(path: str) -> pa.Array:
+    """The bytes of each id of a rank file, null where it has none and at the end."""
+    table = ranks(path)
+    out: list[bytes | None] = [None] * (max(table.values(), default=-1) + 2)
+    for token, rank in table.items():
+        out[rank] = token
+    return pa.array(out, pa.binary())
+
+
+def _joined(tokens: pa.Array, ids: pa.Array) -> pa.Array:
+    """Of each list of ids the bytes of its tokens in a row; null for a null list and for one that holds a null or unknown id."""
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)])
+    flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+    unknown = (flat < 0) | (flat >= len(tokens))
+    found = tokens.take(pa.array(np.where(unknown, len(tokens) - 1, flat)))
+    lost = np.cumsum(np.concatenate([[0], found.is_null().to_numpy(zero_copy_only=False)]))[ends]
+    # the tokens' bytes stand in a row already: only the rows' bounds are new
+    _, bounds, data = found.buffers()
+    bounds = np.frombuffer(bounds, np.int32, len(found) + 1)[ends] if len(found) else np.zeros(len(ends), np.int32)
+    rows = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), data or pa.py_buffer(b"")])
+    return pc.if_else(pc.or_(ids.is_null(), pa.array(np.diff(lost) > 0)), pa.scalar(None, pa.binary()), rows)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """df with decoded binary: the bytes of each row's ids in a row, which are UTF-8 if the ids came from a text.
 
@@ -329,22 +365,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     at, (name,) = df.columns.index(ids), fresh(df, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {r: t for t, r in ranks(path).items()}
-
-        def joined(some) -> bytes | None:
-            if not some.is_valid:
-                return None
-            try:
-                return b"".join([token[i] for i in some.values.to_pylist()])
-            except KeyError:
-                return None
-
+        tokens = tokens_of(path)
         for batch in batches:
+            sizes = np.cumsum([0, *pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)])
             start = 0
             while start < batch.num_rows:
-                stop = min(batch.num_rows, start + 256)
+                stop = max(start + 1, int(np.searchsorted(sizes, sizes[start] + JOINED_IDS, "right")) - 1)
                 some = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([joined(v) for v in some.column(at)], pa.binary())], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*some.columns, _joined(tokens, some.column(at))], names=[*batch.schema.names, name])
                 start = stop
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
